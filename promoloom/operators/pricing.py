@@ -25,22 +25,31 @@ def price_per_kg(price_list: DataFrame,
             .filter(F.col("entry_kg").between(*bounds) & F.col("shelf_kg").between(*bounds)))
 
 
+EVERYTHING = "*"
+
+
+def _medians(priced: DataFrame) -> DataFrame:
+    """scope, entry_kg, shelf_kg: medians per product and, under ``*``, of all rows."""
+    scope = F.explode(F.array_compact(F.array("product", F.lit(EVERYTHING)))).alias("scope")
+    rows = priced.select(scope, "entry_kg", "shelf_kg")
+    long = rows.unpivot("scope", ["entry_kg", "shelf_kg"], "price", "value")
+    return (exact_quantile(long, "value", 0.5, ["scope", "price"], "median")
+            .groupBy("scope").pivot("price", ["entry_kg", "shelf_kg"]).agg(F.first("median")))
+
+
 def price_by_product(priced: DataFrame) -> DataFrame:
     """Median prices and row count per product; rows without a product are left out."""
-    known = priced.filter(F.col("product").isNotNull())
-    counts = known.groupBy("product").agg(F.count(F.lit(1)).alias("n"))
-    entry = exact_quantile(known, "entry_kg", 0.5, ["product"], "entry_kg")
-    shelf = exact_quantile(known, "shelf_kg", 0.5, ["product"], "shelf_kg")
-    return entry.join(shelf, "product").join(counts, "product")
+    counts = (priced.filter(F.col("product").isNotNull()).groupBy("product")
+              .agg(F.count(F.lit(1)).alias("n")))
+    medians = _medians(priced).filter(F.col("scope") != EVERYTHING).withColumnRenamed("scope", "product")
+    return medians.join(counts, "product")
 
 
 def overall_prices(priced: DataFrame) -> DataFrame:
     """One row of medians over every plausible row, with or without a product."""
-    entry = exact_quantile(priced, "entry_kg", 0.5, name="all_entry_kg").first()
-    shelf = exact_quantile(priced, "shelf_kg", 0.5, name="all_shelf_kg").first()
-    return priced.sparkSession.createDataFrame(
-        [(entry[0] if entry else None, shelf[0] if shelf else None)],
-        "all_entry_kg double, all_shelf_kg double")
+    medians = _medians(priced).filter(F.col("scope") == EVERYTHING)
+    return medians.agg(F.first("entry_kg").alias("all_entry_kg"),
+                       F.first("shelf_kg").alias("all_shelf_kg"))
 
 
 def our_items(sales: DataFrame) -> DataFrame:
@@ -59,10 +68,13 @@ def build_price_table(sales: DataFrame, price_list: DataFrame,
     The product's median is used when the list has it, else the median of all.
     """
     priced = settle(price_per_kg(price_list, bounds))
-    medians = price_by_product(priced).drop("n")
+    medians = settle(_medians(priced))
+    known = medians.filter(F.col("scope") != EVERYTHING).withColumnRenamed("scope", "product")
+    overall = medians.filter(F.col("scope") == EVERYTHING).agg(
+        F.first("entry_kg").alias("all_entry_kg"), F.first("shelf_kg").alias("all_shelf_kg"))
     items = with_pack_weight(our_items(sales)).withColumn("product", product_head(F.col("name")))
-    table = items.join(bounded(medians), "product", "left")
-    table = attach(table, overall_prices(priced), [])
+    table = items.join(bounded(known), "product", "left")
+    table = attach(table, overall, [])
     known = F.col("entry_kg").isNotNull()
     table = (table
              .withColumn("price_method", F.when(known, BY_PRODUCT).otherwise(BY_MEDIAN))

@@ -30,17 +30,12 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = N
         rows = rows.filter(F.col(b).isNotNull())
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    # Repeats of one value travel as one counted row.
-    rows = rows.groupBy(*marker, "_v").agg(F.count(F.lit(1)).alias("_n"))
 
     slack = 2.0 / accuracy
     # The sketch errs by at most 1/accuracy of the group's ranks, so this bracket
     # holds the wanted ones; a miss would raise below, never pass unseen.  A group
     # no longer than the accuracy is its own bracket.
-    source = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not by:
-        source = source.withColumn("_all", F.lit(0))
-    sketch = source.groupBy(*marker).agg(
+    sketch = rows.groupBy(*marker).agg(
         F.percentile_approx("_v", [max(q - slack, 0.0), min(q + slack, 1.0)], accuracy).alias("_b"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.count(F.lit(1)).alias("_total"))
@@ -49,13 +44,12 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = N
         F.when((F.col("_total") <= accuracy) | F.lit(q - slack <= 0), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
         F.when((F.col("_total") <= accuracy) | F.lit(q + slack >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
         ((F.col("_total") - 1) * F.lit(q)).alias("_pos"))
-    near = rows.join(bounded(sketch), marker)
-    below = (near.filter(F.col("_v") < F.col("_lo"))
-             .groupBy(*marker).agg(F.sum("_n").alias("_below")))
-    inside = near.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    run = W.partitionBy(*marker).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    counted = (inside.join(bounded(below), marker, "left")
-               .withColumn("_end", F.coalesce("_below", F.lit(0)) + F.sum("_n").over(run))
+    near = rows.join(bounded(sketch), marker).filter(F.col("_v") <= F.col("_hi"))
+    # Everything below the bracket travels as one counted row, and so do repeats.
+    near = (near.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+            .groupBy(*marker, "_v", "_pos").agg(F.count(F.lit(1)).alias("_n")))
+    run = W.partitionBy(*marker).orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, 0)
+    counted = (near.withColumn("_end", F.sum("_n").over(run))
                .withColumn("_start", F.col("_end") - F.col("_n")))
     low, high = F.floor("_pos"), F.ceil("_pos")
     at = counted.groupBy(*marker).agg(

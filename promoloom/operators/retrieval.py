@@ -217,15 +217,15 @@ def _block_scores(queries: DataFrame, docs: DataFrame, topn: int | None) -> Data
             product = np.stack([np.asarray(v, float) for v in pdf["vec"]]) @ q.T
             for start in range(0, len(qids), 64):
                 block = product[:, start:start + 64]
+                width = block.shape[1]
                 if topn is None or len(ids) <= topn:
-                    keep = np.broadcast_to(np.arange(len(ids))[:, None], block.shape)
+                    keep = np.tile(np.arange(len(ids))[:, None], (1, width))
                 else:
                     # Best first, lower id first among equals.
-                    keep = np.stack([np.lexsort((ids, -block[:, j]))[:topn]
-                                     for j in range(block.shape[1])], axis=1)
-                for j in range(block.shape[1]):
-                    yield pd.DataFrame({"qid": names[start + j], "doc_id": ids[keep[:, j]],
-                                        "score": block[keep[:, j], j]})
+                    keep = np.stack([np.lexsort((ids, -block[:, j]))[:topn] for j in range(width)], axis=1)
+                column = np.tile(np.arange(width), (len(keep), 1))
+                yield pd.DataFrame({"qid": names[start + column.ravel()], "doc_id": ids[keep.ravel()],
+                                    "score": block[keep.ravel(), column.ravel()]})
 
     return docs.select("doc_id", "vec").mapInPandas(score, f"qid {kind}, doc_id bigint, score double")
 

@@ -19,8 +19,21 @@ CATEGORY_WORDS = ("Сельдь и икра", "Скумбрия и мойва",
 STYLE_WORDS = ("копченая", "с/с", "филе", "маринованная в/у", "п/п")
 
 
+# Declared schemas: opening a table then needs no job.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _pick(words: tuple[str, ...], at: Column) -> Column:
@@ -30,7 +43,8 @@ def _pick(words: tuple[str, ...], at: Column) -> Column:
 def composed_name(i: Column) -> Column:
     """Product name of article number ``i``: head, treatment, pack weight in one of 7 styles."""
     grams = (F.lit(10) * (F.lit(1) + i % 50)).cast("int")
-    kilos = F.format_string("%d.%03d", F.floor(grams / 1000).cast("int"), grams % 1000)
+    kilos = F.concat(F.floor(grams / 1000).cast("int"), F.lit("."),
+                     F.lpad((grams % 1000).cast("string"), 3, "0"))
     style = i % 7
     weight = (F.when(style == 0, F.concat(F.replace(kilos, F.lit("."), F.lit(",")), F.lit(" кг")))
               .when(style == 1, F.concat(grams, F.lit(" г")))
