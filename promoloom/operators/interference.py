@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,23 +100,25 @@ def fixed_effects(df: DataFrame, by_category_month: bool = False, tolerance: flo
     cells.unpersist()
     tot = own.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"),
                   *[F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in pairs]).first()
-    det = tot["q00"] * tot["q11"] - tot["q01"] ** 2
-    b0 = (tot["q02"] * tot["q11"] - tot["q12"] * tot["q01"]) / det
-    b1 = (tot["q12"] * tot["q00"] - tot["q02"] * tot["q01"]) / det
+    gram = np.array([[tot["q00"], tot["q01"]], [tot["q01"], tot["q11"]]])
+    target = np.array([tot["q02"], tot["q12"]])
+    # A term that the effects explain fully has no coefficient.
+    seen = [k for k in range(2) if gram[k, k] > 1e-9 * max(tot["n"], 1)]
+    beta = np.zeros(2)
+    beta[seen] = np.linalg.lstsq(gram[np.ix_(seen, seen)], target[seen], rcond=None)[0]
+    b0, b1 = map(float, beta)
     u0 = F.col("q02") - F.lit(b0) * F.col("q00") - F.lit(b1) * F.col("q01")
     u1 = F.col("q12") - F.lit(b0) * F.col("q01") - F.lit(b1) * F.col("q11")
-    meat = own.select(u0.alias("u0"), u1.alias("u1")).agg(
+    m = own.select(u0.alias("u0"), u1.alias("u1")).agg(
         F.sum(F.col("u0") * F.col("u0")).alias("m00"), F.sum(F.col("u0") * F.col("u1")).alias("m01"),
         F.sum(F.col("u1") * F.col("u1")).alias("m11")).first()
-    rank = tot["g"] + len(levels) - linked + 2
+    meat = np.array([[m["m00"], m["m01"]], [m["m01"], m["m11"]]])[np.ix_(seen, seen)]
+    bread = np.linalg.pinv(gram[np.ix_(seen, seen)])
+    rank = tot["g"] + len(levels) - linked + len(seen)
     scale = tot["g"] / (tot["g"] - 1) * (tot["n"] - 1) / (tot["n"] - rank)
-    inv = [[tot["q11"] / det, -tot["q01"] / det], [-tot["q01"] / det, tot["q00"] / det]]
-    out = []
-    for k, (term, b) in enumerate((("subst", b0), ("own", b1))):
-        var = (inv[k][0] ** 2 * meat["m00"] + 2 * inv[k][0] * inv[k][1] * meat["m01"]
-               + inv[k][1] ** 2 * meat["m11"]) * scale
-        half = Z_975 * max(var, 0.0) ** 0.5
-        out.append((term, float(b), float(b - half), float(b + half)))
+    half = dict(zip(seen, Z_975 * np.sqrt(np.clip(np.diag(bread @ meat @ bread) * scale, 0, None))))
+    out = [(term, float(beta[k]), float(beta[k] - half[k]), float(beta[k] + half[k])) if k in half
+           else (term, None, None, None) for k, term in enumerate(("subst", "own"))]
     return spark.createDataFrame(out, "term string, coef double, lo double, hi double")
 
 
