@@ -45,9 +45,10 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver; a bigger table comes back
     unchanged and its join shuffles.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df
+    # An Arrow table becomes a local relation: no job reads it again.
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 

@@ -12,8 +12,6 @@ def spark(tmp_path_factory):
 
     session = (SparkSession.builder.master("local[*]").appName("promoloom-tests")
                .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g")
-               # Short queries: the first compiler tier is enough.
-               .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
                .getOrCreate())
