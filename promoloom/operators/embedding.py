@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..columns import DEFAULTS
 from ..storage import bounded
 
-Encoder = Callable[[DataFrame, str, str], DataFrame]
-
 
 def hashed_ngrams(n: int = 3, features: int = 512) -> tuple[Callable[[DataFrame, str], object], str]:
     """Pipeline of character n-grams -> hashed counts -> IDF -> unit length."""

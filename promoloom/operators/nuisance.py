@@ -66,7 +66,7 @@ def _fold_numbers(stats: DataFrame) -> list[int]:
 
 def _to_other_folds(stats: DataFrame, folds: list[int]) -> DataFrame:
     """Send every fold's sums to each other fold, where they train that fold's model."""
-    everywhere = F.array(*[F.lit(f) for f in folds])
+    everywhere = F.array(*[F.lit(f) for f in folds]).cast("array<int>")
     return stats.withColumn("fold", F.explode(F.array_except(everywhere, F.array("fold"))))
 
 

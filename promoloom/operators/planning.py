@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS, NO_GROUP
@@ -186,8 +185,3 @@ def plan_report(plan: DataFrame, past: DataFrame) -> DataFrame:
         (gain / F.greatest(F.col("hist_net"), F.lit(1.0)) * F.lit(100.0)).alias("gain_pct"),
         F.when(F.col("skus") == 0, F.lit("no profitable discount"))
         .otherwise(F.lit("plan")).alias("outcome"))
-
-
-def ranked_report(plan: DataFrame) -> DataFrame:
-    """Plan rows numbered from the best contribution."""
-    return plan.withColumn("place", F.row_number().over(W.orderBy(F.desc("net"), "sku")))

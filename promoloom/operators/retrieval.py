@@ -231,7 +231,8 @@ def _block_scores(queries: DataFrame, docs: DataFrame, topn: int | None) -> Data
 
 
 def dense_all(queries: DataFrame, docs: DataFrame, method: str = "dense") -> DataFrame:
-    return _ranked(dense_scores(queries, docs), method)
+    # Range partitioning samples its input first; written scores are not computed twice.
+    return _ranked(settle(dense_scores(queries, docs)), method)
 
 
 def dense_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ..columns import (DISCOUNT_HEADERS, PRICE_LIST_HEADER, PRICE_LIST_POSITIONS, SALES_HEADERS,
                        rename_source)
-from ..functions.clean import number
 
 
 def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,11 +80,3 @@ def read_price_table(spark: SparkSession, folder: str) -> DataFrame:
 def write_plan(path: str, plan: DataFrame) -> None:
     """Plan rows, whole numbers, best contribution first (at most ``slots`` rows)."""
     rounded(plan.orderBy(F.desc("net"), "sku"), 0).write.mode("overwrite").parquet(path)
-
-
-def text_columns(df: DataFrame, *names: str) -> DataFrame:
-    """``names`` as doubles where present."""
-    for name in names:
-        if name in df.columns:
-            df = df.withColumn(name, number(df, name))
-    return df
