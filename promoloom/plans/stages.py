@@ -12,7 +12,7 @@ from ..operators import causal, interference, planning, pricing, rankeval, retri
 from ..operators.embedding import attach_components, encode_names, name_components
 from ..operators.features import CONTROLS, add_features
 from ..operators.nuisance import Nuisance
-from ..operators.panel import build_catalog, build_panel
+from ..operators.panel import build_catalog
 from ..storage import settle
 
 # The labelled queries and the rule that marks relevant groups.
