@@ -8,36 +8,66 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, token_counts
+from . import (bpe, exact_dedup, language, mixing, near_dedup, pii, quality, secret_scan,
+               token_counts, vectors)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(table(spark, folder, "documents"))
+    return found.select("doc_id", *[pii.count_kind(k).alias(f"n_{k}") for k in pii.BASE],
+                        F.sha2(pii.as_text(pii.only(pii.BASE)), 256).alias("base_sha256"),
+                        pii.as_text(F.col("spans")).alias("spans"))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_texts(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                             digests=True)
 
 
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counts = token_counts.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, folder, "documents"), size=2)
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, folder, "documents"))
+    return found.select("doc_id", *[pii.count_kind(k, "base").alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.as_text(F.col("spans")).alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_bpe": op3_bpe,
-    "op5_token_counts": op5_token_counts,
-    "op7_exact_dedup": op7_exact_dedup,
-    "op10_mixing": op10_mixing,
+    f.__name__: f
+    for f in (op1_pii, op2_quality, op3_bpe, op4_near_vectors, op5_token_counts, op6_near_dedup,
+              op7_exact_dedup, op8_language, op9_secrets, op10_mixing)
 }
 
 SQL: dict[str, str] = {
