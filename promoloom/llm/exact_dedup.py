@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import settle
-from .text import whole_text
+from .text import keep_keys, whole_text
 
 #: Share of all rows above which a digest is settled by broadcast; bounds that table to 1 / SUPPORT rows.
 SUPPORT = 0.001
@@ -58,6 +58,8 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", support
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` that stay, all columns; a key that repeats in one group keeps one row each."""
-    groups = exact_groups(df, key, text).filter("kept").select(F.col(key).alias("_kept_key")).distinct()
-    return df.join(groups, F.col(f"`{key}`").eqNullSafe(F.col("_kept_key")), "left_semi")
+    """Rows of ``df`` whose key stays, all columns.
+
+    Rows that repeat a key can't be told apart by it: all of them stay if one does.
+    """
+    return keep_keys(df, exact_groups(df, key, text).filter("kept").select(F.col(f"`{key}`")), key)

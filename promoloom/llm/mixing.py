@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import settle
-from .text import whole_text
+from .text import fresh, whole_text
 
 # Weights of the sources in order, repeating, and the most times a source may be read.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -182,8 +182,8 @@ def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     of it is taken.  Only the ends of each source's last block are such texts.
     Rows without words go.  ``key`` must not repeat.
     """
+    name, copy = fresh(df, "_mix_key"), fresh(df, "_mix_copy")
     taken = mix(df, key, text, source, **options).filter("size > 0").select(
-        F.col(key).alias("_mix_key"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_mix_times"))
-    rows = df.join(taken.filter("_mix_times > 0"), F.col(f"`{key}`").eqNullSafe(F.col("_mix_key")))
-    return (rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-            .drop("_mix_key", "_mix_times", "_mix_copy"))
+        F.col(f"`{key}`").alias(name), F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
+    rows = df.join(taken.filter(F.col(copy) > 0), F.col(f"`{key}`").eqNullSafe(F.col(name)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(name, copy)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..storage import settle
 from .components import components
-from .text import WORD, columns_of, map_slices, whole_text
+from .text import WORD, columns_of, keep_keys, map_slices, whole_text
 
 SKETCH = 64
 #: Sketch values of a text that are indexed, the rarest first.
@@ -117,9 +117,12 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
 
 
 def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``df`` that stay: one key of each group, all columns."""
-    kept = near_groups(df, key, text, size, percent).filter("kept").select(F.col(key).alias("_kept_key")).distinct()
-    return df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept_key")), "left_semi")
+    """Rows of ``df`` whose key stays: one of each group, all columns.
+
+    Rows that repeat a key can't be told apart by it: all of them stay if one does.
+    """
+    kept = near_groups(df, key, text, size, percent).filter("kept")
+    return keep_keys(df, kept.select(F.col(f"`{key}`")), key)
 
 
 def _links(reps: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import columns_of, map_slices, whole_text
+from .text import columns_of, keep_keys, map_slices, whole_text
 
 #: Labelled texts of each class that the vectors are made from, at most about.
 SAMPLE = 2_000
@@ -194,7 +194,8 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def accepted(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose text is accepted, all columns."""
-    good = (classify(df, labels, key, text).filter("predicted = 1")
-            .select(F.col(f"`{key}`").alias("_good_key")).distinct())
-    return df.join(good, F.col(f"`{key}`").eqNullSafe(F.col("_good_key")), "left_semi")
+    """Rows of ``df`` whose text is accepted, all columns.
+
+    Rows that repeat a key can't be told apart by it: all of them stay if one does.
+    """
+    return keep_keys(df, classify(df, labels, key, text).filter("predicted = 1").select(F.col(f"`{key}`")), key)

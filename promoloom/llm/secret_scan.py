@@ -3,7 +3,7 @@
 The tasks of the scan extract parts: identifiers, secrets and endpoints.  The
 contract's kinds are reported as they are.  Weak parts (a bare token, a client
 name, an address) say little alone: they are reported only when complementary
-parts lie in the same scope, that is within ``WINDOW`` characters.
+parts lie in the same scope, that is with fewer than ``WINDOW`` characters between them.
 
 The interval join works on buckets of ``WINDOW`` characters.  A part marks the
 buckets it lies in, and each (row, role, bucket) is reduced to its first start
@@ -142,8 +142,8 @@ def link_parts(rows: DataFrame, window: int) -> DataFrame:
              .groupBy("row", "role", "bucket").agg(F.min("s").alias("s"), F.max("e").alias("e")))
     scope = (rows.filter(F.size("weak") > 0).select("row", F.explode("weak").alias("part"))
              .withColumn("low", F.col("part.start") - window).withColumn("high", F.col("part.end") + window)
-             .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / window), F.floor(F.col("high") / window)))))
-    met = scope.join(marks, ["row", "bucket"]).filter("s <= high and e >= low")
+             .withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / window), F.floor((F.col("high") - 1) / window)))))
+    met = scope.join(marks, ["row", "bucket"]).filter("s < high and e > low")
     near = met.groupBy("row", "part").agg(*[F.max(F.col("role") == r).alias(r) for r in sorted(set(ROLES.values()))])
     wanted = F.lit(False)
     for kind, roles in NEEDS.items():

@@ -21,6 +21,21 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose key is in the one column of ``keys``; null matches null."""
+    name = fresh(df, "_kept")
+    kept = keys.toDF(name).distinct()
+    return df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col(f"`{name}`")), "left_semi")
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
