@@ -34,6 +34,10 @@ from .text import WHITE, per_slice, special_splitter, whole_text
 
 #: Bytes of text that share a dictionary.
 BLOCK_BYTES = 32_000_000
+#: Bits of a slot: a block has fewer bytes, but a single text may be longer.
+SLOT_BITS = 32
+#: Rows of sorted pre-tokens between two outputs of packed counts.
+HELD_COUNTS = 200_000
 # Fixed value: how byte-level vocabularies of this family split text.
 SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
          rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -56,10 +60,10 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(whole[:half]), whole[half:]
 
 
-_BLOCK_SCHEMA = "block long, doc_key long, n_bytes long, n_special long, packed binary, slot int, piece string"
+_BLOCK_SCHEMA = "block long, doc_key long, n_bytes long, n_special long, packed binary, start int, pieces array<string>"
 _BLOCK_ARROW = pa.schema([("block", pa.int64()), ("doc_key", pa.int64()), ("n_bytes", pa.int64()),
-                          ("n_special", pa.int64()), ("packed", pa.binary()), ("slot", pa.int32()),
-                          ("piece", pa.string())])
+                          ("n_special", pa.int64()), ("packed", pa.binary()), ("start", pa.int32()),
+                          ("pieces", pa.list_(pa.string()))])
 
 
 def _rows(block: int, **cols: list) -> pa.RecordBatch:
@@ -73,14 +77,13 @@ def _rows(block: int, **cols: list) -> pa.RecordBatch:
 def _blocks(special: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split, cut = regex.compile(SPLIT), special_splitter(special)
     part = TaskContext.get().partitionId()
-    numbers = itertools.count(part << 32)
+    numbers = itertools.count(part << 11)
     block, held, slots = next(numbers), 0, {}
 
     def words() -> Iterator[pa.RecordBatch]:
         names = list(slots)
-        for s in range(0, len(names), 20_000):
-            piece = names[s:s + 20_000]
-            yield _rows(block, slot=list(range(s, s + len(piece))), piece=piece)
+        for s in range(0, len(names), 5_000):
+            yield _rows(block, start=[s], pieces=[names[s:s + 5_000]])
 
     for batch in per_slice(batches):
         docs: dict[str, list] = {"doc_key": batch.column("doc_key").to_pylist(),
@@ -103,9 +106,12 @@ def _blocks(special: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def _count_runs(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of sorted pre-tokens: one count for each run of equal ones."""
+    """Pieces of sorted pre-tokens: one count for each run of equal ones.
+
+    The counts leave packed, one row a block and ``HELD_COUNTS`` rows read.
+    """
     table = MergeTable(path)
-    last, last_n = None, 0
+    last, last_n, held, rows = None, 0, [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,13 +124,30 @@ def _count_runs(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         n[known:] = table.count([v.encode() for v in values[known:]])
         last, last_n = values[-1], int(n[-1])
         each = np.repeat(n, np.diff(runs.run_ends.to_numpy(), prepend=0))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("slot"), pa.array(each)],
-                                         names=["block", "slot", "n"])
+        held.append((batch.column("place").to_numpy(), each))
+        rows += batch.num_rows
+        if rows >= HELD_COUNTS:
+            yield _by_block(held)
+            held, rows = [], 0
+    if held:
+        yield _by_block(held)
+
+
+def _by_block(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    place, n = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+    order = np.argsort(place)
+    block, slot, n = place[order] >> SLOT_BITS, place[order] & ((1 << SLOT_BITS) - 1), n[order]
+    names, first = np.unique(block, return_index=True)
+    cuts = np.append(first, len(block))
+    packed = [pack(slot[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.array(packed, pa.binary())], names=["block", "counts"])
 
 
 def _sum_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    n = np.zeros(counts.num_rows, np.int64)
-    n[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    parts = [unpack(p) for p in counts["counts"].to_pylist()]
+    n = np.zeros(1 + max((int(s[-1]) for s, _ in parts), default=0), np.int64)
+    for slots, pieces in parts:
+        n[slots] = pieces
     total = []
     for packed, special in zip(docs["packed"].to_pylist(), docs["n_special"].to_pylist()):
         slots, freq = unpack(packed)
@@ -146,10 +169,12 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     special = list(MergeTable(path).special)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_key"), whole_text(text).alias("text"))
     cut = settle(rows.mapInArrow(lambda it: _blocks(special, it), _BLOCK_SCHEMA))
-    words = (cut.filter("piece is not null").select("piece", "block", "slot")
-             .repartition("piece").sortWithinPartitions("piece"))
-    counts = words.mapInArrow(lambda it: _count_runs(path, it), "block long, slot int, n long")
-    docs = cut.filter("piece is null").select("block", "doc_key", "n_bytes", "n_special", "packed")
+    # One number says where a pre-token came from: its block, and its slot there.
+    place = F.shiftleft("block", SLOT_BITS) + F.col("start") + F.col("pos")
+    words = (cut.filter("pieces is not null").select("block", "start", F.posexplode("pieces").alias("pos", "piece"))
+             .select("piece", place.alias("place")).repartition("piece").sortWithinPartitions("piece"))
+    counts = words.mapInArrow(lambda it: _count_runs(path, it), "block long, counts binary")
+    docs = cut.filter("packed is not null").select("block", "doc_key", "n_bytes", "n_special", "packed")
     out = docs.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
         _sum_block, "doc_key long, n_bytes long, n_tokens long")
     return out.withColumnRenamed("doc_key", key)
