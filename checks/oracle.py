@@ -40,6 +40,13 @@ def pick(values: list, at: str) -> str:
     return f"({lit(values)})[CAST(({at}) % {len(values)} AS INTEGER) + 1]"
 
 
+def tenth(x: str) -> str:
+    """Half-even to one digit, on millionths, so that ties are exact."""
+    m = f"CAST(round(({x}) * 1e6) AS BIGINT)"
+    return (f"(({m} // 100000) + CASE WHEN {m} % 100000 > 50000 THEN 1 WHEN {m} % 100000 = 50000 "
+            f"THEN ({m} // 100000) % 2 ELSE 0 END) / 10e0")
+
+
 def r(x: str, n: int = 6) -> str:
     return f"round(CAST({x} AS DOUBLE), {n}) + 0.0"
 
@@ -191,18 +198,53 @@ def draws(moments: str, out: str, columns: list[str], reps: int, seed: int = SEE
 {out} AS (SELECT rep, {', '.join(f'sum({c}) AS {c}' for c in columns)} FROM {out}_d JOIN {out}_n USING (place) GROUP BY rep)"""
 
 
+# --- linear controls and category levels, fitted outside each fold ----------
+
+CONTROLS = ["m_sin", "m_cos", "is_high_season", "month_num", "quarter", "lag_qty_1", "lag_qty_2", "lag_qty_3",
+            "lag_qty_6", "lag_qty_12", "roll3_qty_mean", "roll6_qty_mean", "roll3_qty_std"]
+
+
+def linear(src: str, out: str, xs: list[str], targets: list[str], by: list[str], keep: list[str],
+           folds: str = f"unnest(generate_series(0, {FOLDS - 1}))") -> str:
+    """CTE ``out``: <target>_r of least squares on ``xs`` with a level per category; Gauss elimination, one CTE a pivot."""
+    keys = list(dict.fromkeys([*by, "category"]))
+    p, cols = len(xs), xs + targets
+    b = "".join(f", x.{c}" for c in by)
+    bare = "".join(f", {c}" for c in by)
+    dev = [f"(CAST(x.{c} AS DOUBLE) - m.m_{c})" for c in cols]
+    cov = ", ".join(f"sum({dev[i]} * {dev[j]}) AS a_{i}_{j}" for i in range(p) for j in range(i, len(cols)))
+    means = ", ".join(f"avg(CAST(x.{c} AS DOUBLE)) AS m_{c}" for c in cols)
+    steps = [f"{out}_g0 AS MATERIALIZED (SELECT f{bare}, "
+             + ", ".join(f"a_{min(i, j)}_{max(i, j)} AS a_{i}_{j}" for i in range(p) for j in range(len(cols)))
+             + f" FROM {out}_c)"]
+    for k in range(p):
+        cells = [f"a_{k}_{j} / a_{k}_{k} AS a_{k}_{j}" if i == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k} AS a_{i}_{j}"
+                 for i in range(p) for j in range(k + 1, len(cols))]
+        steps.append(f"{out}_g{k + 1} AS MATERIALIZED (SELECT f{bare}, {', '.join(cells)} FROM {out}_g{k})")
+    res = ", ".join(f"x.{t} - m.m_{t}" + "".join(f" - b.a_{i}_{p + n} * {dev[i]}" for i in range(p)) + f" AS {t}_r"
+                    for n, t in enumerate(targets))
+    same = "".join(f" AND b.{c} = x.{c}" for c in by)
+    at = " AND ".join(f"m.{c} = x.{c}" for c in keys)
+    return f"""{out}_o AS (SELECT {folds} AS f),
+{out}_m AS MATERIALIZED (SELECT o.f, {', '.join('x.' + c for c in keys)}, {means} FROM {src} x JOIN {out}_o o ON x.fold <> o.f GROUP BY ALL),
+{out}_c AS MATERIALIZED (SELECT o.f{b}, {cov} FROM {src} x JOIN {out}_o o ON x.fold <> o.f JOIN {out}_m m ON m.f = o.f AND {at} GROUP BY ALL),
+{', '.join(steps)},
+{out} AS (SELECT {', '.join('x.' + c for c in keep)}, {res} FROM {src} x JOIN {out}_m m ON m.f = x.fold AND {at}
+    JOIN {out}_g{p} b ON b.f = x.fold{same})"""
+
+
 SUMS = ["n", "sx", "sy", "sxx", "sxy"]
 SLOPE = "(sxy - sx * sy / n) / (sxx - sx * sx / n)"
 ROWS = "rows0 AS (SELECT *, own_disc AS t FROM features)"
 CELLS = ["category", "month_num"]
 EFFECT = (f"{FEATURED}, {ROWS}, "
-          + cell_residuals("rows0", "res", ["y", "t"], CELLS, [], ["sku"]) + ", "
+          + linear("rows0", "res", CONTROLS, ["y", "t"], [], ["sku"]) + ", "
           + slope("res", "eff", "t_r", "y_r", []))
 SUPPORTED = """rows1 AS (SELECT * FROM rows0 WHERE category IN (
   SELECT category FROM rows0 GROUP BY category
   HAVING count(*) >= 400 AND count(*) FILTER (WHERE t > 0) >= 60))"""
 CATE = (f"{SUPPORTED}, "
-        + cell_residuals("rows1", "cres", ["y", "t"], CELLS, ["category"], ["category", "sku"]) + ", "
+        + linear("rows1", "cres", CONTROLS, ["y", "t"], ["category"], ["category", "sku"]) + ", "
         + slope("cres", "cate", "t_r", "y_r", ["category"]))
 EFFECT_COLS = ", ".join(f"{r(c)} AS {c}" for c in ("theta", "se", "p", "lo", "hi"))
 
@@ -236,7 +278,7 @@ ptable AS (
 
 COST = 0.3
 PLANNING = f"""{PRICES}, {CATE},
-priced AS (SELECT p.*, p.grp AS pgrp, t.entry_kg * t.weight_g / 1000e0 AS price_unit
+priced AS (SELECT p.*, p.grp AS pgrp, {tenth('t.entry_kg * t.weight_g / 1000e0')} AS price_unit
            FROM panel p LEFT JOIN ptable t USING (sku)),
 base AS (SELECT * FROM (
   SELECT sku, quantile_cont(qty, 0.5) AS base_qty, min(category) AS cat, min(pgrp) AS grp,
@@ -339,29 +381,6 @@ def fe_result(components: str) -> str:
             + row("own", "b1", "-q01 / det", "q00 / det"))
 
 
-# --- two linear controls per fold -------------------------------------------
-
-def linear2(src: str, out: str, x1: str, x2: str, targets: list[str]) -> str:
-    """Residuals on two controls and category levels, fitted outside each fold."""
-    cols = [x1, x2, *targets]
-    means = ", ".join(f"avg(x.{c}) AS m_{c}" for c in cols)
-    prods = [(x1, x1), (x1, x2), (x2, x2)] + [(x, t) for x in (x1, x2) for t in targets]
-    cov = ", ".join(f"sum((x.{a} - m.m_{a}) * (x.{b} - m.m_{b})) AS c_{a}_{b}" for a, b in prods)
-    det = f"(c_{x1}_{x1} * c_{x2}_{x2} - c_{x1}_{x2} * c_{x1}_{x2})"
-    betas = ", ".join(
-        f"(c_{x1}_{t} * c_{x2}_{x2} - c_{x2}_{t} * c_{x1}_{x2}) / {det} AS b1_{t}, "
-        f"(c_{x2}_{t} * c_{x1}_{x1} - c_{x1}_{t} * c_{x1}_{x2}) / {det} AS b2_{t}" for t in targets)
-    res = ", ".join(f"x.{t} - m.m_{t} - b.b1_{t} * (x.{x1} - m.m_{x1}) - b.b2_{t} * (x.{x2} - m.m_{x2}) AS {t}_r"
-                    for t in targets)
-    return f"""{out}_o AS (SELECT unnest(generate_series(0, {FOLDS - 1})) AS f),
-{out}_m AS (SELECT o.f, x.category, {means} FROM {src} x JOIN {out}_o o ON x.fold <> o.f GROUP BY 1, 2),
-{out}_c AS (SELECT o.f, {cov} FROM {src} x JOIN {out}_o o ON x.fold <> o.f
-    JOIN {out}_m m ON m.f = o.f AND m.category = x.category GROUP BY 1),
-{out}_b AS (SELECT f, {betas} FROM {out}_c),
-{out} AS (SELECT x.sku, {res} FROM {src} x JOIN {out}_m m ON m.f = x.fold AND m.category = x.category
-    JOIN {out}_b b ON b.f = x.fold)"""
-
-
 # --- dose response ----------------------------------------------------------
 
 _H = ["h0", "h1", "h2"]
@@ -386,7 +405,7 @@ def _cramer() -> str:
 
 _CURVE_AT = "(exp(b0 * grid + b1 * greatest(grid - 10, 0) + b2 * greatest(grid - 20, 0)) - 1) * 100"
 DOSE = (f"rows2 AS (SELECT *, t AS h0, greatest(t - 10, 0) AS h1, greatest(t - 20, 0) AS h2 FROM rows0), "
-        + cell_residuals("rows2", "dres", ["y", *_H], CELLS, [], ["sku"])
+        + linear("rows2", "dres", CONTROLS, ["y", *_H], [], ["sku"])
         + ", dm AS (SELECT sku, "
         + ", ".join(f"sum(h{i}_r * h{j}_r) AS g{i}{j}" for i in range(3) for j in range(i, 3)) + ", "
         + ", ".join(f"sum(h{i}_r * y_r) AS k{i}" for i in range(3)) + " FROM dres GROUP BY sku), "
@@ -542,13 +561,15 @@ SQL: dict[str, str] = {
         (SELECT {quantile_pair(SLOPE, 0.025, 0.975)} FROM wb)""",
     "fixed_effects": f"{BASE}, {PRESSURE}, {fixed_effects('strftime(month, {f})'.format(f=lit('%Y-%m-%d')))} {fe_result('1')}",
     "fixed_effects_by_category": f"{BASE}, {PRESSURE}, {fixed_effects('category || {b} || strftime(month, {f})'.format(b=lit('|'), f=lit('%Y-%m-%d')))} {fe_result('(SELECT count(DISTINCT category) FROM press)')}",
-    "pressure_effect": (f"{BASE}, {PRESSURE}, {FEATURES}, rows3 AS (SELECT p.sku, p.category, f.fold, f.m_sin, p.own_disc, p.y, p.subst_disc AS t "
+    "pressure_effect": (f"{BASE}, {PRESSURE}, {FEATURES}, rows3 AS (SELECT p.sku, p.category, f.fold, f.m_sin, f.m_cos, p.own_disc, p.y, p.subst_disc AS t "
                         "FROM press p JOIN features f USING (sku, client, month)), "
-                        + linear2("rows3", "pres", "m_sin", "own_disc", ["y", "t"]) + ", "
+                        + linear("rows3", "pres", ["m_sin", "m_cos", "own_disc"], ["y", "t"], [], ["sku"]) + ", "
                         + slope("pres", "peff", "t_r", "y_r", []) + f" SELECT {EFFECT_COLS} FROM peff"),
     "treated_share": f"{FEATURED} SELECT count(*) AS rows, {r('avg(CASE WHEN own_disc > 0 THEN 1e0 ELSE 0e0 END)')} AS treated_share FROM features",
-    "effect_cells": f"{EFFECT} SELECT {EFFECT_COLS} FROM eff",
-    "effect_linear": (f"{FEATURED}, {ROWS}, " + linear2("rows0", "lres", "m_sin", "lag_qty_1", ["y", "t"]) + ", "
+    "effect_cells": (f"{FEATURED}, {ROWS}, " + cell_residuals("rows0", "res", ["y", "t"], CELLS, [], ["sku"]) + ", "
+                     + slope("res", "eff", "t_r", "y_r", []) + f" SELECT {EFFECT_COLS} FROM eff"),
+    "effect_all_controls": f"{EFFECT} SELECT {EFFECT_COLS} FROM eff",
+    "effect_linear": (f"{FEATURED}, {ROWS}, " + linear("rows0", "lres", ["m_sin", "lag_qty_1"], ["y", "t"], [], ["sku"]) + ", "
                       + slope("lres", "leff", "t_r", "y_r", []) + f" SELECT {EFFECT_COLS} FROM leff"),
     "bootstrap_effect": f"""{EFFECT}, {draws('eff_m', 'bb', SUMS, REPS)} SELECT {r('theta')} AS theta, {r('se')} AS se, {r('qlo')} AS lo, {r('qhi')} AS hi
         FROM (SELECT theta FROM eff), (SELECT stddev_pop({SLOPE}) AS se, {quantile_pair(SLOPE, 0.025, 0.975)} FROM bb)""",
@@ -558,7 +579,7 @@ SQL: dict[str, str] = {
                 + "row_number() OVER (ORDER BY " + h60("sku || '|' || client || '|' || strftime(month, '%Y-%m-%d')", SEED, "'permute'")
                 + ", sku, client, month) AS ht FROM features), "
                 + "rows0 AS (SELECT a.* EXCLUDE (own_disc), b.own_disc AS t FROM keyed a JOIN keyed b ON a.at = b.ht), "
-                + cell_residuals("rows0", "res", ["y", "t"], CELLS, [], ["sku"]) + ", " + slope("res", "eff", "t_r", "y_r", [])
+                + linear("rows0", "res", CONTROLS, ["y", "t"], [], ["sku"]) + ", " + slope("res", "eff", "t_r", "y_r", [])
                 + f" SELECT {r('theta')} AS theta, {r('lo')} AS lo, {r('hi')} AS hi FROM eff"),
     "dose_response": f"""{EFFECT}, {DOSE}, band AS (SELECT grid, {quantile_pair('nl', 0.025, 0.975)} FROM boot GROUP BY grid)
         SELECT grid, {r('(exp(theta * grid) - 1) * 100', 4)} AS lin, {r('(exp(lo * grid) - 1) * 100', 4)} AS lin_lo, {r('(exp(hi * grid) - 1) * 100', 4)} AS lin_hi,
@@ -567,12 +588,12 @@ SQL: dict[str, str] = {
         hit AS (SELECT rep, target_pct, min(CASE WHEN nl >= target_pct THEN grid END) AS d FROM boot, goal GROUP BY 1, 2)
         SELECT target_pct, min(CASE WHEN nl >= target_pct THEN grid END) AS disc_pct, {r('max(qlo)')} AS low, {r('max(qhi)')} AS high
         FROM point, goal JOIN (SELECT target_pct, {quantile_pair('d', 0.1, 0.9)} FROM hit GROUP BY 1) USING (target_pct) GROUP BY target_pct""",
-    "split_conformal": f"""{FEATURED}, ms AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS k FROM (SELECT DISTINCT month FROM features)),
-        parts AS (SELECT f.*, CASE WHEN k <= 3 THEN 2 WHEN k <= 6 THEN 1 ELSE 0 END AS part FROM features f JOIN ms USING (month)),
-        cm AS (SELECT category, own_disc, avg(y) AS m FROM parts WHERE part = 0 GROUP BY 1, 2), am AS (SELECT avg(y) AS m FROM parts WHERE part = 0),
-        er AS (SELECT part, abs(y - coalesce(cm.m, am.m)) AS e FROM parts p LEFT JOIN cm USING (category, own_disc), am WHERE part > 0),
-        hw AS (SELECT quantile_cont(e, 0.9) AS q FROM er WHERE part = 1)
-        SELECT {r('avg(CASE WHEN e <= q THEN 1e0 ELSE 0e0 END)')} AS coverage, {r('max(q)')} AS halfwidth FROM er, hw WHERE part = 2""",
+    "split_conformal": (f"{FEATURED}, ms AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS k FROM (SELECT DISTINCT month FROM features)), "
+        + "parts AS (SELECT f.* EXCLUDE (fold), CASE WHEN k <= 3 THEN 2 WHEN k <= 6 THEN 1 ELSE 0 END AS part, "
+        + "CASE WHEN k <= 6 THEN 1 ELSE 0 END AS fold FROM features f JOIN ms USING (month)), "
+        + linear("parts", "er0", [*CONTROLS, "own_disc"], ["y"], [], ["part"], "1")
+        + ", er AS (SELECT part, abs(y_r) AS e FROM er0), hw AS (SELECT quantile_cont(e, 0.9) AS q FROM er WHERE part = 1) "
+        + f"SELECT {r('avg(CASE WHEN e <= q THEN 1e0 ELSE 0e0 END)')} AS coverage, {r('max(q)')} AS halfwidth FROM er, hw WHERE part = 2"),
     "baseline": f"{EFFECT}, {PLANNING} SELECT sku, {r('base_qty')} AS base_qty, cat, grp AS \"group\", {r('price_unit')} AS price_unit FROM base",
     "candidates": f"{EFFECT}, {PLANNING} SELECT {PLAN_COLS} FROM cand",
     "past_policy": f"{EFFECT}, {PLANNING} SELECT {r('hist_spend', 2)} AS hist_spend, {r('hist_net', 2)} AS hist_net FROM past",
@@ -582,13 +603,15 @@ SQL: dict[str, str] = {
     "lagrangian_plan": f"{EFFECT}, {PLANNING}, {LAGRANGE} SELECT {PLAN_COLS.replace('spend', 'e.spend', 1).replace('AS e.spend', 'AS spend')} FROM each4 e JOIN won w ON w.price = e.price",
     "lagrangian_report": f"""{EFFECT}, {PLANNING}, {LAGRANGE},
         bnd AS (SELECT l.price, l.price * w.budget + sum(l.v) AS b FROM (SELECT lam2.price, sku, max(greatest(obj - lam2.price * pos.spend, 0)) AS v
-          FROM pos, (SELECT 0e0 AS price UNION SELECT price FROM won) lam2 GROUP BY 1, 2) l, won w GROUP BY l.price, w.budget)
+          FROM pos, (SELECT 0e0 AS price UNION SELECT price FROM each4) lam2 GROUP BY 1, 2) l, won w GROUP BY l.price, w.budget)
         SELECT {r('value', 2)} AS value, {r('spend', 2)} AS spend, {r('(SELECT min(b) FROM bnd)', 2)} AS bound, {r('(SELECT min(b) FROM bnd) - value', 2)} AS gap FROM won""",
     "plan_report": f"""{EFFECT}, {PLANNING}, {greedy(1.0)} SELECT skus, {r('plan_net', 2)} AS plan_net, {r('plan_spend', 2)} AS plan_spend, {r('hist_spend', 2)} AS hist_spend,
         {r('hist_net', 2)} AS hist_net, {r('plan_net - hist_net', 2)} AS gain, {r('(plan_net - hist_net) / greatest(hist_net, 1) * 100', 2)} AS gain_pct, 'plan' AS outcome
         FROM (SELECT count(*) AS skus, sum(net) AS plan_net, sum(spend) AS plan_spend FROM plan), past""",
-    "empty_plan_report": f"""{EFFECT}, {PLANNING} SELECT CAST(0 AS BIGINT) AS skus, 0e0 AS plan_net, 0e0 AS plan_spend, {r('hist_spend', 2)} AS hist_spend, {r('hist_net', 2)} AS hist_net,
-        {r('0 - hist_net', 2)} AS gain, {r('(0 - hist_net) / greatest(hist_net, 1) * 100', 2)} AS gain_pct, 'no profitable discount' AS outcome FROM past""",
+    "empty_plan_report": f"""{EFFECT}, {PLANNING.replace(f'{COST}e0', '0.6e0')}, {greedy(1.0)} SELECT skus, {r('plan_net', 2)} AS plan_net, {r('plan_spend', 2)} AS plan_spend, {r('hist_spend', 2)} AS hist_spend,
+        {r('hist_net', 2)} AS hist_net, {r('plan_net - hist_net', 2)} AS gain, {r('(plan_net - hist_net) / greatest(hist_net, 1) * 100', 2)} AS gain_pct,
+        CASE WHEN skus = 0 THEN 'no profitable discount' ELSE 'plan' END AS outcome
+        FROM (SELECT count(*) AS skus, coalesce(sum(net), 0) AS plan_net, coalesce(sum(spend), 0) AS plan_spend FROM plan), past""",
     "gold_documents": f"{SEARCH} SELECT qid, doc_id FROM gold",
     **{f"search_{m}": f"{SEARCH} SELECT {RANKED_COLS} FROM ranked WHERE method = '{m}' AND rank <= 10"
        for m in ("category", "lexical", "structured", "dense")},

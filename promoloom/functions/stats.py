@@ -22,6 +22,13 @@ NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850,
                7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
 
 
+def nemenyi_q05(methods: int) -> float:
+    """Critical value for a number of methods."""
+    if methods not in NEMENYI_Q05:
+        raise ValueError(f"Nemenyi critical values are known for 2 to 10 methods, not {methods}")
+    return NEMENYI_Q05[methods]
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function."""
     z = F.abs(x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..columns import DEFAULTS
 from ..functions.hashing import hash60, panel_key
 from ..functions.stats import percent_effect
-from ..storage import attach, bounded, settle
+from ..storage import attach, bounded, join_null_safe, settle
 from .nuisance import Nuisance, residuals, solve_rows, with_folds
 from .numbering import global_rank
 from .quantiles import exact_quantile
@@ -39,9 +39,12 @@ def effect_moments(rows: DataFrame, nuisance: Nuisance, by: list[str] | None = N
 def _tree_moments(rows: DataFrame, nuisance: Nuisance, by: list[str], cluster: str) -> DataFrame:
     """Boosted trees group by group; the groups are categories with enough support."""
     groups = rows.select(*by).distinct().collect()
+    if not groups:
+        none = rows.limit(0).withColumns({"y_r": F.lit(0.0), "t_r": F.lit(0.0)})
+        return cluster_moments(none, "t_r", "y_r", cluster, by)
     parts = []
     for group in groups:
-        part = reduce(DataFrame.filter, [F.col(b) == group[b] for b in by], rows)
+        part = reduce(DataFrame.filter, [F.col(b).eqNullSafe(F.lit(group[b])) for b in by], rows)
         parts.append(cluster_moments(residuals(part, ["y", "t"], nuisance), "t_r", "y_r", cluster, by))
     return reduce(DataFrame.unionByName, parts)
 
@@ -162,6 +165,8 @@ def split_conformal(features: DataFrame, nuisance: Nuisance, test_months: int =
     """
     # The calendar is short; all its months fit one row.
     months = features.agg(F.sort_array(F.collect_set("month"), asc=False).alias("m")).first()["m"]
+    if len(months) < 2 * test_months:
+        raise ValueError(f"{len(months)} months are too few for {test_months} test and {test_months} calibration months")
     test_from, cal_from = months[test_months - 1], months[2 * test_months - 1]
     keep = list(dict.fromkeys([*nuisance.columns(), "own_disc"]))
     part = F.when(F.col("month") >= F.lit(test_from), 2).when(F.col("month") >= F.lit(cal_from), 1).otherwise(0)
@@ -189,7 +194,7 @@ def permute(rows: DataFrame, column: str, seed: int = DEFAULTS.seed,
     shuffled = rows.select(*dict.fromkeys([*by, "sku", "client", "month"]), column,
                            hash60(panel_key(), F.lit(seed), F.lit("permute")).alias("_h"))
     values = global_rank(shuffled, [F.col("_h"), *order], by, "_at").select(*by, "_at", column)
-    return targets.join(values, [*by, "_at"]).select(*rows.columns)
+    return join_null_safe(targets, values.select(*by, "_at", column), [*by, "_at"]).select(*rows.columns)
 
 
 def placebo(rows: DataFrame, nuisance: Nuisance, seed: int = DEFAULTS.seed,

@@ -11,9 +11,21 @@ from pyspark.sql import functions as F
 from ..columns import DEFAULTS, SERIES_KEY
 
 SEASON = ("m_sin", "m_cos", "is_high_season", "month_num", "quarter")
-LAGS = ("lag_qty_1", "lag_qty_2", "lag_qty_3", "lag_qty_6", "lag_qty_12",
-        "roll3_qty_mean", "roll6_qty_mean", "roll3_qty_std")
-CONTROLS = SEASON + LAGS
+# Statistics of the rows before, and how many rows.
+ROLLING = {"roll3_qty_mean": (F.avg, 3), "roll6_qty_mean": (F.avg, 6), "roll3_qty_std": (F.stddev_samp, 3)}
+
+
+def lag_name(k: int) -> str:
+    return f"lag_qty_{k}"
+
+
+def controls_for(lags: tuple[int, ...]) -> tuple[str, ...]:
+    """Names of the numeric controls that ``add_features`` makes with these lags."""
+    return (*SEASON, *map(lag_name, lags), *ROLLING)
+
+
+
+CONTROLS = controls_for(DEFAULTS.lags)
 
 
 def log_quantity(qty: Column) -> Column:
@@ -39,9 +51,8 @@ def add_features(panel: DataFrame, lags: tuple[int, ...] = DEFAULTS.lags) -> Dat
     """
     series = W.partitionBy(*SERIES_KEY).orderBy("month")
     zero = F.lit(0.0)
-    columns = {f"lag_qty_{k}": F.coalesce(F.lag("qty", k).over(series), zero) for k in lags}
-    columns["roll3_qty_mean"] = F.coalesce(F.avg("qty").over(series.rowsBetween(-3, -1)), zero)
-    columns["roll6_qty_mean"] = F.coalesce(F.avg("qty").over(series.rowsBetween(-6, -1)), zero)
-    columns["roll3_qty_std"] = F.coalesce(F.stddev_samp("qty").over(series.rowsBetween(-3, -1)), zero)
+    columns = {lag_name(k): F.coalesce(F.lag("qty", k).over(series), zero) for k in lags}
+    columns |= {name: F.coalesce(stat("qty").over(series.rowsBetween(-rows, -1)), zero)
+                for name, (stat, rows) in ROLLING.items()}
     columns["y"] = log_quantity(F.col("qty"))
     return add_season(panel).withColumns(columns)

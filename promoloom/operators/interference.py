@@ -182,4 +182,7 @@ def _second_effect(cells: DataFrame, value: str, tolerance: float, max_steps: in
         z = [a / d for a, d in zip(r, diag)]
         rz, old = dot(r, z), rz
         p = [a + rz / old * b for a, b in zip(z, p)]
+    if rz > stop:
+        raise RuntimeError(f"fixed effects: no convergence in {max_steps} steps, "
+                           f"squared residual {rz:.3g} above {stop:.3g}; raise max_steps")
     return dict(zip(levels, x))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS
 from ..functions.hashing import fold_of, panel_key
-from ..storage import bounded, settle
+from ..storage import bounded, join_null_safe, settle
 from .features import CONTROLS
 
 
@@ -85,12 +85,12 @@ def _cell_residuals(df: DataFrame, targets: list[str], cells: list[str], by: lis
                                              for t in targets])
 
     # A cell seen in one fold only takes the mean of all rows outside the fold.
-    table = (stats.select(*keys, "fold").join(means(keys, "_m_"), [*keys, "fold"], "left")
-             .join(bounded(means(by, "_all_")), [*by, "fold"], "left"))
+    table = join_null_safe(stats.select(*keys, "fold"), means(keys, "_m_"), [*keys, "fold"], "left")
+    table = join_null_safe(table, bounded(means(by, "_all_")), [*by, "fold"], "left")
     table = table.select(*keys, "fold", *[F.coalesce(f"_m_{t}", f"_all_{t}").alias(f"_m_{t}")
                                           for t in targets])
     rows = df if only_fold is None else df.filter(F.col("fold") == only_fold)
-    joined = rows.join(bounded(table), [*keys, "fold"], "left")
+    joined = join_null_safe(rows, bounded(table), [*keys, "fold"], "left")
     return joined.select(*df.columns, *[(F.col(t) - F.col(f"_m_{t}")).alias(f"{t}_r")
                                         for t in targets])
 
@@ -108,16 +108,14 @@ def _linear_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by:
     xs = list(nuisance.controls)
     keys = list(dict.fromkeys(by + list(nuisance.labels)))
     p, q = len(xs), len(targets)
-    value = [F.col(v).cast("double") for v in xs + targets]
     pairs = [(i, j) for i in range(p) for j in range(i, p)] + \
             [(i, p + k) for i in range(p) for k in range(q)]
+    # Sums of products lose digits when means are large against spreads; slopes don't depend on a shift.
+    centre = df.agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in xs + targets]).first()
+    shift = [float(centre[v] or 0.0) for v in xs + targets]
+    value = [F.col(v).cast("double") - F.lit(m) for v, m in zip(xs + targets, shift)]
     # One array per (labels, fold): count, sums, then sums of products.
-    stats = settle(df.groupBy(*keys, "fold").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        *[F.sum(v).alias(f"_s{i}") for i, v in enumerate(value)],
-        *[F.sum(value[i] * value[j]).alias(f"_c{i}_{j}") for i, j in pairs])
-        .select(*keys, "fold", F.array("_n", *[f"_s{i}" for i in range(p + q)],
-                                       *[f"_c{i}_{j}" for i, j in pairs]).alias("_m")))
+    stats = settle(_summed(_batch_moments(df, [*keys, "fold"], value, pairs), [*keys, "fold"], "_m"))
     outside = settle(_summed(_to_other_folds(stats, _fold_numbers(stats)), [*keys, "fold"], "_m"))
 
     # Dummies per label = centring by label: sums of products within the label.
@@ -136,8 +134,8 @@ def _linear_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by:
     chosen = gram.select(*by, "fold", _gather("_m", a).alias("_a"), _gather("_m", b).alias("_b"),
                          _means(F.col("_m"), p + q).alias("_all"))
     fitted = bounded(solve_rows(chosen, "_a", "_b", p, q))
-    table = (stats.select(*keys, "fold").join(outside, [*keys, "fold"], "left")
-             .join(fitted, [*by, "fold"]))
+    table = join_null_safe(stats.select(*keys, "fold"), outside, [*keys, "fold"], "left")
+    table = join_null_safe(table, fitted, [*by, "fold"])
     # A label seen in one fold only takes the mean of all rows outside the fold.
     mean = F.coalesce(_means(F.col("_m"), p + q), F.col("_all"))
     table = table.select(*keys, "fold", "_beta", mean.alias("_mean"))
@@ -145,12 +143,41 @@ def _linear_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by:
         (F.get("_mean", F.lit(p + k)) - _weighted("_beta", k * p, [F.get("_mean", F.lit(i)) for i in range(p)]))
         .alias(f"_i{k}") for k in range(q)])
     rows = df if only_fold is None else df.filter(F.col("fold") == only_fold)
-    joined = rows.join(bounded(table), [*keys, "fold"], "left")
+    joined = join_null_safe(rows, bounded(table), [*keys, "fold"], "left")
     return joined.select(*df.columns, *[
-        (F.col(t) - F.col(f"_i{k}") - _weighted("_beta", k * p, value[:p])).alias(f"{t}_r")
+        (value[p + k] - F.col(f"_i{k}") - _weighted("_beta", k * p, value[:p])).alias(f"{t}_r")
         for k, t in enumerate(targets)])
 
 
+def _batch_moments(df: DataFrame, keys: list[str], value: list[Column], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Per Arrow batch and key: an array of the count, the sums and the sums of products of ``pairs``.
+
+    A matrix product per batch and key takes the place of one aggregate
+    expression per pair.  Rows with a missing value count nowhere.
+    """
+    names = [f"_v{i}" for i in range(len(value))]
+    rows = df.select(*keys, *[v.alias(n) for v, n in zip(value, names)]).dropna(subset=names)
+    kinds = [df.schema[k].dataType.simpleString() for k in keys]
+    schema = ", ".join([*[f"`{k}` {t}" for k, t in zip(keys, kinds)], "_m array<double>"])
+    left, right = [i for i, _ in pairs], [j for _, j in pairs]
+
+    def sums(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            x = pdf[names].to_numpy(float)
+            for key, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
+                part = x[at]
+                gram = part.T @ part
+                first = pdf[keys].iloc[at[0]]
+                out.append((*first, [float(len(at)), *part.sum(0), *gram[left, right]]))
+            yield pd.DataFrame(out, columns=[*keys, "_m"])
+
+    return rows.mapInPandas(sums, schema)
+
+
 def _gather(array: str, places: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(i) for i in places]), lambda i: F.get(array, i))
 

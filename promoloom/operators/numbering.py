@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import bounded, settle
+from ..storage import join_null_safe, settle
 
 
 def global_rank(df: DataFrame, order: list[Column], by: list[str] | None = None,
@@ -31,7 +31,7 @@ def global_rank(df: DataFrame, order: list[Column], by: list[str] | None = None,
     runs = (runs.withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0)))
             .drop("_n"))
     rank = F.col("_at") - F.col("_first") + F.col("_skip") + F.lit(1)
-    joined = placed.join(bounded(runs), [*by, "_part"])
+    joined = join_null_safe(placed, runs, [*by, "_part"])
     return joined.select(*df.columns, rank.cast("bigint").alias(name))
 
 

@@ -14,9 +14,11 @@ PLAN_COLUMNS = ("sku", "cat", "group", "d", "net", "net_robust", "rev", "spend")
 
 
 def attach_prices(panel: DataFrame, price_table: DataFrame) -> DataFrame:
-    """Unit price (entry price per piece) and price-table group of each SKU."""
+    """Unit price (entry price per piece, to a tenth as in the price sheet) and group of each SKU."""
     prices = price_table.select(F.col("sku").cast("string").alias("sku"),
-                                F.col("entry_piece").alias("price_unit"),
+                                # Decimals, so that a tie is a tie whatever the last bit of the product.
+                                F.bround(F.col("entry_piece").cast("decimal(18,6)"), 1).cast("double")
+                                .alias("price_unit"),
                                 F.col("grp").alias("group"))
     return panel.join(bounded(prices), "sku", "left").fillna({"group": NO_GROUP})
 
@@ -103,7 +105,7 @@ def greedy_plan(cand: DataFrame, budget: float, slots: int = DEFAULTS.slots,
     spark = cand.sparkSession
     plan, spent, per_group, last = [], 0.0, {}, None
     while len(plan) < slots:
-        fits = best.filter(F.col("spend") <= F.lit(budget - spent))
+        fits = best.filter(F.lit(spent) + F.col("spend") <= F.lit(budget))
         full = [g for g, n in per_group.items() if n >= kmax]
         if full:
             fits = fits.filter(~F.col("group").isin(full))
@@ -144,12 +146,14 @@ def priced_plans(cand: DataFrame, slots: int = DEFAULTS.slots, kmax: int = DEFAU
     return top_per_group(capped, ["price"], order, slots).drop("rank")
 
 
-def spending_bound(cand: DataFrame, budget: float, price: float,
+def spending_bound(cand: DataFrame, budget: float, prices: list[float],
                    robust: bool = DEFAULTS.robust) -> float:
-    """No plan within the budget can be worth more than this (valid for any price >= 0)."""
-    worth = F.greatest(F.col("obj") - F.lit(price) * F.col("spend"), F.lit(0.0))
-    best = profitable(cand, robust).groupBy("sku").agg(F.max(worth).alias("w"))
-    return price * budget + (best.agg(F.sum("w")).first()[0] or 0.0)
+    """No plan within the budget can be worth more than this: the least bound over the prices."""
+    each = profitable(cand, robust).withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
+    worth = F.greatest(F.col("obj") - F.col("price") * F.col("spend"), F.lit(0.0))
+    best = each.groupBy("price", "sku").agg(F.max(worth).alias("w"))
+    bounds = best.groupBy("price").agg((F.col("price") * F.lit(budget) + F.sum("w")).alias("bound"))
+    return bounds.agg(F.min("bound")).first()[0] or 0.0
 
 
 def lagrangian_plan(cand: DataFrame, budget: float, slots: int = DEFAULTS.slots,
@@ -162,12 +166,11 @@ def lagrangian_plan(cand: DataFrame, budget: float, slots: int = DEFAULTS.slots,
     totals = plans.groupBy("price").agg(F.sum("obj").alias("value"), F.sum("spend").alias("spend"))
     feasible = totals.filter(F.col("spend") <= F.lit(budget))
     found = feasible.orderBy(F.desc("value"), "price").limit(1).collect()
-    # The dearest price still within budget gives the tightest simple bound.
     price, value, spend = (found[0]["price"], found[0]["value"], found[0]["spend"]) if found \
         else (float("inf"), 0.0, 0.0)
     plan = plans.filter(F.col("price") == F.lit(price)).select(*PLAN_COLUMNS)
-    bound = min(spending_bound(cand, budget, p, robust)
-                for p in ({0.0, price} if found else {0.0}))
+    tried = [0.0, *[r["price"] for r in totals.select("price").collect()]]
+    bound = spending_bound(cand, budget, sorted(set(tried)), robust)
     report = spark.createDataFrame(
         [(float(value), float(spend), float(bound), float(bound - value))],
         "value double, spend double, bound double, gap double")

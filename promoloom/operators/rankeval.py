@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS
-from ..functions.stats import NEMENYI_Q05, chi2_upper_tail, normal_cdf
+from ..functions.stats import chi2_upper_tail, nemenyi_q05, normal_cdf
 from ..storage import attach, bounded, settle
 from .numbering import global_rank
 
@@ -121,7 +121,7 @@ def nemenyi(metrics: DataFrame, methods: int, steps: int = 1600) -> DataFrame:
     unit = F.sqrt(F.lit(k * (k + 1) / 6.0) / F.col("queries"))
     diff = F.abs(F.col("ra") - F.col("rb"))
     pairs = pairs.select("method_a", "method_b", diff.alias("rank_diff"), (diff / unit).alias("q"),
-                         (F.lit(NEMENYI_Q05[k]) * unit).alias("critical_diff"))
+                         (F.lit(nemenyi_q05(k)) * unit).alias("critical_diff"))
     # The range statistic of unit normals is sqrt(2) times the rank statistic.
     width = F.col("q") * F.lit(math.sqrt(2.0))
     step = 16.0 / steps
@@ -132,5 +132,5 @@ def nemenyi(metrics: DataFrame, methods: int, steps: int = 1600) -> DataFrame:
     mass = points.withColumn("m", density * F.pow(inside, F.lit(float(k - 1))) * F.lit(k * step))
     keys = ["method_a", "method_b", "rank_diff", "q", "critical_diff"]
     out = mass.groupBy(*keys).agg(F.sum("m").alias("_in"))
-    return out.select(*keys, (F.col("q") > F.lit(NEMENYI_Q05[k])).alias("significant"),
+    return out.select(*keys, (F.col("q") > F.lit(nemenyi_q05(k))).alias("significant"),
                       F.greatest(F.lit(1.0) - F.col("_in"), F.lit(0.0)).alias("p"))

@@ -22,6 +22,8 @@ SUMS = ("n", "sx", "sy", "sxx", "sxy")
 def cluster_moments(df: DataFrame, x: str, y: str, cluster: str = "sku",
                     by: list[str] | None = None) -> DataFrame:
     """Sums of 1, x, y, x*x and x*y per cluster, written once."""
+    # Only rows that have both values count.
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     return settle(df.groupBy(*(by or []), cluster).agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy")))

@@ -110,7 +110,7 @@ def _top_or_first(found: DataFrame, queries: DataFrame, docs: DataFrame, k: int,
     each partition keeps only ``k`` per query before anything moves.
     """
     best = _top(found, method, k).select("qid", "doc_id", "score")
-    low = every_pair(queries.select("qid"), docs.filter(F.col("doc_id") < k).select("doc_id"))
+    low = every_pair(queries.select("qid"), docs.select("doc_id").orderBy("doc_id").limit(k))
     low = low.select("q.qid", "doc_id", F.lit(float(default)).alias("score"))
     both = best.unionByName(low).groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
     return _top(both, method, k)
@@ -195,6 +195,9 @@ def dense_scores(queries: DataFrame, docs: DataFrame, topn: int | None = None) -
     With ``topn`` every batch sends on only its best ``topn`` per query.
     """
     parts = [_block_scores(block, docs, topn) for block in _blocks(queries.select("qid", "vec"))]
+    if not parts:
+        kind = queries.schema["qid"].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"qid {kind}, doc_id bigint, score double")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..columns import DEFAULTS
 from ..functions import clean
 from ..functions.text import (name_attributes, name_tokens, product_head, with_pack_weight,
                               word_roots)
 from ..operators import causal, interference, planning, pricing, rankeval, resample, retrieval
 from ..operators.embedding import name_components
-from ..operators.features import add_features
+from ..operators.features import CONTROLS, add_features
 from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog, build_panel, monthly_discounts, monthly_sales
 from ..sources import warehouse as wh
@@ -24,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 CELLS = Nuisance("cells")
 TWO_CONTROLS = Nuisance("linear", controls=("m_sin", "lag_qty_1"))
-OUTCOME_CELLS = Nuisance("cells", cells=("category", "own_disc"))
+FULL = Nuisance()
+OUTCOME = Nuisance(controls=(*CONTROLS, "own_disc"))
 COST_SHARE = 0.3
 TIGHT = 0.2
 POOL = 30
@@ -60,7 +62,7 @@ def _catalog(spark: SparkSession, d: str) -> DataFrame:
     return build_catalog(wh.sales(spark, d), wh.promo_sales(spark, d))
 
 
-def _rows(spark: SparkSession, d: str, nuisance: Nuisance = CELLS) -> DataFrame:
+def _rows(spark: SparkSession, d: str, nuisance: Nuisance = FULL) -> DataFrame:
     return causal.design(_features(spark, d), nuisance)
 
 
@@ -87,14 +89,14 @@ def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 class _Planning:
     """Tables every planning query starts from."""
 
-    def __init__(self, spark: SparkSession, d: str):
+    def __init__(self, spark: SparkSession, d: str, cost_share: float = COST_SHARE):
         priced = settle(planning.attach_prices(_panel(spark, d), _prices(spark, d)))
-        rows = causal.design(add_features(priced), CELLS)
-        overall = settle(causal.effect(rows, CELLS))
-        by_category = settle(causal.effect_by_category(rows, CELLS))
+        rows = causal.design(add_features(priced), FULL)
+        overall = settle(causal.effect(rows, FULL))
+        by_category = settle(causal.effect_by_category(rows, FULL))
         self.base = settle(planning.baseline_table(priced))
-        self.cand = settle(planning.candidates(self.base, by_category, overall, cost_share=COST_SHARE))
-        self.past = settle(planning.past_policy(priced, self.base, by_category, overall, COST_SHARE))
+        self.cand = settle(planning.candidates(self.base, by_category, overall, cost_share=cost_share))
+        self.past = settle(planning.past_policy(priced, self.base, by_category, overall, cost_share))
 
     def budget(self, share: float = 1.0) -> float:
         return self.past.first()["hist_spend"] * share
@@ -172,22 +174,22 @@ def find_products(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_effect(spark: SparkSession, d: str) -> DataFrame:
-    return tidy(causal.effect(_rows(spark, d), CELLS, errors="bootstrap").drop("p"))
+    return tidy(causal.effect(_rows(spark, d), FULL, errors="bootstrap").drop("p"))
 
 
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    moments = causal.effect_moments(_rows(spark, d), CELLS)
+    moments = causal.effect_moments(_rows(spark, d), FULL)
     return tidy(resample.bootstrap_slope(moments, scheme="poisson"))
 
 
 def _curves(spark: SparkSession, d: str):
     rows = _rows(spark, d)
-    return rows, causal.response_curves(rows, CELLS)
+    return rows, causal.response_curves(rows, FULL)
 
 
 def dose_response(spark: SparkSession, d: str) -> DataFrame:
     rows, curves = _curves(spark, d)
-    return tidy(causal.dose_response(causal.effect(rows, CELLS), curves), 4)
+    return tidy(causal.dose_response(causal.effect(rows, FULL), curves), 4)
 
 
 def inverse_discount(spark: SparkSession, d: str) -> DataFrame:
@@ -208,9 +210,9 @@ def plan_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def empty_plan_report(spark: SparkSession, d: str) -> DataFrame:
-    """No candidate fits a zero budget: the report says so."""
-    p = _Planning(spark, d)
-    return tidy(planning.plan_report(planning.greedy_plan(p.cand, 0.0), p.past), 2)
+    """At the default cost share every discount loses: the report says so."""
+    p = _Planning(spark, d, DEFAULTS.cost_share)
+    return tidy(planning.plan_report(planning.greedy_plan(p.cand, p.budget(1.0)), p.past), 2)
 
 
 def lagrangian_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -249,21 +251,21 @@ QUERIES: dict[str, Query] = {
     "fixed_effects": lambda s, d: tidy(interference.fixed_effects(_pressure(s, d))),
     "fixed_effects_by_category": lambda s, d: tidy(interference.fixed_effects(_pressure(s, d), True)),
     "pressure_effect": lambda s, d: tidy(interference.dml_pressure(
-        _pressure(s, d), Nuisance("linear", controls=("m_sin", "own_disc")))),
+        _pressure(s, d), Nuisance("linear", controls=("m_sin", "m_cos", "own_disc")))),
     "treated_share": lambda s, d: tidy(causal.treated_share(_rows(s, d))),
-    "effect_cells": lambda s, d: tidy(causal.effect(_rows(s, d), CELLS)),
+    "effect_cells": lambda s, d: tidy(causal.effect(_rows(s, d, CELLS), CELLS)),
     "effect_linear": lambda s, d: tidy(causal.effect(_rows(s, d, TWO_CONTROLS), TWO_CONTROLS)),
-    "effect_all_controls": lambda s, d: tidy(causal.effect(_rows(s, d, Nuisance()), Nuisance())),
+    "effect_all_controls": lambda s, d: tidy(causal.effect(_rows(s, d), FULL)),
     "effect_trees": lambda s, d: tidy(causal.effect(_rows(s, d, TREES), TREES)),
     "bootstrap_effect": bootstrap_effect,
     "bootstrap_poisson": bootstrap_poisson,
-    "effect_by_category": lambda s, d: tidy(causal.effect_by_category(_rows(s, d), CELLS)),
+    "effect_by_category": lambda s, d: tidy(causal.effect_by_category(_rows(s, d), FULL)),
     "strongest_categories": lambda s, d: tidy(causal.strongest(
-        causal.effect_by_category(_rows(s, d), CELLS), 3)),
-    "placebo": lambda s, d: tidy(causal.placebo(_rows(s, d), CELLS)),
+        causal.effect_by_category(_rows(s, d), FULL), 3)),
+    "placebo": lambda s, d: tidy(causal.placebo(_rows(s, d), FULL)),
     "dose_response": dose_response,
     "inverse_discount": inverse_discount,
-    "split_conformal": lambda s, d: tidy(causal.split_conformal(settle(_features(s, d)), OUTCOME_CELLS)),
+    "split_conformal": lambda s, d: tidy(causal.split_conformal(settle(_features(s, d)), OUTCOME)),
     "baseline": lambda s, d: tidy(_Planning(s, d).base),
     "candidates": lambda s, d: tidy(_Planning(s, d).cand, 2),
     "past_policy": lambda s, d: tidy(_Planning(s, d).past, 2),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from ..columns import DEFAULTS, Settings
 from ..operators import causal, interference, planning, pricing, rankeval, retrieval
 from ..operators.embedding import attach_components, encode_names, name_components
-from ..operators.features import CONTROLS, add_features
+from ..operators.features import add_features, controls_for
 from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog
 from ..storage import settle
@@ -80,11 +80,11 @@ def effect_stage(panel: DataFrame, catalog: DataFrame | None = None,
                  settings: Settings = DEFAULTS, kind: str = "linear") -> dict[str, DataFrame]:
     """Effect of discount depth; with a catalog, name components join the controls."""
     features = add_features(panel, settings.lags)
-    controls = CONTROLS
+    controls = controls_for(settings.lags)
     if catalog is not None:
         parts = settle(name_components(catalog, settings.embedding_dims))
         features = attach_components(features, parts)
-        controls = CONTROLS + tuple(c for c in parts.columns if c.startswith("emb_"))
+        controls = controls + tuple(c for c in parts.columns if c.startswith("emb_"))
     features = settle(features)
     nuisance = Nuisance(kind, controls=controls)
     rows = causal.design(features, nuisance, folds=settings.folds, seed=settings.seed)
@@ -105,7 +105,7 @@ def planning_stage(panel: DataFrame, price_table: DataFrame, settings: Settings
                    kind: str = "linear", method: str = "greedy") -> dict[str, DataFrame]:
     """Plan under the history's own spend, and its comparison with history."""
     priced = settle(planning.attach_prices(panel, price_table))
-    nuisance = Nuisance(kind)
+    nuisance = Nuisance(kind, controls=controls_for(settings.lags))
     rows = causal.design(add_features(priced, settings.lags), nuisance, folds=settings.folds,
                          seed=settings.seed)
     overall = settle(causal.effect(rows, nuisance))
