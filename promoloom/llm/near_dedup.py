@@ -3,22 +3,26 @@
 1. One pass reads the texts: the number of distinct shingles, a digest of the
    word sequence, and the ``SKETCH`` smallest values of one hash function over
    the shingles.  Texts of one word sequence are one row from here on.
-2. Inverted lists hold the sketch values.  Two texts at the threshold share at
-   least so many of their values that, in any order common to all texts, the
-   first ``prefix`` of each have one in common.  The order is by list length, the
-   rarest first, so a value that many texts have is indexed only by texts that
-   have little else.
-3. Every list compares its members with its hub, the member whose values are the
-   most common.  Pairs pass the union-sketch estimate, then the exact Jaccard
+2. Inverted lists of retained values.  A set that its sketch holds whole is
+   indexed by single values, apart for each range of sizes.  A larger one is
+   indexed by runs of ``RUN`` neighbouring retained values, which chance hardly
+   shares.  Texts at the threshold share at least so many entries that, in any
+   order common to all texts, the first ``need`` of each have one in common; the
+   order is by list length, the rarest first, so what many texts have is indexed
+   only by texts that have little else.
+3. Every list compares its members with its hub, the member whose entries are
+   the most common.  Pairs pass the union-sketch estimate, then the exact Jaccard
    similarity of the full sets decides.  Links make components.
 4. Lists whose members are all in one component are done.  Short lists compare
-   what is left, pair by pair across components.  Members of long ones get lists
-   anew, over all their shingles (exact prefixes: no chance is involved), hubs
-   first, then what is left across components.
-
-The probability that two texts at the threshold share no indexed value is below
-2e-7 a pair (a binomial tail: half of 64 values unshared when a fifth is); for
-sets of at most ``SKETCH`` shingles it is zero.
+   what is left, pair by pair across components.  Long ones are gathered into
+   clusters; there the texts outside the largest component meet all others in
+   blocks, as products of incidence matrices, and each block returns a spanning
+   forest of its links.
+
+For sets of at most ``SKETCH`` shingles no link can be lost.  For larger ones the
+probability that two texts at the threshold have no indexed run in common is
+below ``MISS`` (the retained values of the union are shared with a probability
+of the similarity each).
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -36,14 +41,21 @@ from pyspark.sql import functions as F
 from ..storage import settle
 from .components import components
 from .text import WORD, columns_of, keep_keys, map_slices, whole_text
+from .vectors import forest_of
 
 SKETCH = 64
-#: Sketch values of a text that are indexed, the rarest first.
-INDEXED = 32
+#: Neighbouring retained values of an entry, and the most that a link may be missed by.
+RUN, MISS = 2, 1e-7
+#: From this size on a set is indexed by runs.
+LARGE = 52
 #: Standard deviations of the estimate that a pair may lack and still be verified.
 SLACK = 5.5
 #: Members of a list whose pairs across components are compared one by one.
 SHORT_LIST = 48
+#: Texts of a block in the comparison of clusters.
+BLOCK = 400
+#: Keys that may be broadcast to pick their texts; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -107,7 +119,7 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
     reps = settle(rows.join(classes.filter("rep is not null"), "digest").filter("row_key = rep")
                   .dropDuplicates(["digest"]).select("rep", "digest", "n", "sketch"))
     bodies = texts.filter("row_key is not null")
-    group = components(_links(reps, bodies, size, percent))
+    group = _groups(reps, bodies, size, percent)
     named = classes.join(group, F.col("rep") == F.col("node"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(named, "digest", "left").select(
@@ -125,100 +137,122 @@ def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return keep_keys(df, kept.select(F.col(f"`{key}`")), key)
 
 
-def _links(reps: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect what all links connect."""
-    lists = settle(_sketch_lists(reps, percent))
-    first = settle(_verify(_estimated(_hub_pairs(lists), reps, percent), bodies, size, percent))
-    open_lists = settle(_open_lists(lists, first))
-    short = _cross_pairs(open_lists.filter(F.col("members") <= SHORT_LIST))
-    second = settle(_verify(_estimated(short, reps, percent), bodies, size, percent))
-    links = first.unionByName(second)
-    crowded = open_lists.filter(F.col("members") > SHORT_LIST).select("doc").distinct()
-    full = settle(_full_lists(crowded, bodies, size, percent))
-    third = settle(_verify(_hub_pairs(full), bodies, size, percent))
-    links = links.unionByName(third)
-    fourth = settle(_verify(_cross_pairs(_open_lists(full, links)), bodies, size, percent))
-    return links.unionByName(fourth)
-
-
-def _indexed(entries: DataFrame, need) -> DataFrame:
-    """Entries (doc, value, shared, n_doc) that are in their text's prefix.
+def spare_runs(n: int, share: float) -> int:
+    """How many of the runs of ``n`` retained values two texts may leave out.
 
-    ``shared`` is the number of texts with the value, at least 2; values of one
-    text come before them in the order, and only their number matters.
+    The largest D for which at most D shared runs have a probability below
+    ``MISS`` when each of ``n`` values is shared with probability ``share``.
     """
-    ordered = W.partitionBy("doc").orderBy("shared", "value")
-    own = F.col("n_doc") - F.count(F.lit(1)).over(W.partitionBy("doc"))
-    ranked = entries.withColumn("place", own + F.row_number().over(ordered))
-    weight = F.sum(F.log2("shared")).over(W.partitionBy("doc"))
-    ranked = ranked.withColumn("weight", weight)
-    return ranked.filter(F.col("place") <= need).select("value", "doc", "weight")
-
-
-def _shared(entries: DataFrame) -> DataFrame:
+    # state: length of the current streak (at most RUN), number of runs -> probability
+    state = {(0, 0): 1.0}
+    for _ in range(n):
+        new: dict[tuple[int, int], float] = {}
+        for (streak, runs), p in state.items():
+            longer = min(streak + 1, RUN)
+            for to, q in (((longer, runs + (longer == RUN)), p * share), ((0, runs), p * (1 - share))):
+                new[to] = new.get(to, 0.0) + q
+        state = new
+    total = 0.0
+    for d in range(n):
+        total += sum(p for (_, runs), p in state.items() if runs == d)
+        if total >= MISS:
+            return max(d - 1, 0)
+    return 0
+
+
+def _groups(reps: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` of every linked text."""
+    lists = settle(_lists(reps, percent))
+    group = components(_verify(_estimated(settle(_hub_pairs(lists)), reps, percent), bodies, size, percent))
+    open_lists = settle(_open_lists(lists, group))
+    if open_lists.isEmpty():
+        return group
+    short = settle(_cross_pairs(open_lists.filter(F.col("members") <= SHORT_LIST)))
+    group = _joined(group, _verify(_estimated(short, reps, percent), bodies, size, percent))
+    long_lists = settle(_open_lists(lists, group).filter(F.col("members") > SHORT_LIST))
+    if long_lists.isEmpty():
+        return group
+    return _joined(group, _cluster_links(long_lists, bodies, size, percent))
+
+
+def _joined(group: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what was connected before and further links."""
+    links = settle(links)
+    if links.isEmpty():
+        return group
+    return components(links.unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _lists(reps: DataFrame, percent: int) -> DataFrame:
+    """``value``, ``doc`` and ``weight`` of every indexed entry that two texts or more have."""
+    n = F.size("sketch")
+    # Sets within the threshold differ in size by 100 / percent at most: their ranges are equal or neighbours.
+    place = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    small = reps.filter(F.col("n") <= SKETCH).select(
+        F.col("rep").alias("doc"), F.explode(F.array(place, place + 1)).alias("space"), "sketch",
+        (n - F.ceil(n * percent / 100) + 1).alias("need"))
+    small = small.select("doc", "space", n.alias("n_doc"), "need", F.explode("sketch").alias("value"))
+    spare = F.array(*[F.lit(spare_runs(k, percent / 100)) for k in range(LARGE, SKETCH + 1)])
+    runs = F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get("sketch", i + j) for j in range(RUN)]))
+    large = reps.filter(F.col("n") >= LARGE).select(
+        F.col("rep").alias("doc"), F.lit(-1).alias("space"), (n - RUN + 1).alias("n_doc"),
+        (n - RUN + 1 - F.get(spare, n - LARGE)).alias("need"), F.explode(runs).alias("value"))
+    entries = small.unionByName(large).withColumn("value", F.xxhash64("space", "value"))
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
-    return entries.join(counts, "value")
-
-
-def _sketch_lists(reps: DataFrame, percent: int) -> DataFrame:
-    entries = reps.select(F.col("rep").alias("doc"), F.size("sketch").cast("long").alias("n_doc"), F.explode("sketch").alias("value"))
-    n = F.col("n_doc")
-    exact = n - F.ceil(n * percent / 100) + 1
-    # A set that a sketch may cut, or whose partner's sketch may, needs the longer prefix.
-    need = F.when(n * 100 < SKETCH * percent, exact).otherwise(F.greatest(exact, F.lit(INDEXED)))
-    return _indexed(_shared(entries), need)
-
-
-def _full_lists(docs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
-    """Lists over all shingles of ``docs``, with prefixes that lose no pair."""
-    read = bodies.join(docs, F.col("row_key") == F.col("doc"), "left_semi").dropDuplicates(["row_key"])
-
-    def explode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [values(shingles(words_of(t), size)) for t in batch.column("text").to_pylist()]
-        n = np.array([len(v) for v in out], np.int64)
-        at = np.repeat(np.arange(len(out)), n)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("row_key").take(pa.array(at)), pa.array(np.repeat(n, n)),
-             pa.array(np.concatenate([*out, np.zeros(0, np.int64)]))], names=["doc", "n_doc", "value"])
-
-    kind = bodies.schema["row_key"].dataType.simpleString()
-    entries = settle(map_slices(columns_of(read, "row_key", "text"), explode, f"doc {kind}, n_doc long, value long"))
-    # Equal values of different shingles only add candidates.
-    n = F.col("n_doc")
-    return _indexed(_shared(entries), n - F.ceil(n * percent / 100) + 1)
+    # Values of one text alone come first in the order, and only their number matters.
+    own = W.partitionBy("doc", "space")
+    ranked = (entries.join(counts, "value")
+              .withColumn("place", F.col("n_doc") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("shared", "value")))
+              .withColumn("weight", F.sum(F.log2("shared")).over(own)))
+    return ranked.filter(F.col("place") <= F.col("need")).select("value", "doc", "weight")
 
 
 def _hub_pairs(lists: DataFrame) -> DataFrame:
     """Each list's members with its hub."""
-    hubs = lists.groupBy("value").agg(F.min(F.struct((-F.col("weight")).alias("w"), "doc")).alias("hub"), F.count(F.lit(1)).alias("members"))
-    return _pairs(lists.join(hubs.filter("members > 1"), "value").select(F.col("hub.doc").alias("x"), F.col("doc").alias("y")))
+    hubs = lists.groupBy("value").agg(_hub(), F.count(F.lit(1)).alias("members"))
+    return _pairs(lists.join(hubs.filter("members > 1"), "value").select(F.col("hub").alias("x"), F.col("doc").alias("y")))
+
+
+def _hub():
+    return F.min(F.struct((-F.col("weight")).alias("w"), "doc"))["doc"].alias("hub")
 
 
 def _pairs(found: DataFrame) -> DataFrame:
     return (found.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
-def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, group: DataFrame) -> DataFrame:
     """Members of lists that have several components, with their component and hub."""
-    group = components(links)
     placed = (lists.join(group, F.col("doc") == F.col("node"), "left")
               .withColumn("component", F.coalesce("component", "doc")).drop("node"))
-    state = placed.groupBy("value").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
-        F.min(F.struct((-F.col("weight")).alias("w"), "doc")).alias("hub"))
+    state = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                        F.count(F.lit(1)).alias("members"), _hub())
     return placed.join(state.filter("low != high and members > 2"), "value").drop("low", "high", "weight")
 
 
 def _cross_pairs(open_lists: DataFrame) -> DataFrame:
     """Pairs of a list in different components; its hub has met all of them already."""
-    rest = open_lists.filter("doc != hub.doc").select("value", "doc", "component")
+    rest = open_lists.filter("doc != hub").select("value", "doc", "component")
     x = rest.select("value", F.col("doc").alias("x"), F.col("component").alias("cx"))
     y = rest.select("value", F.col("doc").alias("y"), F.col("component").alias("cy"))
     return _pairs(x.join(y, "value").filter("cx < cy"))
 
 
+def _only(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` for distinct ``keys`` (one column), picked where they are read if the keys are few enough."""
+    keys = settle(keys.toDF("_key").distinct())
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, F.col(key) == F.col("_key"), "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))
+
+
 def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose union sketch doesn't rule them out."""
+    reps = _only(reps, "rep", _ends(pairs))
     left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     t = percent / 100
@@ -226,15 +260,15 @@ def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
     k = F.size("u")
-    return (met.withColumn("u", union)
-            .filter(both >= k * t - SLACK * F.sqrt(k * t * (1 - t)) - 1e-9).select("a", "b"))
+    return settle(met.withColumn("u", union)
+                  .filter(both >= k * t - SLACK * F.sqrt(k * t * (1 - t)) - 1e-9).select("a", "b"))
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets link."""
-    body = bodies.dropDuplicates(["row_key"]) if False else bodies
-    left = body.select(F.col("row_key").alias("a"), F.col("text").alias("ta"))
-    right = body.select(F.col("row_key").alias("b"), F.col("text").alias("tb"))
+    bodies = _only(bodies, "row_key", _ends(pairs))
+    left = bodies.select(F.col("row_key").alias("a"), F.col("text").alias("ta"))
+    right = bodies.select(F.col("row_key").alias("b"), F.col("text").alias("tb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,3 +286,62 @@ def _verify(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Dat
 
     kind = bodies.schema["row_key"].dataType.simpleString()
     return met.mapInArrow(check, f"a {kind}, b {kind}").distinct()
+
+
+def _cluster_links(long_lists: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components of each cluster of lists, as spanning forests of blocks."""
+    cluster = components(long_lists.select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    docs = (long_lists.select("doc", F.col("component").alias("part")).distinct()
+            .join(cluster.select(F.col("node").alias("doc"), F.col("component").alias("cluster")), "doc"))
+    sizes = docs.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "part"))["part"].alias("main"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("turns"))
+    docs = settle(docs.join(whole, "cluster"))
+    kind = bodies.schema["row_key"].dataType.simpleString()
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [values(shingles(words_of(t), size)) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(found, pa.list_(pa.int64()))], names=["doc", "grams"])
+
+    texts = columns_of(_only(bodies, "row_key", docs.select("doc")), "row_key", "text")
+    grams = map_slices(texts, sets, f"doc {kind}, grams array<bigint>")
+    rows = settle(docs.join(grams, "doc").dropDuplicates(["doc"]))
+    spread = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = (rows.filter("part != main").withColumn("turn", spread("turns")).withColumn("block", every("blocks"))
+             .select("cluster", "turn", "block", "doc", "grams").toDF("q_cluster", "q_turn", "q_block", "q_doc", "q_grams"))
+    told = (rows.withColumn("block", spread("blocks")).withColumn("turn", every("turns"))
+            .select("cluster", "turn", "block", "doc", "grams"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = left["q_doc"].to_numpy(), right["doc"].to_numpy()
+        i, j = np.nonzero(_similar(left["q_grams"].combine_chunks(), right["grams"].combine_chunks(), percent))
+        a, b = forest_of(x[i], y[j])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)}).cast(pa.schema([("a", left.schema.field("q_doc").type), ("b", left.schema.field("q_doc").type)]))
+
+    return asked.groupBy("q_cluster", "q_turn", "q_block").cogroup(
+        told.groupBy("cluster", "turn", "block")).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _similar(left: pa.Array, right: pa.Array, percent: int, width: int = 8_192) -> np.ndarray:
+    """Which sets of the two lists link: products of incidence matrices, ``width`` values at a time."""
+    na, nb = (np.asarray(pc.list_value_length(x).to_numpy(zero_copy_only=False), np.int64) for x in (left, right))
+    inter = np.zeros((len(na), len(nb)), np.float64)
+    fa, fb = left.flatten().to_numpy(), right.flatten().to_numpy()
+    names = np.intersect1d(fa, fb)
+    rows = []
+    for flat, n in ((fa, na), (fb, nb)):
+        at = np.searchsorted(names, flat)
+        known = (at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == flat) if len(names) else np.zeros(len(flat), bool)
+        order = np.argsort(at[known], kind="stable")
+        rows.append((at[known][order], np.repeat(np.arange(len(n)), n)[known][order]))
+    for s in range(0, len(names), width):
+        parts = []
+        for (at, row), n in zip(rows, (na, nb)):
+            lo, hi = np.searchsorted(at, [s, s + width])
+            m = np.zeros((len(n), min(width, len(names) - s)), np.float32)
+            m[row[lo:hi], at[lo:hi] - s] = 1
+            parts.append(m)
+        inter += parts[0] @ parts[1].T
+    return 100 * inter >= percent * (na[:, None] + nb[None, :] - inter)
