@@ -40,11 +40,11 @@ def pick(values: list, at: str) -> str:
     return f"({lit(values)})[CAST(({at}) % {len(values)} AS INTEGER) + 1]"
 
 
-def tenth(x: str) -> str:
-    """Half-even to one digit, on millionths, so that ties are exact."""
-    m = f"CAST(round(({x}) * 1e6) AS BIGINT)"
-    return (f"(({m} // 100000) + CASE WHEN {m} % 100000 > 50000 THEN 1 WHEN {m} % 100000 = 50000 "
-            f"THEN ({m} // 100000) % 2 ELSE 0 END) / 10e0")
+def tenth(x: str, unit: int = 100_000) -> str:
+    """Half-even to one digit (or to ``unit`` millionths), on millionths, so that ties are exact."""
+    m = f"CAST(round(abs({x}) * 1e6) AS BIGINT)"
+    return (f"(CASE WHEN {x} < 0 THEN -1 ELSE 1 END * (({m} // {unit}) + CASE WHEN {m} % {unit} > {unit // 2} THEN 1 "
+            f"WHEN {m} % {unit} = {unit // 2} THEN ({m} // {unit}) % 2 ELSE 0 END) / {1_000_000 // unit}e0)")
 
 
 def r(x: str, n: int = 6) -> str:
@@ -651,3 +651,15 @@ def _poisson() -> str:
 
 
 SQL["bootstrap_poisson"] = _poisson()
+
+# What sources and sinks hand back is what went in.
+SQL["sales_extract"] = SQL["monthly_sales"]
+SQL["discount_extract"] = SQL["monthly_discounts"]
+SQL["price_sheet"] = SQL["price_per_kg"]
+SQL["promo_extract"] = f"""WITH {LINES} SELECT strftime(date_trunc('month', date), '%Y-%m-%d') AS month, count(*) AS rows,
+    sum(qty) AS qty, false AS typed FROM lines WHERE disc > 0 GROUP BY 1"""
+SQL["price_sink"] = f"""WITH {LINES}, {PRICES} SELECT sku, name, category, grp, product, weight_method, {tenth('weight_g')} AS weight_g, price_method,
+    {tenth('entry_kg')} AS entry_kg, {tenth('shelf_kg')} AS shelf_kg, {tenth('(shelf_kg / entry_kg - 1) * 100')} AS markup_pct,
+    {tenth('entry_kg * weight_g / 1000')} AS entry_piece, {tenth('shelf_kg * weight_g / 1000')} AS shelf_piece FROM ptable"""
+SQL["plan_sink"] = f"""{EFFECT}, {PLANNING}, {greedy(1.0)} SELECT sku, cat, grp AS "group", {tenth('d', 1_000_000)} AS d,
+    {', '.join(f"{tenth(c, 1_000_000)} AS {c}" for c in ('net', 'net_robust', 'rev', 'spend'))} FROM plan"""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..columns import DEFAULTS
+from ..columns import DEFAULTS, DISCOUNT_HEADERS, SALES_HEADERS
 from ..functions import clean
 from ..functions.text import (name_attributes, name_tokens, product_head, with_pack_weight,
                               word_roots)
@@ -17,8 +18,9 @@ from ..operators.embedding import name_components
 from ..operators.features import CONTROLS, add_features
 from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog, build_panel, monthly_discounts, monthly_sales
+from ..sources import extracts
 from ..sources import warehouse as wh
-from ..storage import settle
+from ..storage import settle, shared_dir
 from .stages import all_rankings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +106,60 @@ class _Planning:
 
 # --- queries ----------------------------------------------------------------
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/extracts-{uuid.uuid4().hex}"
+
+
+def sales_extract(spark: SparkSession, d: str) -> DataFrame:
+    """Sales written as a business extract (day-first dates, decimal commas), read back and summed by month."""
+    whole = F.col("qty").cast("bigint")
+    rows = wh.sales(spark, d).withColumns({
+        "date": F.date_format("date", "dd.MM.yyyy"),
+        "qty": F.concat(whole.cast("string"), F.lit(","), F.lpad(F.round((F.col("qty") - whole) * 100).cast("int").cast("string"), 2, "0"))})
+    folder = _folder(spark)
+    extracts.write_source(rows, folder, SALES_HEADERS)
+    return tidy(monthly_sales(extracts.read_sales(spark, folder)))
+
+
+def promo_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The promo fact, without ``type``, written and read back, stacked on nothing, totalled by month."""
+    folder = _folder(spark)
+    extracts.write_source(wh.promo_sales(spark, d), folder, SALES_HEADERS)
+    fact = extracts.union_facts(None, extracts.read_sales(spark, folder))
+    return tidy(fact.groupBy(clean.month(fact, "date").alias("month")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(clean.number(fact, "qty")).alias("qty"), F.lit("type" in fact.columns).alias("typed")))
+
+
+def discount_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The discount plan written as a business extract and read back."""
+    rows = wh.discounts(spark, d).withColumn("week_start", F.date_format("week_start", "d/M/yyyy"))
+    folder = _folder(spark)
+    extracts.write_source(rows, folder, DISCOUNT_HEADERS)
+    return tidy(monthly_discounts(extracts.read_discounts(spark, folder)))
+
+
+def price_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The positional price sheet written and read back."""
+    folder = _folder(spark)
+    extracts.write_price_sheet(wh.price_list(spark, d), folder)
+    return tidy(pricing.price_per_kg(extracts.read_price_list(spark, folder), (2000.0, 15000.0)))
+
+
+def price_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Price tables written rounded; the table per SKU read back as planning reads it."""
+    prices, folder = settle(_prices(spark, d)), _folder(spark)
+    by_product = pricing.price_by_product(settle(pricing.price_per_kg(wh.price_list(spark, d))))
+    extracts.write_price_tables(folder, prices, by_product, pricing.price_coverage(prices))
+    return tidy(extracts.read_price_table(spark, folder))
+
+
+def plan_sink(spark: SparkSession, d: str) -> DataFrame:
+    """The greedy plan written in whole numbers and read back."""
+    p, folder = _Planning(spark, d), _folder(spark)
+    extracts.write_plan(folder, planning.greedy_plan(p.cand, p.budget()))
+    return tidy(spark.read.parquet(folder), 2)
+
+
 def clean_values(spark: SparkSession, d: str) -> DataFrame:
     """Prices and dates written as text in mixed forms, read back and totalled by month."""
     lines = wh.table(spark, d, "lineitem")
@@ -235,6 +291,12 @@ def overall_prices(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "clean_values": clean_values,
+    "sales_extract": sales_extract,
+    "promo_extract": promo_extract,
+    "discount_extract": discount_extract,
+    "price_sheet": price_sheet,
+    "price_sink": price_sink,
+    "plan_sink": plan_sink,
     "monthly_sales": lambda s, d: tidy(monthly_sales(wh.sales(s, d))),
     "monthly_discounts": lambda s, d: tidy(monthly_discounts(wh.discounts(s, d))),
     "monthly_panel": lambda s, d: tidy(_panel(s, d)),

@@ -58,9 +58,26 @@ def clean_price_list(df: DataFrame) -> DataFrame:
                     & (F.trim("name") != PRICE_LIST_HEADER)))
 
 
+def write_source(df: DataFrame, path: str, headers: dict[str, str]) -> None:
+    """CSV with the business headers, as the extracts come: every value as text."""
+    names = {short: long for long, short in headers.items()}
+    (df.select(*[F.col(c).cast("string").alias(names[c]) for c in df.columns])
+     .write.option("header", True).csv(path))
+
+
+def write_price_sheet(df: DataFrame, path: str, positions: tuple[int, int, int] = PRICE_LIST_POSITIONS) -> None:
+    """Positional CSV of a price list; each file repeats the header row inside, as the sheets do."""
+    cells = dict(zip(positions, ("name", "entry_price", "shelf_price")))
+    head = dict(zip(positions, (PRICE_LIST_HEADER, "entry", "shelf")))
+    width = range(max(positions) + 1)
+    rows = df.select(*[(F.col(cells[i]).cast("string") if i in cells else F.lit("")).alias(f"c{i}") for i in width])
+    titles = df.sparkSession.range(1).select(*[F.lit(head.get(i, "")).alias(f"c{i}") for i in width])
+    titles.unionByName(rows).write.option("header", False).csv(path)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Round every double half to even, as the written sheets do."""
-    return df.select(*[F.bround(F.col(f.name), digits).alias(f.name)
+    """Round every double half to even, as the written sheets do; on decimals, so that ties are exact."""
+    return df.select(*[F.bround(F.col(f.name).cast("decimal(38,6)"), digits).cast("double").alias(f.name)
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
