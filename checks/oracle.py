@@ -418,7 +418,7 @@ DOSE = (f"rows2 AS (SELECT *, t AS h0, greatest(t - 10, 0) AS h1, greatest(t - 2
 
 # --- search -----------------------------------------------------------------
 
-POOL = 30
+POOL = 120
 
 
 def attr_score(a: str, b: str) -> str:

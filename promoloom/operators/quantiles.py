@@ -1,8 +1,10 @@
 """Exact quantiles of groups of any size.
 
 ``percentile`` holds a whole group's values in one task.  Here a sketch only
-brackets the wanted ranks; exact counts below the bracket and the few values
-inside it give the answer, so memory per group is the sketch's.
+brackets the wanted ranks, counts in bins narrow the bracket until at most
+``INSIDE`` rows are in it, and exact counts below the bracket and the values
+inside it give the answer.  So no task holds more of a group than that, however
+large the group is; rows that repeat a value are one counted row.
 """
 
 from __future__ import annotations
@@ -11,17 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import bounded
+from ..storage import bounded, settle
 
 ACCURACY = 10_000
+#: Rows of a group that one task ranks, and bins of a narrowing step.
+INSIDE, BINS = 100_000, 1_024
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = None,
-                   name: str = "quantile", accuracy: int = ACCURACY) -> DataFrame:
+                   name: str = "quantile", accuracy: int = ACCURACY, inside: int = INSIDE) -> DataFrame:
     """Linear-interpolated quantile per group; nulls and null groups are dropped.
 
-    ``df`` is read twice (bracket, then exact counts): settle it first when it
-    is costly.
+    ``df`` is read three times (bracket, its size, exact counts) and once more
+    for each narrowing: settle it first when it is costly.
     """
     by = list(by or [])
     marker = by or ["_all"]
@@ -44,7 +48,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = N
         F.when((F.col("_total") <= accuracy) | F.lit(q - slack <= 0), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
         F.when((F.col("_total") <= accuracy) | F.lit(q + slack >= 1), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
         ((F.col("_total") - 1) * F.lit(q)).alias("_pos"))
-    near = rows.join(bounded(sketch), marker).filter(F.col("_v") <= F.col("_hi"))
+    near = rows.join(bounded(_narrowed(rows, settle(sketch), marker, inside)), marker).filter(F.col("_v") <= F.col("_hi"))
     # Everything below the bracket travels as one counted row, and so do repeats.
     near = (near.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
             .groupBy(*marker, "_v", "_pos").agg(F.count(F.lit(1)).alias("_n")))
@@ -61,3 +65,28 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = N
     missed = F.col("_vl").isNull() | F.col("_vh").isNull()
     checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     return at.select(*by, checked.otherwise(value_at).alias(name))
+
+
+def _narrowed(rows: DataFrame, bracket: DataFrame, marker: list[str], inside: int) -> DataFrame:
+    """The bracket with at most ``inside`` rows a group between its ends, or one value."""
+    while True:
+        met = rows.join(bounded(bracket), marker)
+        held = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        wide = met.groupBy(*marker).agg(F.count_if(held).alias("_held"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
+        if wide.filter((F.col("_held") > inside) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            return bracket
+        # Rows below the bracket are bin -1; rows above it don't matter.
+        width = (F.col("_hi") - F.col("_lo")) / BINS
+        cell = F.when(F.col("_v") < F.col("_lo"), -1).when(width <= 0, 0).otherwise(
+            F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("_lo")) / width)))
+        bins = (met.filter("_v <= _hi").withColumn("_bin", cell.cast("int")).groupBy(*marker, "_bin", "_pos", "_total")
+                .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")))
+        run = W.partitionBy(*marker).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
+        placed = bins.withColumn("_end", F.sum("_n").over(run)).withColumn("_start", F.col("_end") - F.col("_n"))
+
+        def at(rank, end: str):
+            return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")) & (F.col("_bin") >= 0), F.col(end)))
+
+        bracket = settle(placed.groupBy(*marker, "_total", "_pos").agg(
+            at(F.floor("_pos"), "_low").alias("_lo"), at(F.ceil("_pos"), "_high").alias("_hi"))
+            .select(*marker, "_total", "_lo", "_hi", "_pos"))

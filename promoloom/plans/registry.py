@@ -31,7 +31,7 @@ FULL = Nuisance()
 OUTCOME = Nuisance(controls=(*CONTROLS, "own_disc"))
 COST_SHARE = 0.3
 TIGHT = 0.2
-POOL = 30
+POOL = DEFAULTS.pool
 TREES = Nuisance("gbt", max_iter=3)
 
 
@@ -352,5 +352,5 @@ QUERIES: dict[str, Query] = {
     "mean_ranks": lambda s, d: tidy(rankeval.mean_ranks(_rank_metrics(s, d))),
     "friedman": lambda s, d: tidy(rankeval.friedman(_rank_metrics(s, d), 5)),
     "nemenyi": lambda s, d: tidy(rankeval.nemenyi(_rank_metrics(s, d), 5)),
-    "name_components": lambda s, d: tidy(name_components(settle(_catalog(s, d)), 8)),
+    "name_components": lambda s, d: tidy(name_components(settle(_catalog(s, d)), DEFAULTS.embedding_dims)),
 }

@@ -97,15 +97,15 @@ def test_features(spark):
     assert r.y == pytest.approx(np.log1p(5))
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantile_hot_group(spark, accuracy):
+@pytest.mark.parametrize("accuracy,inside", [(20, 100_000), (10_000, 100_000), (20, 15), (10_000, 40)])
+def test_exact_quantile_hot_group(spark, accuracy, inside):
     rng = np.random.default_rng(1)
     hot = np.round(rng.lognormal(2, 1.5, 3000), 2)
     data = [("hot", float(v)) for v in hot] + [("tie", 5.0)] * 700 + [("tie", float(i)) for i in range(9)]
     data += [("one", 3.0), ("two", 1.0), ("two", 4.0), ("hot", None), (None, 1.0)]
     df = spark.createDataFrame(data, "g string, v double").repartition(7)
     for q in (0.0, 0.1, 0.5, 0.9, 1.0):
-        got = {r.g: r.quantile for r in exact_quantile(df, "v", q, ["g"], accuracy=accuracy).collect()}
+        got = {r.g: r.quantile for r in exact_quantile(df, "v", q, ["g"], accuracy=accuracy, inside=inside).collect()}
         assert set(got) == {"hot", "tie", "one", "two"}
         for g, value in got.items():
             expected = np.quantile([v for k, v in data if k == g and v is not None], q)
