@@ -34,7 +34,6 @@ PRODUCT_HEADS = {
     "скумбрия": "скумбрия",
     "сельдь": "сельдь",
     "семга": "семга",
-    "сёмга": "семга",
     "форель": "форель",
     "горбуша": "горбуша",
     "салака": "салака",

@@ -15,25 +15,6 @@ from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog
 from ..storage import settle
 
-# The labelled queries and the rule that marks relevant groups.
-LABELLED_QUERIES = (
-    ("маринованный имбирь", "contains", "имбирь"),
-    ("анчоусы", "equals", "Анчоусы"),
-    ("копчёная скумбрия", "equals", "Копчение Скумбрия"),
-    ("копчёная сельдь", "starts", "Копчение Сельдь"),
-    ("сёмга", "equals", "#КР_Семга"),
-    ("форель", "equals", "#КР_Форель"),
-    ("килька пряного посола", "equals", "Рыба п\\п Килька"),
-    ("спред из креветки", "equals", "Спреды Креветка рубленая"),
-)
-
-
-def labelled_queries(spark) -> tuple[DataFrame, DataFrame]:
-    """The labelled queries as (qid, text) and their rules as (qid, kind, value)."""
-    queries = spark.createDataFrame([(t, t) for t, _, _ in LABELLED_QUERIES], "qid string, text string")
-    rules = spark.createDataFrame(list(LABELLED_QUERIES), "qid string, kind string, value string")
-    return queries, rules
-
 
 def pricing_stage(sales: DataFrame, price_list: DataFrame,
                   settings: Settings = DEFAULTS) -> dict[str, DataFrame]:
