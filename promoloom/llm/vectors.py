@@ -5,7 +5,7 @@
    codebooks of the residuals.
 3. Every vector joins the inverted list of its nearest centre with its residual
    code and the length of what the code misses.  As a query it probes every list
-   whose centre is within ``PROBE_MARGIN`` of its best one.
+   that a partner at the threshold may be in (``probes``).
 4. In each list the distances come from tables of query-to-codeword products.
    By Cauchy and Schwarz the true cosine is at most that estimate plus the length missed, so
    only pairs that may reach the threshold get the exact double-precision cosine.
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import settle
 from .components import components
@@ -34,9 +35,8 @@ SAMPLE = 16_384
 #: Vectors a list has on average, and the most centres.
 LIST_ROWS, MAX_CENTRES = 200, 4_096
 SUBSPACES, CODEWORDS = 8, 64
-#: A list is probed if its centre's product is within this of the query's best.  For a pair at
-#: cosine 0.9 in 64 dimensions the two products differ by a deviation of about 0.05 around 0.9 times.
-PROBE_MARGIN = 0.25
+#: Standard deviations that a query may be off the centre of its partner's list.
+PROBE_DEVIATIONS = 2.5
 #: Rows of a block, on either side.
 BLOCK_ROWS = 2_000
 
@@ -94,6 +94,28 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return near, codes, np.sqrt(missed)
 
 
+def probes(index: Index, x: np.ndarray, threshold: float) -> list[list[int]]:
+    """Lists that may hold a vector at the threshold from each query.
+
+    A partner y in list c prefers c to the query's own best list b.  With the
+    query as ``t * y`` and a random direction across it, the query prefers b by
+    at most ``(1 - t) * (|b|^2 - |c|^2) / 2`` on average, with a deviation of
+    ``sqrt((1 - t^2) / (dim - 1)) * |b - c|``.
+    """
+    c = index.centres
+    size = (c ** 2).sum(1)
+    noise = np.sqrt((1 - threshold ** 2) / max(x.shape[1] - 1, 1))
+    out = []
+    for s in range(0, len(x), 512):
+        score = x[s:s + 512] @ c.T - size / 2
+        best = score.argmax(1)
+        apart = np.sqrt(np.maximum(size[best][:, None] + size - 2 * c[best] @ c.T, 0))
+        margin = (1 - threshold) / 2 * np.abs(size[best][:, None] - size) + PROBE_DEVIATIONS * noise * apart
+        near = score.max(1)[:, None] - score <= margin
+        out += [np.flatnonzero(r).tolist() for r in near]
+    return out
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     x = x / np.maximum(np.abs(x).max(1, keepdims=True), np.finfo(float).tiny)
@@ -106,8 +128,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``row_key``, ``v`` (doubles; null where the vector can't link) and ``dim``."""
-    v = F.col(f"`{vector}`").cast("array<double>")
+    """``row_key`` and ``v`` (floats or doubles; null where the vector can't link)."""
+    single = df.schema[vector].dataType == T.ArrayType(T.FloatType(), df.schema[vector].dataType.containsNull)
+    v = F.col(f"`{vector}`") if single else F.col(f"`{vector}`").cast("array<double>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0)
     return df.select(F.col(f"`{key}`").alias("row_key"), F.when(good, v).alias("v"))
@@ -172,6 +195,7 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
         sample = vectors.select("v", "same").limit(1).toArrow()
     index = fit(unit(_matrix(sample["v"])), n)
     spark = vectors.sparkSession
+    kind = vectors.schema["v"].dataType.simpleString()
     held = spark.sparkContext.broadcast(index)
 
     def assign(batches):
@@ -180,9 +204,7 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                 continue
             x = unit(_matrix(batch.column("v")))
             near, codes, missed = encode(held.value, x)
-            dots = x @ held.value.centres.T
-            best = dots[np.arange(len(x)), near]
-            lists = [np.flatnonzero(d >= b - PROBE_MARGIN).tolist() for d, b in zip(dots, np.minimum(best, dots.max(1)))]
+            lists = probes(held.value, x, threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec"), batch.column("copies"), batch.column("v"), pa.array(near, pa.int32()),
                  pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed),
@@ -190,7 +212,7 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                 names=["vec", "copies", "v", "near", "code", "missed", "probes"])
 
     coded = settle(vectors.select("vec", "copies", "v").mapInArrow(
-        assign, "vec long, copies long, v array<double>, near int, code binary, missed double, probes array<int>"))
+        assign, f"vec long, copies long, v {kind}, near int, code binary, missed double, probes array<int>"))
     # Blocks of each side of a list; at most MAX_CENTRES rows.
     def blocks(df, name):
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
