@@ -9,8 +9,9 @@
 4. In each list the distances come from tables of query-to-codeword products.
    By Cauchy and Schwarz the true cosine is at most that estimate plus the length missed, so
    only pairs that may reach the threshold get the exact double-precision cosine.
-5. A list block returns, per query, the number of its links, and a spanning
-   forest of the links, never all pairs.
+5. A list block returns, per vector, the number of its links, and a spanning
+   forest of the links, never all pairs.  A pair counts for both ends: a member that
+   asks in the query's home list counts it there, any other member here.
 
 Lists are cut into blocks of bounded rows on both sides, so no task holds a
 whole list.  The number of centres follows the number of vectors up to
@@ -94,8 +95,8 @@ def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return near, codes, np.sqrt(missed)
 
 
-def probes(index: Index, x: np.ndarray, threshold: float) -> list[list[int]]:
-    """Lists that may hold a vector at the threshold from each query.
+def probes(index: Index, x: np.ndarray, home: np.ndarray, threshold: float) -> list[list[int]]:
+    """Lists that may hold a vector at the threshold from each query, its ``home`` among them.
 
     A partner y in list c prefers c to the query's own best list b.  With the
     query as ``t * y`` and a random direction across it, the query prefers b by
@@ -112,6 +113,7 @@ def probes(index: Index, x: np.ndarray, threshold: float) -> list[list[int]]:
         apart = np.sqrt(np.maximum(size[best][:, None] + size - 2 * c[best] @ c.T, 0))
         margin = (1 - threshold) / 2 * np.abs(size[best][:, None] - size) + PROBE_DEVIATIONS * noise * apart
         near = score.max(1)[:, None] - score <= margin
+        near[np.arange(len(near)), home[s:s + 512]] = True
         out += [np.flatnonzero(r).tolist() for r in near]
     return out
 
@@ -174,7 +176,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     heavy = placed  # one row a distinct vector; a crowded vector's rows are split by the join
     out = rows.join(heavy, "same", "left").select(
         F.col("row_key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links") > 0, F.col("component_id")).otherwise(F.col("row_key")).alias("component_id"))
+        F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("row_key")).alias("component_id"))
     return out.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("component_id")))
 
 
@@ -204,7 +206,7 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
                 continue
             x = unit(_matrix(batch.column("v")))
             near, codes, missed = encode(held.value, x)
-            lists = probes(held.value, x, threshold)
+            lists = probes(held.value, x, near, threshold)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec"), batch.column("copies"), batch.column("v"), pa.array(near, pa.int32()),
                  pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed),
@@ -217,8 +219,8 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     def blocks(df, name):
         return df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
 
-    base = coded.select("vec", "copies", "v", "code", "missed", F.col("near").alias("list"))
-    asked = coded.select("vec", "v", F.explode("probes").alias("list"))
+    base = coded.select("vec", "copies", "v", "code", "missed", "probes", F.col("near").alias("list"))
+    asked = coded.select("vec", "copies", "near", "v", F.explode("probes").alias("list"))
     sizes = F.broadcast(settle(blocks(base, "parts").join(blocks(asked, "turns"), "list")))
     spread = lambda n: F.pmod(F.xxhash64("vec"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -230,8 +232,9 @@ def _search(vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
 
     by = ["list", "part", "turn"]
     # New names, since both sides come from one table.
-    left = asked.select(*by, "vec", "v").toDF("q_list", "q_part", "q_turn", "q_vec", "q_v")
-    right = base.select(*by, "vec", "copies", "v", "code", "missed")
+    left = asked.select(*by, "vec", "copies", "near", "v").toDF(
+        "q_list", "q_part", "q_turn", "q_vec", "q_copies", "q_near", "q_v")
+    right = base.select(*by, "vec", "copies", "v", "code", "missed", "probes")
     met = settle(left.groupBy("q_list", "q_part", "q_turn").cogroup(right.groupBy(*by)).applyInArrow(
         compare, "vec long, links long, tree long"))
     counts = met.filter("links is not null").select("vec", "links")
@@ -246,6 +249,10 @@ def _compare(index: Index, threshold: float, queries: pa.Table, members: pa.Tabl
     q, x = unit(_matrix(queries["q_v"])), unit(_matrix(members["v"]))
     qid, xid = queries["q_vec"].to_numpy(), members["vec"].to_numpy()
     copies, missed = members["copies"].to_numpy(), members["missed"].to_numpy()
+    q_copies, q_near = queries["q_copies"].to_numpy(), queries["q_near"].to_numpy()
+    lists = members["probes"].combine_chunks()
+    asks = np.zeros((len(x), len(index.centres)), bool)
+    asks[lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()] = True
     codes = np.frombuffer(b"".join(members["code"].to_pylist()), np.uint8).reshape(len(x), -1)
     centre = index.centres[members["list"][0].as_py()]
     estimate = np.repeat((q @ centre)[:, None], len(x), 1)
@@ -253,20 +260,23 @@ def _compare(index: Index, threshold: float, queries: pa.Table, members: pa.Tabl
         table = q[:, a:b] @ index.books[m, :, :b - a].T
         estimate += table[:, codes[:, m]]
     qi, xi = np.nonzero(estimate + missed >= threshold - 1e-9)
-    links = np.zeros(len(q), np.int64)
+    links, member_links = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
     pairs = []
     for s in range(0, len(qi), 200_000):
         i, j = qi[s:s + 200_000], xi[s:s + 200_000]
         good = (np.einsum("ij,ij->i", q[i], x[j]) >= threshold) & (qid[i] != xid[j])
         i, j = i[good], j[good]
         np.add.at(links, i, copies[j])
+        silent = ~asks[j, q_near[i]]  # these members never ask the query
+        np.add.at(member_links, j[silent], q_copies[i[silent]])
         pairs.append((qid[i], xid[j]))
     a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
     node, low = forest_of(a, b)
+    ids, links = np.concatenate([qid, xid]), np.concatenate([links, member_links])
     has = links > 0
     none = lambda n: pa.nulls(n, pa.int64())
     return pa.concat_tables([
-        pa.table({"vec": pa.array(qid[has]), "links": pa.array(links[has]), "tree": none(int(has.sum()))}),
+        pa.table({"vec": pa.array(ids[has]), "links": pa.array(links[has]), "tree": none(int(has.sum()))}),
         pa.table({"vec": pa.array(node), "links": none(len(node)), "tree": pa.array(low)})])
 
 

@@ -112,6 +112,27 @@ def test_near_vectors_recall(spark, monkeypatch):
     assert found.sum() >= 0.9 * want.sum()
 
 
+def test_near_vectors_count_links_at_both_ends(spark, monkeypatch):
+    def one_way(index, x, *_):
+        return [list(range(h + 1)) for h in vectors.nearest(x, index.centres)]
+
+    # Each pair across lists is found by one end alone.
+    monkeypatch.setattr(vectors, "probes", one_way)
+    monkeypatch.setattr(vectors, "LIST_ROWS", 20)
+    rng = np.random.default_rng(4)
+    one, across = rng.standard_normal((2, 150, 16))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    across -= (across * one).sum(1, keepdims=True) * one
+    other = 0.905 * one + np.sqrt(1 - 0.905 ** 2) * across / np.linalg.norm(across, axis=1, keepdims=True)
+    vs = np.concatenate([one, other, one[:9], other[3:6]])  # with copies of either end
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.near_vectors(df).collect()))
+    links = cosine_links(vs, [True] * len(vs))
+    n = np.bincount([x for p in links for x in p], minlength=len(vs))
+    want = groups(len(vs), links)
+    assert got == [(i, int(n[i]), want[i], want[i] == i) for i in range(len(vs))]
+
+
 def test_near_vectors_of_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     vs = [[1.0, 0.0], [2.0, 0.0], [1.0, 0.0], None, [0.0, 0.0], [nan, 1.0], [inf, 1.0], [None, 1.0], [], [0.0, 1.0], [1.0], [5.0], [0.9, 0.1]]
