@@ -32,9 +32,19 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_TOKEN = re.compile(r" ?([A-Z0-9]++)(?![a-z])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+# Characters of an IBAN by country (the SWIFT registry), and the bounds for other codes.
+IBAN_SIZES = {k: n for n, codes in (
+    (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"),
+    (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"),
+    (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"), (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"),
+    (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"), (30, "JO KW MU YE"), (31, "MT SC"),
+    (32, "LC"), (33, "RU")) for k in codes.split()}
+IBAN_LEAST, IBAN_MOST = 15, 34
+
 # Words that make a kind likelier, and the score of a span without and with them.
 CONTEXT = {
     "email": ("mail", "contact", "kontakt", "correo", "courriel"),
@@ -87,6 +97,24 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """From each head to the token border that the country's size or else, longest first, mod 97 confirms."""
+    out, head = [], _IBAN_HEAD.search(text)
+    while head:
+        start = head.start()
+        size = IBAN_SIZES.get(text[start:start + 2])
+        most, code, ends, at = size or IBAN_MOST, head[0], [], head.end()
+        while (token := _IBAN_TOKEN.match(text, at)) and len(code) + len(token[1]) <= most:
+            code, at = code + token[1], token.end()
+            if len(code) >= (size or IBAN_LEAST):
+                ends.append((at, code))
+        end = next((e for e, c in reversed(ends) if mod97(c)), None)
+        if end:
+            out.append((start, end))
+        head = _IBAN_HEAD.search(text, end or head.end())
+    return out
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Spans whose checks hold, before any score."""
     out = [("email", *s) for s in _emails(text)]
@@ -100,9 +128,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     for m in _PHONE.finditer(text):
         if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
             out.append(("phone", m.start(), m.end()))
-    for m in _IBAN.finditer(text):
-        if mod97(m[0].replace(" ", "")):
-            out.append(("iban", m.start(), m.end()))
+    out += [("iban", *s) for s in _ibans(text)]
     out += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
     return out
 

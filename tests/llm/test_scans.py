@@ -54,6 +54,28 @@ def test_checksums_and_context():
     assert near.score > far.score
 
 
+def test_ibans_end_at_their_own_border():
+    found = lambda t: [t[s.start:s.end] for s in pii.spans(t) if s.kind == "iban"]
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    for after in (" BIC COBADEFFXXX", " 2024-05-01", " 7", " X", ", BIC", "\nBIC", ""):
+        assert found(f"IBAN {de}{after}") == [de]
+        assert found(f"IBAN {de.replace(' ', '')}{after}") == [de.replace(" ", "")]
+    assert found(f"{de} {gb} {de}") == [de, gb, de]
+    assert found(f"DE88 3704 0044 0532 0130 00 {gb} EUR") == [gb]
+    assert found(f"AB12 {de} BIC") == [de]
+    # A code without a known size ends at the last token border that mod 97 confirms.
+    body = "0000 1111 2222 3333"
+    check = next(f"{n:02d}" for n in range(2, 99) if pii.mod97(f"ZZ{n:02d}" + body.replace(" ", "")))
+    other = f"ZZ{check} {body}"
+    assert found(f"{other} EUR") == [other]
+    assert found(f"{de.replace(' ', '')}BIC") == [] and found(de + "x") == []
+
+
+def test_long_runs_of_iban_heads_take_linear_time():
+    for t in ("DE89 " * 60_000, "ZZ11 " * 60_000, "DE89" + "A" * 300_000, "AA11 A " * 40_000):
+        pii.spans(t)
+
+
 def test_long_runs_take_linear_time():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "<" * 300_000, "AKIA" * 70_000, "0f" * 150_000,
               "+1 " * 100_000, "token " * 50_000, "https://" * 40_000):
