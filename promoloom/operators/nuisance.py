@@ -8,9 +8,11 @@ fold (and every group of ``by``).  ``gbt`` fits boosted trees per fold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,10 @@ from ..storage import bounded, join_null_safe, settle
 from .features import CONTROLS
 
 
+#: Boosted-tree fits that run at the same time.
+FITS_AT_ONCE = 10
+
+
 @dataclass(frozen=True)
 class Nuisance:
     """How the controls enter: ``cells``, ``linear`` or ``gbt``.
@@ -239,13 +245,21 @@ def _tree_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by: l
     doubles = df.withColumns({c: F.col(c).cast("double") for c in nuisance.controls})
     design = Pipeline(stages=stages).fit(doubles).transform(doubles).select(*df.columns, "_w").persist()
     folds = sorted(r[0] for r in design.select("fold").distinct().collect())
+    fitted = [(f, t) for f in (folds if only_fold is None else [only_fold]) for t in targets]
+
+    def fit(f: int, t: str):
+        model = GBTRegressor(featuresCol="_w", labelCol=t, predictionCol=f"_p_{t}",
+                             maxIter=nuisance.max_iter, seed=DEFAULTS.seed)
+        return model.fit(design.filter(F.col("fold") != f))
+
+    # The fits are independent and mostly wait for short jobs.
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = dict(zip(fitted, pool.map(inheritable_thread_target(df.sparkSession)(fit), *zip(*fitted))))
     parts = []
     for f in folds if only_fold is None else [only_fold]:
         held = design.filter(F.col("fold") == f)
         for t in targets:
-            model = GBTRegressor(featuresCol="_w", labelCol=t, predictionCol=f"_p_{t}",
-                                 maxIter=nuisance.max_iter, seed=DEFAULTS.seed)
-            held = model.fit(design.filter(F.col("fold") != f)).transform(held)
+            held = models[f, t].transform(held)
         parts.append(held.select(*df.columns, *[(F.col(t) - F.col(f"_p_{t}")).alias(f"{t}_r")
                                                 for t in targets]))
     out = settle(reduce(DataFrame.unionByName, parts))

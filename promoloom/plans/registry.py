@@ -32,7 +32,7 @@ OUTCOME = Nuisance(controls=(*CONTROLS, "own_disc"))
 COST_SHARE = 0.3
 TIGHT = 0.2
 POOL = DEFAULTS.pool
-TREES = Nuisance("gbt", max_iter=3)
+TREES = Nuisance("gbt")
 
 
 def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime as dt
 import hashlib
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from promoloom.operators import causal, interference, resample
 from promoloom.operators.features import CONTROLS, add_features
 from promoloom.operators.nuisance import Nuisance, residuals, with_folds
+from promoloom.plans.registry import TREES
 from promoloom.storage import settle
 
 SMALL = Nuisance("linear", controls=("m_sin", "m_cos", "lag_qty_1"))
@@ -134,6 +136,22 @@ def test_tree_nuisance(design):
     assert got.theta == pytest.approx(0.03, abs=0.004)
 
 
+def test_registered_trees_recover_a_planted_slope(spark):
+    # Discount and sales both follow a sum of six controls.
+    rng = np.random.default_rng(3)
+    w = rng.standard_normal((2000, len(CONTROLS)))
+    z = w[:, :6].sum(1)
+    depth = z + 2 * rng.standard_normal(len(z))
+    y = 0.5 * depth + z + 0.3 * rng.standard_normal(len(z))
+    rows = [(f"S{i % 200:03d}", "A", dt.date(2020 + i // 200, 1, 1), f"C{i % 3}", *map(float, r), float(a), float(b))
+            for i, (r, a, b) in enumerate(zip(w, y, depth))]
+    fields = ", ".join(f"`{c}` double" for c in (*CONTROLS, "y", "own_disc"))
+    feats = spark.createDataFrame(rows, f"sku string, client string, month date, category string, {fields}")
+    got = causal.effect(causal.design(feats, TREES, folds=2), TREES).first()
+    assert TREES == Nuisance("gbt")
+    assert got.theta == pytest.approx(0.5, abs=0.2)
+
+
 def test_effect_by_category_and_support(design):
     got = causal.effect_by_category(design, CELLS).collect()
     assert sorted(r.category for r in got) == ["C0", "C1", "C2"]
