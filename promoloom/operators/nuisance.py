@@ -22,6 +22,8 @@ from ..storage import bounded, join_null_safe, settle
 from .features import CONTROLS
 
 
+#: Rows whose means shift the values before sums of products are taken.
+SHIFT_ROWS = 1_000
 #: Boosted-tree fits that run at the same time.
 FITS_AT_ONCE = 10
 
@@ -116,8 +118,9 @@ def _linear_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by:
     p, q = len(xs), len(targets)
     pairs = [(i, j) for i in range(p) for j in range(i, p)] + \
             [(i, p + k) for i in range(p) for k in range(q)]
-    # Sums of products lose digits when means are large against spreads; slopes don't depend on a shift.
-    centre = df.agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in xs + targets]).first()
+    # Sums of products lose digits when means are large against spreads; slopes don't depend on a shift,
+    # so that the means of a few rows will do.
+    centre = df.limit(SHIFT_ROWS).agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in xs + targets]).first()
     shift = [float(centre[v] or 0.0) for v in xs + targets]
     value = [F.col(v).cast("double") - F.lit(m) for v, m in zip(xs + targets, shift)]
     # One array per (labels, fold): count, sums, then sums of products.
@@ -159,29 +162,36 @@ def _batch_moments(df: DataFrame, keys: list[str], value: list[Column], pairs: l
     """Per Arrow batch and key: an array of the count, the sums and the sums of products of ``pairs``.
 
     A matrix product per batch and key takes the place of one aggregate
-    expression per pair.  Rows with a missing value count nowhere.
+    expression per pair.  The values travel as one array column, so that the
+    plan has the same size for any number of controls.  Rows with a missing
+    value count nowhere.
     """
-    names = [f"_v{i}" for i in range(len(value))]
-    rows = df.select(*keys, *[v.alias(n) for v, n in zip(value, names)]).dropna(subset=names)
+    rows = df.select(*keys, F.array(*value).alias("_x"))
     kinds = [df.schema[k].dataType.simpleString() for k in keys]
     schema = ", ".join([*[f"`{k}` {t}" for k, t in zip(keys, kinds)], "_m array<double>"])
-    left, right = [i for i, _ in pairs], [j for _, j in pairs]
+    left, right, width = [i for i, _ in pairs], [j for _, j in pairs], len(value)
 
     def sums(batches: Iterator) -> Iterator:
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            x = pdf[names].to_numpy(float)
-            for key, at in pdf.groupby(keys, dropna=False, sort=False).indices.items():
-                part = x[at]
+        import pyarrow as pa
+
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+            whole = ~np.isnan(x).any(1)
+            names = pa.Table.from_batches([batch.select(keys)]).filter(pa.array(whole))
+            if not names.num_rows:
+                continue
+            at = names.append_column("_at", pa.array(np.flatnonzero(whole)))
+            groups = at.group_by(keys).aggregate([("_at", "list")])
+            moments = []
+            for rows_of in groups["_at_list"].to_pylist():
+                part = x[rows_of]
                 gram = part.T @ part
-                first = pdf[keys].iloc[at[0]]
-                out.append((*first, [float(len(at)), *part.sum(0), *gram[left, right]]))
-            yield pd.DataFrame(out, columns=[*keys, "_m"])
+                moments.append([float(len(part)), *part.sum(0), *gram[left, right]])
+            out = groups.select(keys).append_column("_m", pa.array(moments, pa.list_(pa.float64())))
+            yield from out.to_batches()
 
-    return rows.mapInPandas(sums, schema)
+    return rows.mapInArrow(sums, schema)
 
 
 def _gather(array: str, places: list[int]) -> Column:

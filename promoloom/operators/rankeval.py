@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,17 +14,66 @@ from ..storage import attach, bounded, settle
 from .numbering import global_rank
 
 
+#: Letters of the pieces that containment rules are looked up by.
+GRAM = 3
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All runs of ``size`` letters, distinct."""
+    last = F.length(text) - F.lit(size - 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def matched_groups(rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """``qid``, ``grp`` of every rule (qid, kind, value) and group (``grp``) that match, by keyed lookups.
+
+    An equality looks the group up by itself, a prefix by as many first letters
+    as the rule has, a containment (any case) by the rule's rarest piece of three letters.
+    Containment rules of one or two letters are looked up by the rule itself
+    among all the pieces of that length; the empty rule contains and starts everything.
+    """
+    groups = groups.select("grp").filter(F.col("grp").isNotNull()).distinct()
+    asked = rules.select("qid", "kind", "value").filter(F.col("value").isNotNull()).distinct()
+    equal = asked.filter("kind = 'equals'").join(groups, F.col("value") == F.col("grp")).select("qid", "grp")
+
+    starts = asked.filter("kind = 'starts' AND value != ''").withColumn("n", F.length("value"))
+    # Only lengths that some rule has; there are few.
+    lengths = starts.agg(F.array_sort(F.collect_set("n")).alias("ns"))
+    first = attach(groups, lengths, []).select("grp", F.explode("ns").alias("n")).filter(F.length("grp") >= F.col("n"))
+    first = first.withColumn("value", F.expr("substring(grp, 1, n)"))
+    starting = starts.join(first, ["n", "value"]).select("qid", "grp")
+
+    folded = groups.select("grp", F.lower("grp").alias("low"))
+    inside = asked.filter("kind = 'contains' AND value != ''").withColumn("value", F.lower("value"))
+    pieces = settle(folded.select("grp", "low", F.explode(_pieces(F.col("low"), GRAM)).alias("gram")))
+    common = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    long = inside.filter(F.length("value") >= GRAM)
+    parts = long.select("qid", "value", F.explode(_pieces(F.col("value"), GRAM)).alias("gram")).join(common, "gram", "left")
+    # A rule with a piece that no group has finds nothing: the piece counts as the rarest.
+    rarest = (parts.groupBy("qid", "value").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("p"))
+              .select("qid", "value", F.col("p.gram").alias("gram")))
+    containing = rarest.join(pieces, "gram").filter(F.contains(F.col("low"), F.col("value"))).select("qid", "grp")
+
+    short = inside.filter(F.length("value") < GRAM)
+    bits = folded.select("grp", F.explode(F.concat(*[_pieces(F.col("low"), n) for n in range(1, GRAM)])).alias("value"))
+    brief = short.join(bits, "value").select("qid", "grp")
+
+    empty = asked.filter("value = '' AND kind IN ('starts', 'contains')").select("qid", F.lit(1).alias("one"))
+    everything = empty.join(groups.withColumn("one", F.lit(1)), "one").select("qid", "grp")
+    out = equal
+    for part in (starting, containing, brief, everything):
+        out = out.unionByName(part)
+    return out.distinct()
+
+
 def gold_documents(rules: DataFrame, docs: DataFrame) -> DataFrame:
     """qid, doc_id pairs from rules (qid, kind, value) on the group.
 
     ``kind`` is ``equals``, ``contains`` (any case) or ``starts``.  Rules meet
-    the distinct groups, a short list, before they meet the catalog.
+    the distinct groups before they meet the catalog.
     """
-    groups = docs.select("grp").filter(F.col("grp").isNotNull()).distinct()
-    hit = (F.when(F.col("kind") == "equals", F.col("grp") == F.col("value"))
-           .when(F.col("kind") == "contains", F.contains(F.lower("grp"), F.lower("value")))
-           .when(F.col("kind") == "starts", F.startswith(F.col("grp"), F.col("value"))))
-    matched = groups.join(bounded(rules), hit).select("qid", "grp")
+    matched = matched_groups(rules, docs)
     return docs.select("doc_id", "grp").join(bounded(matched), "grp").select("qid", "doc_id")
 
 
@@ -32,15 +81,19 @@ def queries_with_gold(queries: DataFrame, gold: DataFrame) -> DataFrame:
     return queries.join(bounded(gold.select("qid").distinct()), "qid", "left_semi")
 
 
-def rank_metrics(rankings: DataFrame, gold: DataFrame, k: int = DEFAULTS.k) -> DataFrame:
+def rank_metrics(rankings: DataFrame, gold: DataFrame, k: int = DEFAULTS.k,
+                 methods: tuple[str, ...] | None = None) -> DataFrame:
     """P@k, R@k, AP, RR and nDCG@k per method and query over full rankings.
 
-    Only relevant rows matter once ranks are known, so the ranking is cut to
-    the gold pairs first; the running count of hits is a distributed rank.
+    Only relevant rows matter once ranks are known, so ``rankings`` may hold
+    those alone; ``methods`` then names the methods, each of which has every query with
+    relevant documents.  The running count of hits is a distributed rank.
     """
     relevant = gold.select("qid", "doc_id").distinct()
     sizes = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("nrel"))
     asked = rankings.select("method", "qid").distinct()
+    if methods is not None:
+        asked = sizes.select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"), "qid")
     hits = rankings.select("method", "qid", "doc_id", "rank").join(bounded(relevant), ["qid", "doc_id"])
     hits = global_rank(hits, [F.col("rank").asc()], ["method", "qid"], "hit")
     in_k = F.col("rank") <= k

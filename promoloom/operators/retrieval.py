@@ -1,17 +1,22 @@
 """Product search as batch jobs over a table of queries.
 
-Two shapes share the scorers.  ``*_top`` find candidates through equi-joins
-(shared token, product, attribute or category) and keep the best ``k`` per
-query.  ``*_all`` rank the whole catalog for each of a small set of queries, as
-the metrics over full rankings need; ranks come from a range partitioning, so
-no query's ranking is sorted in one task.
+Three shapes share the scorers.  ``*_found`` find candidates through equi-joins
+(shared token, product, attribute or category); every other document has the
+method's default score.  ``*_top`` keep the best ``k`` per query.  ``*_all`` rank
+the whole catalog for each query, where a full ranking is wanted; ranks come
+from a range partitioning, so no query's ranking is sorted in one task.
+``goldranks`` ranks chosen documents without ranking the others.
+
+Vectors meet in blocks: a block of queries and a block of documents is one
+matrix product in one task, and its best ``k`` per query are all that leaves it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +26,8 @@ from ..functions.text import (ATTRIBUTES, attribute_score, name_attributes, name
 from ..storage import bounded, settle
 from .numbering import global_rank, top_per_group
 
-BLOCK = 1_000
+#: Queries and documents of a block.
+QUERY_BLOCK, DOC_BLOCK = 1_000, 20_000
 
 
 def _order() -> list[Column]:
@@ -34,28 +40,56 @@ def describe(df: DataFrame, text: str = "name") -> DataFrame:
                            "roots": word_roots(F.col(text))})
 
 
-def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
-    """The query table in blocks of about ``BLOCK`` rows, split by hash of the id."""
-    parts = -(-queries.count() // BLOCK)
-    for part in range(parts):
-        yield queries.filter(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
+def blocks(df: DataFrame, rows: int) -> int:
+    """How many blocks of about ``rows`` rows a table makes, one at least."""
+    return max(1, -(-df.count() // rows))
 
 
-def every_pair(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def _dealt(df: DataFrame, key: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+    """Each row in the block of its key, once for every block of the other side."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn(other, every)
+
+
+def every_pair(queries: DataFrame, docs: DataFrame, query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
     """Each document once per query; the query's columns come in struct ``q``.
 
-    A full ranking has one row per query and document by definition.  A block
-    of queries travels as a constant and each document is expanded in place.
+    A full ranking has one row per query and document by definition.  Blocks of
+    both sides meet by equal block numbers.
     """
-    kind = f"array<{queries.schema.simpleString()}>"
-    parts = []
-    for block in _blocks(queries):
-        texts = [r[0] for r in block.select(F.to_json(F.struct("*"))).collect()]
-        listed = F.from_json(F.lit("[" + ",".join(texts) + "]"), kind)
-        parts.append(docs.withColumn("q", F.explode(listed)))
-    if not parts:
-        return docs.withColumn("q", F.explode(F.from_json(F.lit("[]"), kind)))
-    return reduce(DataFrame.unionByName, parts)
+    nq, nd = blocks(queries, query_block), blocks(docs, doc_block)
+    asked = queries.select("qid", F.struct("*").alias("q"))
+    left = _dealt(asked, "qid", "_qb", nq, "_db", nd).drop("qid")
+    return _dealt(docs, "doc_id", "_db", nd, "_qb", nq).join(left, ["_qb", "_db"]).drop("_qb", "_db")
+
+
+def block_join(queries: DataFrame, docs: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str,
+               query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """``work`` on every pair of a block of queries (by ``qid``) and a block of documents (by ``doc_id``)."""
+    nq, nd = blocks(queries, query_block), blocks(docs, doc_block)
+    left = _dealt(queries, "qid", "_qb", nq, "_db", nd)
+    right = _dealt(docs.withColumnRenamed("vec", "d_vec"), "doc_id", "_d", nd, "_q", nq)
+    return left.groupBy("_qb", "_db").cogroup(right.groupBy("_q", "_d")).applyInArrow(work, schema)
+
+
+def pair_schema(queries: DataFrame, docs: DataFrame, more: str) -> str:
+    kinds = [df.schema[k].dataType.simpleString() for df, k in ((queries, "qid"), (docs, "doc_id"))]
+    return f"qid {kinds[0]}, doc_id {kinds[1]}, {more}"
+
+
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows; their values travel flat."""
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(vectors), -1)
+
+
+def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, the lower id first among equals."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - k)[len(scores) - k]
+    above, equal = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([above, equal[np.argsort(ids[equal], kind="stable")][:k - len(above)]])
 
 
 def best_category(texts: DataFrame, key: str, categories: DataFrame) -> DataFrame:
@@ -126,12 +160,16 @@ def category_all(queries: DataFrame, docs: DataFrame, method: str = "category")
     return _ranked(pairs.select("q.qid", "doc_id", score.alias("score")), method)
 
 
-def category_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
-                 method: str = "category") -> DataFrame:
+def category_found(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents of the query's category; the others score -1."""
     qcat, dcat = _category_sides(queries, docs)
     hits = dcat.join(bounded(qcat.select("qid", "cat")), "cat")
-    found = hits.select("qid", "doc_id", F.col("cat_score").alias("score"))
-    return _top_or_first(found, queries, docs, k, -1.0, method)
+    return hits.select("qid", "doc_id", F.col("cat_score").alias("score"))
+
+
+def category_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
+                 method: str = "category") -> DataFrame:
+    return _top_or_first(category_found(queries, docs), queries, docs, k, -1.0, method)
 
 
 def _category_sides(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,16 +187,18 @@ def lexical_all(queries: DataFrame, docs: DataFrame, method: str = "lexical") ->
     return _ranked(pairs.select("q.qid", "doc_id", score.alias("score")), method)
 
 
-def lexical_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
-                method: str = "lexical") -> DataFrame:
-    """Candidates share a token with the query; the index side stays where it is."""
+def lexical_found(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents that share a token with the query; the index side stays where it is.  The others score 0."""
     asked = bounded(queries.select("qid", F.col("tokens").alias("qt"), F.explode("tokens").alias("w")))
     hits = docs.select("doc_id", "tokens", F.explode("tokens").alias("w")).join(asked, "w")
     # A pair meets once per shared token; its first one stands for it.
     hits = hits.filter(F.col("w") == F.get(F.array_intersect("qt", "tokens"), F.lit(0)))
-    score = token_set_similarity(F.col("qt"), F.col("tokens"))
-    found = hits.select("qid", "doc_id", score.alias("score"))
-    return _top_or_first(found, queries, docs, k, 0.0, method)
+    return hits.select("qid", "doc_id", token_set_similarity(F.col("qt"), F.col("tokens")).alias("score"))
+
+
+def lexical_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
+                method: str = "lexical") -> DataFrame:
+    return _top_or_first(lexical_found(queries, docs), queries, docs, k, 0.0, method)
 
 
 # --- structured -------------------------------------------------------------
@@ -170,9 +210,8 @@ def structured_all(queries: DataFrame, docs: DataFrame, method: str = "structure
     return _ranked(pairs.select("q.qid", "doc_id", score.alias("score")), method)
 
 
-def structured_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
-                   method: str = "structured") -> DataFrame:
-    """Candidates share the product, or an attribute when one side has no product."""
+def structured_found(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents that share the product, or an attribute when one side has no product.  The others score 0."""
     def traits(df: DataFrame, key: str, attrs: str, name: str) -> DataFrame:
         named = F.array(*[F.when(F.col(attrs)[a].isNotNull(), F.concat(F.lit(a + "="), F.col(attrs)[a]))
                           for a in ("product", *ATTRIBUTES)])
@@ -183,54 +222,47 @@ def structured_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
     hits = traits(docs.select("doc_id", "attrs"), "doc_id", "attrs", "dt").join(asked, "trait")
     hits = hits.filter(F.col("trait") == F.get(F.array_intersect("qt", "dt"), F.lit(0)))
     hits = hits.withColumn("score", attribute_score(F.col("qa"), F.col("attrs")))
-    found = hits.filter(F.col("score") > 0).select("qid", "doc_id", "score")
-    return _top_or_first(found, queries, docs, k, 0.0, method)
+    return hits.filter(F.col("score") > 0).select("qid", "doc_id", "score")
+
+
+def structured_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k,
+                   method: str = "structured") -> DataFrame:
+    return _top_or_first(structured_found(queries, docs), queries, docs, k, 0.0, method)
 
 
 # --- dense ------------------------------------------------------------------
 
-def dense_scores(queries: DataFrame, docs: DataFrame, topn: int | None = None) -> DataFrame:
-    """Inner products of query and document vectors, as matrix products per batch.
+def with_vector(df: DataFrame) -> DataFrame:
+    """Rows that a vector search can rank."""
+    return df.filter(F.col("vec").isNotNull())
+
+
+def dense_scores(queries: DataFrame, docs: DataFrame, topn: int | None = None,
+                 query_block: int = QUERY_BLOCK, doc_block: int = DOC_BLOCK) -> DataFrame:
+    """Inner products of query and document vectors, as one matrix product per pair of blocks.
 
-    With ``topn`` every batch sends on only its best ``topn`` per query.
+    With ``topn`` every pair of blocks sends on only its best ``topn`` per query.
+    Rows without a vector are left out.
     """
-    parts = [_block_scores(block, docs, topn) for block in _blocks(queries.select("qid", "vec"))]
-    if not parts:
-        kind = queries.schema["qid"].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"qid {kind}, doc_id bigint, score double")
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _block_scores(queries: DataFrame, docs: DataFrame, topn: int | None) -> DataFrame:
-    rows = queries.collect()
-    qids = [r["qid"] for r in rows]
-    matrix = [list(map(float, r["vec"])) for r in rows]
-    kind = queries.schema["qid"].dataType.simpleString()
-
-    def score(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        q = np.asarray(matrix, float)
-        names = np.asarray(qids, dtype=object)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf["doc_id"].to_numpy()
-            product = np.stack([np.asarray(v, float) for v in pdf["vec"]]) @ q.T
-            for start in range(0, len(qids), 64):
-                block = product[:, start:start + 64]
-                width = block.shape[1]
-                if topn is None or len(ids) <= topn:
-                    keep = np.tile(np.arange(len(ids))[:, None], (1, width))
-                else:
-                    # Best first, lower id first among equals.
-                    keep = np.stack([np.lexsort((ids, -block[:, j]))[:topn] for j in range(width)], axis=1)
-                column = np.tile(np.arange(width), (len(keep), 1))
-                yield pd.DataFrame({"qid": names[start + column.ravel()], "doc_id": ids[keep.ravel()],
-                                    "score": block[keep.ravel(), column.ravel()]})
-
-    return docs.select("doc_id", "vec").mapInPandas(score, f"qid {kind}, doc_id bigint, score double")
+    return block_join(with_vector(queries.select("qid", "vec")), with_vector(docs.select("doc_id", "vec")),
+                      lambda asked, told: _products(asked, told, topn), pair_schema(queries, docs, "score double"),
+                      query_block, doc_block)
+
+
+def _products(asked: pa.Table, told: pa.Table, topn: int | None) -> pa.Table:
+    qids, ids = asked["qid"], told["doc_id"]
+    who, which, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    if len(qids) and len(ids):
+        q, d, keys = matrix(asked["vec"]), matrix(told["d_vec"]), ids.to_numpy()
+        for start in range(0, len(q), 64):
+            product = q[start:start + 64] @ d.T
+            for j, row in enumerate(product, start):
+                at = np.arange(len(row)) if topn is None else best_rows(row, keys, topn)
+                who.append(np.full(len(at), j))
+                which.append(at)
+                scores.append(row[at])
+    who, which = np.concatenate(who), np.concatenate(which)
+    return pa.table({"qid": qids.take(pa.array(who)), "doc_id": ids.take(pa.array(which)), "score": np.concatenate(scores)})
 
 
 def dense_all(queries: DataFrame, docs: DataFrame, method: str = "dense") -> DataFrame:
@@ -270,6 +302,8 @@ def rerank_all(queries: DataFrame, docs: DataFrame, pool: int = DEFAULTS.pool,
     """The rescored pool, then every other document one below the pool's lowest score."""
     best = settle(rescored_pool(queries, docs, pool, scorer))
     floor = best.groupBy("qid").agg((F.min("score") - F.lit(1.0)).alias("low"))
+    # A query without a vector has no pool: its list is the catalog's order.
+    floor = queries.select("qid").join(floor, "qid", "left").fillna(0.0, ["low"])
     everything = every_pair(floor, docs.select("doc_id")).select("q.qid", "doc_id", "q.low")
     scored = (everything.join(bounded(best.select("qid", "doc_id", "score")), ["qid", "doc_id"], "left")
               .select("qid", "doc_id", F.coalesce("score", "low").alias("score")))

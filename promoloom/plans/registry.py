@@ -13,7 +13,7 @@ from ..columns import DEFAULTS, DISCOUNT_HEADERS, SALES_HEADERS
 from ..functions import clean
 from ..functions.text import (name_attributes, name_tokens, product_head, with_pack_weight,
                               word_roots)
-from ..operators import causal, interference, planning, pricing, rankeval, resample, retrieval
+from ..operators import causal, goldranks, interference, planning, pricing, rankeval, resample, retrieval, vectorindex
 from ..operators.embedding import name_components
 from ..operators.features import CONTROLS, add_features
 from ..operators.nuisance import Nuisance
@@ -21,7 +21,6 @@ from ..operators.panel import build_catalog, build_panel, monthly_discounts, mon
 from ..sources import extracts
 from ..sources import warehouse as wh
 from ..storage import settle, shared_dir
-from .stages import all_rankings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,7 +83,7 @@ def _search(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     docs = settle(retrieval.describe(wh.with_vectors(spark, d, catalog)))
     queries, rules = wh.search_queries(docs)
     middle = wh.centroids(docs.select(F.col("grp").alias("qid"), "vec"), "qid")
-    queries = settle(retrieval.describe(queries, "text").join(middle, "qid"))
+    queries = settle(retrieval.describe(queries, "text").join(middle, "qid", "left"))
     return queries, docs, rankeval.gold_documents(rules, docs)
 
 
@@ -195,7 +194,8 @@ def name_features(spark: SparkSession, d: str) -> DataFrame:
 def _rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries, docs, gold = _search(spark, d)
     queries = rankeval.queries_with_gold(queries, gold)
-    return settle(rankeval.rank_metrics(all_rankings(queries, docs, POOL), settle(gold)))
+    gold = settle(gold)
+    return settle(rankeval.rank_metrics(goldranks.all_gold_ranks(queries, docs, gold, POOL), gold, methods=goldranks.METHODS))
 
 
 def _top(search: Callable[..., DataFrame], **options) -> Query:
@@ -221,7 +221,28 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries, docs, gold = _vectors(spark, d)
-    return tidy(rankeval.rank_metrics(retrieval.dense_all(queries, docs), gold))
+    return tidy(rankeval.rank_metrics(goldranks.dense_ranks(queries, docs, gold), gold, methods=("dense",)))
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a query against all."""
+    docs = wh.table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return docs.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "qid"), docs
+
+
+def approximate_search(spark: SparkSession, d: str) -> DataFrame:
+    """Best ten of every hundredth vector by probed lists."""
+    queries, docs = _asked_vectors(spark, d)
+    return tidy(vectorindex.approximate_top(vectorindex.build_index(docs), queries, 10))
+
+
+def approximate_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether probing finds nine tenths of the exact best ten."""
+    queries, docs = _asked_vectors(spark, d)
+    near = vectorindex.approximate_top(vectorindex.build_index(docs), queries, 10)
+    found = vectorindex.recall(near, retrieval.dense_top(queries, docs, 10))
+    return tidy(found.agg(F.count(F.lit(1)).alias("queries"), F.sum("exact").alias("exact"),
+                          (F.sum("found") >= 0.9 * F.sum("exact")).alias("enough")))
 
 
 def find_products(spark: SparkSession, d: str) -> DataFrame:
@@ -347,6 +368,8 @@ QUERIES: dict[str, Query] = {
     "find_products": find_products,
     "vector_search": vector_search,
     "vector_metrics": vector_metrics,
+    "approximate_search": approximate_search,
+    "approximate_recall": approximate_recall,
     "rank_metrics": lambda s, d: tidy(_rank_metrics(s, d)),
     "method_summary": lambda s, d: tidy(rankeval.method_summary(_rank_metrics(s, d))),
     "mean_ranks": lambda s, d: tidy(rankeval.mean_ranks(_rank_metrics(s, d))),

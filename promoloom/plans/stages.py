@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..columns import DEFAULTS, Settings
-from ..operators import causal, interference, planning, pricing, rankeval, retrieval
+from ..operators import causal, goldranks, interference, planning, pricing, rankeval, retrieval
 from ..operators.embedding import attach_components, encode_names, name_components
 from ..operators.features import add_features, controls_for
 from ..operators.nuisance import Nuisance
@@ -32,7 +32,8 @@ def search_stage(sales: DataFrame | None, promo: DataFrame | None, queries: Data
     docs = settle(docs)
     gold = settle(rankeval.gold_documents(rules, docs))
     asked = settle(rankeval.queries_with_gold(asked, gold))
-    metrics = settle(rankeval.rank_metrics(all_rankings(asked, docs, settings.pool), gold, settings.k))
+    ranks = goldranks.all_gold_ranks(asked, docs, gold, settings.pool)
+    metrics = settle(rankeval.rank_metrics(ranks, gold, settings.k, goldranks.METHODS))
     return {"catalog": catalog, "metrics": metrics, "summary": rankeval.method_summary(metrics),
             "friedman": rankeval.friedman(metrics, 5), "mean_ranks": rankeval.mean_ranks(metrics),
             "nemenyi": rankeval.nemenyi(metrics, 5)}

@@ -122,10 +122,10 @@ def search_queries(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_vectors(spark: SparkSession, folder: str, catalog: DataFrame) -> DataFrame:
-    """Catalog rows with the vector whose number is the SKU's."""
+    """Catalog rows with the vector whose number is the SKU's; null without one."""
     vectors = table(spark, folder, "embeddings").select(
         F.concat(F.lit("S"), "vec_id").alias("sku"), F.col("embedding").alias("vec"))
-    return catalog.join(vectors, "sku")
+    return catalog.join(vectors, "sku", "left")
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:

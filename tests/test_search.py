@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from promoloom.operators import embedding, rankeval, retrieval
+from promoloom.operators import embedding, goldranks, rankeval, retrieval, vectorindex
 from promoloom.storage import settle
 
 NAMES = [("Сельдь копченая 100 г", "Рыба копченая", "Копчение Сельдь"), ("Скумбрия г/к филе", "Рыба копченая", "Копчение Скумбрия"),
@@ -81,12 +81,68 @@ def test_find_products(search):
     assert whole.count() == len(TEXTS) * len(NAMES)
 
 
-def test_query_blocks(search, monkeypatch):
-    whole = sorted(tuple(r) for r in retrieval.lexical_all(*search).collect())
+def test_blocks_change_nothing(search, monkeypatch):
     near = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in retrieval.dense_scores(*search).collect())
-    monkeypatch.setattr(retrieval, "BLOCK", 3)
-    assert sorted(tuple(r) for r in retrieval.lexical_all(*search).collect()) == whole
-    assert sorted((r.qid, r.doc_id, round(r.score, 9)) for r in retrieval.dense_scores(*search).collect()) == near
+    cut = sorted((r.qid, r.doc_id, round(r.score, 9)) for r in retrieval.dense_scores(*search, query_block=2, doc_block=3).collect())
+    assert cut == near
+    pairs = retrieval.every_pair(search[0].select("qid"), search[1].select("doc_id"), 2, 3).select("q.qid", "doc_id").collect()
+    assert sorted(pairs) == sorted((r[0], r[1]) for r in near)
+
+
+@pytest.fixture(scope="module")
+def gold(spark, search):
+    """Some relevant documents of every query, found or not."""
+    pairs = [(q, d) for i, q in enumerate(TEXTS) for d in range(len(NAMES)) if (d * 7 + i * 3) % 4 < 2]
+    return settle(spark.createDataFrame(pairs, "qid string, doc_id bigint"))
+
+
+def test_gold_ranks_equal_the_full_ranking(search, gold):
+    queries, docs = search
+    got = sorted(tuple(r) for r in goldranks.all_gold_ranks(queries, docs, gold, 4).select("method", "qid", "doc_id", "rank").collect())
+    full = None
+    for method, rank in ALL.items():
+        part = rank(queries, docs)
+        full = part if full is None else full.unionByName(part)
+    want = sorted(tuple(r) for r in full.join(gold, ["qid", "doc_id"], "left_semi").select("method", "qid", "doc_id", "rank").collect())
+    assert got == want
+    metrics = lambda r, **o: sorted(map(str, rankeval.rank_metrics(r, gold, 3, **o).collect()))
+    ranks = goldranks.all_gold_ranks(queries, docs, gold, 4)
+    assert metrics(ranks, methods=goldranks.METHODS) == metrics(full)
+
+
+def test_beaten_vectors_are_counted(spark):
+    rng = np.random.default_rng(1)
+    vecs = [list(map(float, rng.integers(-2, 3, 6) / 4)) for _ in range(60)]  # many ties
+    docs = settle(spark.createDataFrame([(i, v) for i, v in enumerate(vecs)] + [(99, None)], "doc_id bigint, vec array<double>"))
+    queries = settle(spark.createDataFrame([(f"q{i}", vecs[i]) for i in range(7)] + [("none", None)], "qid string, vec array<double>"))
+    gold = settle(spark.createDataFrame([(f"q{i}", d) for i in range(7) for d in range(i, 60, i + 1)] + [("none", 3), ("q0", 99)],
+                                        "qid string, doc_id bigint"))
+    full = retrieval.dense_all(queries, docs).join(gold, ["qid", "doc_id"], "left_semi").select("method", "qid", "doc_id", "rank")
+    want = sorted(tuple(r) for r in full.collect())
+    for counted in (goldranks.COUNTED, 12, 0):
+        got = goldranks.dense_ranks(queries, docs, gold, counted, 3, 11).select("method", "qid", "doc_id", "rank")
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_approximate_search_finds_most(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 24))
+    vecs = [list(map(float, centres[i % 30] + 0.4 * rng.standard_normal(24))) for i in range(3000)]
+    docs = settle(spark.createDataFrame([(i, v) for i, v in enumerate(vecs)] + [(9999, None)], "doc_id bigint, vec array<double>"))
+    queries = settle(docs.filter("doc_id % 60 = 0").withColumnRenamed("doc_id", "qid"))
+    exact = settle(retrieval.dense_top(queries, docs, 10))
+    index = vectorindex.build_index(docs, doc_block=40)
+    assert index.lists.count() == 3000
+    near = settle(vectorindex.approximate_top(index, queries, 10, query_block=20))
+    found = vectorindex.recall(near, exact).agg({"found": "sum", "exact": "sum"}).first()
+    assert found["sum(found)"] >= 0.9 * found["sum(exact)"]
+    assert near.groupBy("qid").count().filter("count > 10").isEmpty()
+    assert 1 <= index.probes < len(index.centres) / 2
+    whole = vectorindex.approximate_top(index, queries, 10, len(index.centres), "dense")
+    key = lambda r: (r.qid, r["rank"], r.doc_id)
+    assert sorted(map(key, whole.collect())) == sorted(map(key, exact.collect()))
+    none = vectorindex.build_index(docs.limit(0))
+    assert vectorindex.approximate_top(none, queries, 10).isEmpty()
 
 
 def test_gold_rules(spark, search):
@@ -98,6 +154,17 @@ def test_gold_rules(spark, search):
     assert sorted(r.qid for r in kept.collect()) == ["a", "b", "c"]
 
 
+def test_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abAB#ж"), rng.integers(0, 7))) for _ in range(120)] + [None, "İstanbul"]
+    rules = [(f"r{i}", kind, "".join(rng.choice(list("abAB#ж"), rng.integers(0, 5)))) for i in range(60)
+             for kind in ("equals", "contains", "starts")] + [("n", "starts", None), ("i", "contains", "STAN")]
+    groups = spark.createDataFrame([(w,) for w in words], "grp string")
+    got = {(r.qid, r.grp) for r in rankeval.matched_groups(spark.createDataFrame(rules, "qid string, kind string, value string"), groups).collect()}
+    meets = {"equals": str.__eq__, "contains": lambda g, v: v.lower() in g.lower(), "starts": str.startswith}
+    assert got == {(q, w) for q, kind, v in rules for w in words if w is not None and v is not None and meets[kind](w, v)}
+
+
 def test_metrics_match_brute_force(spark):
     rng = np.random.default_rng(2)
     ranking, gold = [], []
