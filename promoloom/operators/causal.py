@@ -30,25 +30,10 @@ def design(features: DataFrame, nuisance: Nuisance, treatment: str = "own_disc",
 def effect_moments(rows: DataFrame, nuisance: Nuisance, by: list[str] | None = None,
                    cluster: str = "sku") -> DataFrame:
     """Per-cluster sums of the residuals of ``t`` (x) and ``y``."""
-    if nuisance.kind == "gbt" and by:
-        return _tree_moments(rows, nuisance, by, cluster)
     left = residuals(rows, ["y", "t"], nuisance, by)
     return cluster_moments(left, "t_r", "y_r", cluster, by)
 
 
-def _tree_moments(rows: DataFrame, nuisance: Nuisance, by: list[str], cluster: str) -> DataFrame:
-    """Boosted trees group by group; the groups are categories with enough support."""
-    groups = rows.select(*by).distinct().collect()
-    if not groups:
-        none = rows.limit(0).withColumns({"y_r": F.lit(0.0), "t_r": F.lit(0.0)})
-        return cluster_moments(none, "t_r", "y_r", cluster, by)
-    parts = []
-    for group in groups:
-        part = reduce(DataFrame.filter, [F.col(b).eqNullSafe(F.lit(group[b])) for b in by], rows)
-        parts.append(cluster_moments(residuals(part, ["y", "t"], nuisance), "t_r", "y_r", cluster, by))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def effect(rows: DataFrame, nuisance: Nuisance, errors: str = "cluster",
            reps: int = DEFAULTS.boot_reps) -> DataFrame:
     """One row theta, se, p, lo, hi; ``errors='bootstrap'`` resamples clusters (p is null)."""

@@ -2,30 +2,27 @@
 
 ``cells`` and ``linear`` need no model per fold: leave-fold-out statistics are
 the totals minus the fold's own, so one aggregation of the rows serves every
-fold (and every group of ``by``).  ``gbt`` fits boosted trees per fold.
+fold (and every group of ``by``).  ``gbt`` fits boosted trees per fold and group, all in shared passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS
 from ..functions.hashing import fold_of, panel_key
 from ..storage import bounded, join_null_safe, settle
+from .boosting import tree_residuals
 from .features import CONTROLS
 
 
 #: Rows whose means shift the values before sums of products are taken.
 SHIFT_ROWS = 1_000
-#: Boosted-tree fits that run at the same time.
-FITS_AT_ONCE = 10
 
 
 @dataclass(frozen=True)
@@ -64,7 +61,7 @@ def residuals(df: DataFrame, targets: list[str], nuisance: Nuisance,
     if nuisance.kind == "linear":
         return _linear_residuals(df, targets, nuisance, by, only_fold)
     if nuisance.kind == "gbt":
-        return _tree_residuals(df, targets, nuisance, by, only_fold)
+        return tree_residuals(df, targets, list(nuisance.controls), list(nuisance.labels), by, nuisance.max_iter, only_fold)
     raise ValueError(f"unknown nuisance {nuisance.kind!r}")
 
 
@@ -235,43 +232,3 @@ def solve_rows(df: DataFrame, a: str, b: str, p: int, q: int) -> DataFrame:
             yield out
 
     return df.mapInPandas(solve, schema)
-
-
-def _tree_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by: list[str],
-                    only_fold: int | None) -> DataFrame:
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    if by:
-        raise ValueError("boosted trees are fitted per group by the caller")
-    labels = list(nuisance.labels)
-    stages = [StringIndexer(inputCols=labels, outputCols=[f"_ix_{c}" for c in labels],
-                            handleInvalid="keep"),
-              OneHotEncoder(inputCols=[f"_ix_{c}" for c in labels],
-                            outputCols=[f"_oh_{c}" for c in labels], dropLast=False)] if labels else []
-    stages.append(VectorAssembler(inputCols=[*nuisance.controls, *[f"_oh_{c}" for c in labels]],
-                                  outputCol="_w"))
-    doubles = df.withColumns({c: F.col(c).cast("double") for c in nuisance.controls})
-    design = Pipeline(stages=stages).fit(doubles).transform(doubles).select(*df.columns, "_w").persist()
-    folds = sorted(r[0] for r in design.select("fold").distinct().collect())
-    fitted = [(f, t) for f in (folds if only_fold is None else [only_fold]) for t in targets]
-
-    def fit(f: int, t: str):
-        model = GBTRegressor(featuresCol="_w", labelCol=t, predictionCol=f"_p_{t}",
-                             maxIter=nuisance.max_iter, seed=DEFAULTS.seed)
-        return model.fit(design.filter(F.col("fold") != f))
-
-    # The fits are independent and mostly wait for short jobs.
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        models = dict(zip(fitted, pool.map(inheritable_thread_target(df.sparkSession)(fit), *zip(*fitted))))
-    parts = []
-    for f in folds if only_fold is None else [only_fold]:
-        held = design.filter(F.col("fold") == f)
-        for t in targets:
-            held = models[f, t].transform(held)
-        parts.append(held.select(*df.columns, *[(F.col(t) - F.col(f"_p_{t}")).alias(f"{t}_r")
-                                                for t in targets]))
-    out = settle(reduce(DataFrame.unionByName, parts))
-    design.unpersist()
-    return out

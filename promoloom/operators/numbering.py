@@ -35,6 +35,21 @@ def global_rank(df: DataFrame, order: list[Column], by: list[str] | None = None,
     return joined.select(*df.columns, rank.cast("bigint").alias(name))
 
 
+def running_total(df: DataFrame, order: list[Column], by: list[str], value: str, name: str = "total") -> DataFrame:
+    """Add the sum of ``value`` up to each row, itself included, in its ``by`` group under the total ``order``.
+
+    As in ``global_rank``, a task sums its own partition of a range partitioning.
+    """
+    keys = [F.col(b).asc() for b in by] + list(order)
+    placed = settle(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    runs = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_held"))
+    runs = runs.withColumn("_skip", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    own = placed.withColumn(name, F.sum(value).over(inside))
+    return join_null_safe(own, runs, [*by, "_part"]).select(*df.columns, (F.col(name) + F.col("_skip")).alias(name))
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add 0-based consecutive numbers under a total ``order``."""
     return global_rank(df, order, name=name).withColumn(name, F.col(name) - F.lit(1))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS, NO_GROUP
 from ..functions.economics import discount_economics
-from ..storage import attach, bounded, settle
+from ..storage import attach, bounded, join_null_safe, settle
 from .numbering import top_per_group
+from .quantiles import group_quantiles
 
 PLAN_COLUMNS = ("sku", "cat", "group", "d", "net", "net_robust", "rev", "spend")
 
@@ -24,15 +25,13 @@ def attach_prices(panel: DataFrame, price_table: DataFrame) -> DataFrame:
 
 
 def baseline_table(panel: DataFrame) -> DataFrame:
-    """Per SKU: median undiscounted quantity and first category, group and price.
-
-    A SKU has one panel row per client and month, which bounds the values a
-    median holds.
-    """
+    """Per SKU: median undiscounted quantity and first category, group and price."""
     first = F.struct("month", "client")
-    base = panel.filter(F.col("own_disc") == 0).groupBy("sku").agg(
-        F.median("qty").alias("base_qty"), F.min_by("category", first).alias("cat"),
-        F.min_by("group", first).alias("group"), F.min_by("price_unit", first).alias("price_unit"))
+    plain = panel.filter(F.col("own_disc") == 0)
+    firsts = plain.groupBy("sku").agg(
+        F.min_by("category", first).alias("cat"), F.min_by("group", first).alias("group"), F.min_by("price_unit", first).alias("price_unit"))
+    base = join_null_safe(group_quantiles(plain, "qty", 0.5, ["sku"], "base_qty"), firsts, ["sku"])
+    base = base.select("sku", "base_qty", "cat", "group", "price_unit")
     return base.filter(F.col("price_unit").isNotNull() & (F.col("base_qty") > 0))
 
 
@@ -188,3 +187,103 @@ def plan_report(plan: DataFrame, past: DataFrame) -> DataFrame:
         (gain / F.greatest(F.col("hist_net"), F.lit(1.0)) * F.lit(100.0)).alias("gain_pct"),
         F.when(F.col("skus") == 0, F.lit("no profitable discount"))
         .otherwise(F.lit("plan")).alias("outcome"))
+
+
+#: Prices tried in one job, and times the grid closes in round the budget.
+PRICES, ZOOMS = 32, 4
+#: Candidates nearest to being chosen that the last improvements look at.
+CORE = 500
+
+
+def _chosen(rows: DataFrame, prices: list[float], slots: int, kmax: int) -> DataFrame:
+    """For each price the best selection when a unit of spend costs that much.
+
+    Given the price, slot and group limits are all that is left, and the best
+    depth per SKU, the best ``kmax`` per group and the best ``slots`` of those
+    solve that exactly.
+    """
+    priced = (rows.withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
+              .withColumn("worth", F.col("obj") - F.col("price") * F.col("spend")))
+    order = [F.desc("worth"), F.asc("spend"), F.asc("d"), F.asc("sku")]
+    each = top_per_group(priced.filter(F.col("worth") > 0), ["price", "sku"], order, 1)
+    capped = top_per_group(each, ["price", "group"], order, kmax)
+    return top_per_group(capped, ["price"], order, slots).drop("rank")
+
+
+def selection_plan(cand: DataFrame, budget: float, slots: int = DEFAULTS.slots, kmax: int = DEFAULTS.kmax,
+                   robust: bool = DEFAULTS.robust, core: int = CORE) -> tuple[DataFrame, DataFrame]:
+    """A plan close to the best one under all limits, and a one-row report: value, spend, bound, gap.
+
+    The price of spending is closed in on: each job tries a grid of prices, the
+    next grid lies between the last that overspends and the first that doesn't.  Any price bounds
+    every plan's value from above by what its selection is worth plus the price
+    of the whole budget; the least such bound is reported.  The selection within
+    the budget is then improved by additions, changes of depth and exchanges of up to two
+    for one, among the plan's rows and the ``core`` candidates worth most at that price.
+    """
+    spark = cand.sparkSession
+    rows = settle(profitable(cand, robust).select(*PLAN_COLUMNS, "obj"))
+    top = rows.agg(F.max(F.col("obj") / F.nullif("spend", F.lit(0.0)))).first()[0] or 0.0
+    low, high, bound, best, seen = 0.0, top * 1.001 + 1e-12, None, None, set()
+    for _ in range(ZOOMS):
+        grid = [p for p in (low + (high - low) * i / (PRICES - 1) for i in range(PRICES)) if p not in seen]
+        seen.update(grid)
+        picked = settle(_chosen(rows, grid, slots, kmax))
+        totals = {r["price"]: r for r in picked.groupBy("price").agg(
+            F.sum("obj").alias("value"), F.sum("spend").alias("spend"), F.sum("worth").alias("worth")).collect()}
+        for price in grid:
+            r = totals.get(price)
+            value, spend, worth = (r["value"], r["spend"], r["worth"]) if r else (0.0, 0.0, 0.0)
+            bound = min(x for x in (bound, worth + price * budget) if x is not None)
+            if spend <= budget:
+                high = min(high, price)
+                if best is None or value > best[0]:
+                    best = (value, price, picked)
+            else:
+                low = max(low, price)
+        if high <= low:
+            break
+    # A few hundred rows: the plan so far and what comes next at the price.
+    value, price, picked = best if best else (0.0, high, None)
+    plan = picked.filter(F.col("price") == F.lit(price)).select(*PLAN_COLUMNS, "obj").collect() if picked is not None else []
+    near = (rows.withColumn("worth", F.abs(F.col("obj") - F.lit(float(price)) * F.col("spend"))).orderBy("worth", "sku", "d")
+            .select(*PLAN_COLUMNS, "obj").limit(core).collect())
+    good = rows.withColumn("worth", F.col("obj") - F.lit(float(price)) * F.col("spend")).orderBy(F.desc("worth"), "sku", "d")
+    near += good.select(*PLAN_COLUMNS, "obj").limit(core).collect()
+    plan = improved(plan, list(dict.fromkeys(near)), budget, slots, kmax)
+    out = spark.createDataFrame([tuple(r[c] for c in PLAN_COLUMNS) for r in plan], rows.select(*PLAN_COLUMNS).schema)
+    value, spend = sum(r["obj"] for r in plan), sum(r["spend"] for r in plan)
+    bound = max(bound or 0.0, value)
+    return out, spark.createDataFrame([(float(value), float(spend), float(bound), float(bound - value))],
+                                      "value double, spend double, bound double, gap double")
+
+
+def improved(plan: list, near: list, budget: float, slots: int, kmax: int) -> list:
+    """Better the plan by moves that keep every limit until none gains.
+
+    A move puts in one candidate and takes out up to two rows, its own SKU's
+    row among them if it has one; of a candidate's moves the one that gains most is made.
+    """
+    plan, near = list(plan), sorted(near, key=lambda r: (-r["obj"], r["sku"], r["d"]))
+    changed = True
+    while changed:
+        changed = False
+        for c in near:
+            spent = sum(r["spend"] for r in plan) + c["spend"]
+            same = sum(r["group"] == c["group"] for r in plan) + 1
+            forced = tuple(i for i, r in enumerate(plan) if r["sku"] == c["sku"])
+            outs = [forced, *[(*forced, i) for i in range(len(plan)) if i not in forced]]
+            if not forced:
+                cheap = sorted(range(len(plan)), key=lambda i: plan[i]["obj"])[:30]
+                outs += [(i, j) for n, i in enumerate(cheap) for j in cheap[:n]]
+            best = None
+            for out in outs:
+                gain = c["obj"] - sum(plan[i]["obj"] for i in out)
+                if (gain > (best[0] if best else 1e-9) and len(plan) + 1 - len(out) <= slots
+                        and spent - sum(plan[i]["spend"] for i in out) <= budget
+                        and same - sum(plan[i]["group"] == c["group"] for i in out) <= kmax):
+                    best = (gain, out)
+            if best:
+                plan = [r for i, r in enumerate(plan) if i not in best[1]] + [c]
+                changed = True
+    return plan

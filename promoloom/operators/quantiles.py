@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import bounded, settle
+from ..storage import bounded, join_null_safe, settle
+from .numbering import running_total
 
 ACCURACY = 10_000
 #: Rows of a group that one task ranks, and bins of a narrowing step.
@@ -67,6 +68,26 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: list[str] | None = N
     return at.select(*by, checked.otherwise(value_at).alias(name))
 
 
+def group_quantiles(df: DataFrame, value: str, q: float, by: list[str], name: str = "quantile") -> DataFrame:
+    """Linear-interpolated quantile of each group, for many groups of any sizes in one pass.
+
+    Equal values of a group become one counted row before anything moves; the
+    counted rows are dealt out by (group, value), so that a huge group is many
+    tasks' work, and running counts say which values hold the wanted ranks.
+    Null values are dropped, and groups that have no others.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    counted = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ended = running_total(counted, [F.asc("_v")], by, "_n", "_end").withColumn("_start", F.col("_end") - F.col("_n"))
+    totals = rows.groupBy(*by).agg((F.lit(q) * (F.count(F.lit(1)) - 1)).alias("_pos"))
+    low, high = F.floor("_pos"), F.ceil("_pos")
+    holds = lambda rank: (F.col("_start") <= rank) & (rank < F.col("_end"))
+    met = join_null_safe(ended, totals, by).filter(holds(low) | holds(high))
+    at = met.groupBy(*by).agg(F.first("_pos").alias("_pos"), F.max(F.when(holds(low), F.col("_v"))).alias("_vl"),
+                              F.max(F.when(holds(high), F.col("_v"))).alias("_vh"))
+    return at.select(*by, (F.col("_vl") + (F.col("_vh") - F.col("_vl")) * (F.col("_pos") - F.floor("_pos"))).alias(name))
+
+
 def _narrowed(rows: DataFrame, bracket: DataFrame, marker: list[str], inside: int) -> DataFrame:
     """The bracket with at most ``inside`` rows a group between its ends, or one value."""
     while True:

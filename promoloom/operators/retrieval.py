@@ -26,6 +26,8 @@ from ..functions.text import (ATTRIBUTES, attribute_score, name_attributes, name
 from ..storage import bounded, settle
 from .numbering import global_rank, top_per_group
 
+#: Letter similarity from which a word stands for another.
+LETTERS = 0.5
 #: Queries and documents of a block.
 QUERY_BLOCK, DOC_BLOCK = 1_000, 20_000
 
@@ -96,7 +98,8 @@ def best_category(texts: DataFrame, key: str, categories: DataFrame) -> DataFram
     """``key``, ``cat``, ``cat_score``: the category sharing most word roots with the text.
 
     Ties go to the lowest name.  Without a shared root the category with the
-    most similar tokens is taken, scored on 0..1; without a shared token the
+    most similar tokens is taken, scored on 0..1; without a shared token the one
+    whose words are spelt most alike (``spelt_alike``); without such words the
     lowest name with 0.
     """
     named = categories.select(F.col("category").alias("cat"), word_roots(F.col("category")).alias("croots"),
@@ -120,9 +123,53 @@ def best_category(texts: DataFrame, key: str, categories: DataFrame) -> DataFram
                         .alias("s")))
     tokened = pick(by_token)
     lowest = categories.agg(F.min("category")).first()[0]
-    unknown = (rest.select(key).join(tokened.select(key), key, "left_anti")
+    unread = settle(rest.join(settle(tokened).select(key), key, "left_anti"))
+    lettered = settle(pick(spelt_alike(unread, key, named)))
+    unknown = (unread.select(key).join(lettered.select(key), key, "left_anti")
                .select(key, F.lit(lowest).alias("cat"), F.lit(0.0).alias("cat_score")))
-    return rooted.unionByName(tokened).unionByName(unknown)
+    return rooted.unionByName(tokened).unionByName(lettered).unionByName(unknown)
+
+
+def letter_pairs(word: Column) -> Column:
+    """Neighbouring letters of a word, its ends marked, distinct."""
+    marked = F.concat(F.lit("^"), word, F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2))))
+
+
+def alike_words(left: DataFrame, right: DataFrame, least: float = LETTERS) -> DataFrame:
+    """``w``, ``t``, ``alike``: words of two lists (``w``, ``t``) with a letter similarity of at least ``least``.
+
+    The similarity is 1 less the edits per letter of the longer word.  Words meet
+    by pairs of letters.  An edit spoils two pairs at most, so that words alike by a half
+    or more have one in common; the edits allowed also bound the difference in
+    length and the pairs that must be shared.
+    """
+    if least < 0.5:
+        raise ValueError("words less than half alike need not share a pair of letters")
+
+    def spread(df: DataFrame, name: str) -> DataFrame:
+        pairs = letter_pairs(F.col(name))
+        return df.filter(F.length(name) > 0).distinct().select(name, F.size(pairs).alias(f"n_{name}"), F.explode(pairs).alias("pair"))
+
+    longest = F.greatest(F.length("w"), F.length("t"))
+    edits = F.floor((F.lit(1.0 - least) + F.lit(1e-9)) * longest)
+    shared = spread(left, "w").join(spread(right, "t"), "pair").groupBy("w", "t", "n_w", "n_t").agg(F.count(F.lit(1)).alias("n"))
+    near = shared.filter((F.abs(F.length("w") - F.length("t")) <= edits) & (F.col("n") >= F.greatest("n_w", "n_t") - 2 * edits))
+    alike = F.lit(1.0) - F.levenshtein("w", "t") / longest
+    return near.select("w", "t", alike.alias("alike")).filter(F.col("alike") >= least)
+
+
+def spelt_alike(texts: DataFrame, key: str, named: DataFrame, least: float = LETTERS) -> DataFrame:
+    """``key``, ``cat``, ``s``: mean over the text's words of the best letter similarity with a word of the category.
+
+    A word without one of at least ``least`` counts 0; texts without any are left
+    out.  Distinct words are compared, not texts.
+    """
+    words = texts.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
+    terms = named.select("cat", F.explode("ctokens").alias("t"))
+    best = (alike_words(words.select("w").distinct(), terms.select("t").distinct(), least).join(terms, "t")
+            .groupBy("w", "cat").agg(F.max("alike").alias("alike")))
+    return words.join(best, "w").groupBy(key, "cat").agg((F.sum("alike") / F.max("n")).alias("s"))
 
 
 def _ranked(scores: DataFrame, method: str) -> DataFrame:

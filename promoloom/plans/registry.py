@@ -20,7 +20,7 @@ from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog, build_panel, monthly_discounts, monthly_sales
 from ..sources import extracts
 from ..sources import warehouse as wh
-from ..storage import settle, shared_dir
+from ..storage import attach, settle, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -191,6 +191,16 @@ def name_features(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws(" ", F.array_sort(word_roots(F.col("name")))).alias("roots")))
 
 
+def fuzzy_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of product words that lack their third letter, so that no root or token is shared."""
+    words = F.split_part(wh.composed_name(F.col("p_partkey")), F.lit(" "), F.lit(1))
+    texts = wh.table(spark, d, "part").select(words.alias("right")).distinct()
+    texts = texts.withColumn("text", F.concat(F.substring("right", 1, 2), F.expr("substring(right, 4)")))
+    categories = _catalog(spark, d).select("category").distinct()
+    found = retrieval.best_category(retrieval.describe(texts, "text"), "text", settle(categories))
+    return tidy(found)
+
+
 def _rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries, docs, gold = _search(spark, d)
     queries = rankeval.queries_with_gold(queries, gold)
@@ -302,6 +312,28 @@ def lagrangian_report(spark: SparkSession, d: str) -> DataFrame:
     return tidy(planning.lagrangian_plan(p.cand, p.budget(TIGHT))[1], 2)
 
 
+def selection_plan(spark: SparkSession, d: str) -> DataFrame:
+    p = _Planning(spark, d)
+    return tidy(planning.selection_plan(p.cand, p.budget(TIGHT))[0], 2)
+
+
+def selection_check(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the closed-in selection keeps every limit and leaves at most half the gap of fixed prices."""
+    p = _Planning(spark, d)
+    budget = p.budget(TIGHT)
+    plan, report = planning.selection_plan(p.cand, budget)
+    plan, mine, fixed = settle(plan), report.first(), planning.lagrangian_plan(p.cand, budget)[1].first()
+    groups = plan.groupBy("group").count().agg(F.max("count").alias("most"))
+    sums = plan.agg(F.coalesce(F.sum("spend"), F.lit(0.0)).alias("spend"), F.count(F.lit(1)).alias("n"), F.countDistinct("sku").alias("skus"))
+    row = attach(sums, groups, [])
+    return tidy(row.select(
+        F.lit(budget).alias("budget"), (F.col("spend") <= F.lit(budget) + 1e-6).alias("within_budget"),
+        ((F.col("n") <= DEFAULTS.slots) & (F.col("n") == F.col("skus"))).alias("within_slots"),
+        (F.coalesce("most", F.lit(0)) <= DEFAULTS.kmax).alias("within_groups"),
+        F.lit(mine.value >= fixed.value - 1e-6 and mine.gap <= fixed.gap + 1e-6).alias("no_worse"),
+        F.lit(mine.gap <= 0.5 * fixed.gap + 1e-6).alias("gap_halved")), 2)
+
+
 def price_by_product(spark: SparkSession, d: str) -> DataFrame:
     return tidy(pricing.price_by_product(settle(pricing.price_per_kg(wh.price_list(spark, d)))))
 
@@ -357,8 +389,11 @@ QUERIES: dict[str, Query] = {
     "greedy_plan_robust": _plan(TIGHT, True),
     "lagrangian_plan": lagrangian_plan,
     "lagrangian_report": lagrangian_report,
+    "selection_plan": selection_plan,
+    "selection_check": selection_check,
     "plan_report": plan_report,
     "empty_plan_report": empty_plan_report,
+    "fuzzy_categories": fuzzy_categories,
     "gold_documents": lambda s, d: tidy(_search(s, d)[2]),
     "search_category": _top(retrieval.category_top, k=10),
     "search_lexical": _top(retrieval.lexical_top, k=10),

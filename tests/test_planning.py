@@ -74,6 +74,41 @@ def test_no_profitable_discount(spark, cand):
     assert plan.count() == 0 and report.first().value == 0.0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_selection_is_near_the_best_plan(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"S{i}", "c", f"g{i % 3}", float(d), float(rng.uniform(1, 20)), 0.0, 0.0, float(rng.uniform(1, 20)))
+            for i in range(8) for d in (10, 20)]
+    budget, slots, kmax = float(rng.uniform(15, 60)), 5, 2
+    best = 0.0
+
+    def walk(i, value, spend, n, groups):
+        nonlocal best
+        best = max(best, value)
+        for j in range(i, 8):
+            for r in rows[2 * j:2 * j + 2]:
+                if spend + r[7] <= budget and n < slots and groups.get(r[2], 0) < kmax:
+                    walk(j + 1, value + r[4], spend + r[7], n + 1, {**groups, r[2]: groups.get(r[2], 0) + 1})
+
+    walk(0, 0.0, 0.0, 0, {})
+    cand = spark.createDataFrame(rows, "sku string, cat string, group string, d double, net double, net_robust double, rev double, spend double")
+    plan, report = L.selection_plan(cand, budget, slots, kmax)
+    got, rep = plan.collect(), report.first()
+    assert 0.99 * best <= rep.value <= best + 1e-9 <= rep.bound + 2e-9
+    assert rep.value == pytest.approx(sum(r.net for r in got)) and sum(r.spend for r in got) <= budget + 1e-9
+    assert len({r.sku for r in got}) == len(got) <= slots
+
+
+@pytest.mark.parametrize("budget,slots,kmax", [(300.0, 200, 3), (60.0, 5, 2), (1e9, 200, 3), (0.0, 5, 2)])
+def test_selection_is_no_worse_than_fixed_prices(cand, budget, slots, kmax):
+    plan, report = L.selection_plan(cand, budget, slots, kmax)
+    mine, fixed = report.first(), L.lagrangian_plan(cand, budget, slots, kmax)[1].first()
+    assert mine.value >= fixed.value - 1e-9 and mine.gap <= fixed.gap + 1e-9
+    assert mine.gap <= max(0.01 * mine.bound, 1e-9) or slots == 5
+    groups = plan.groupBy("group").count().collect()
+    assert plan.count() <= slots and all(r["count"] <= kmax for r in groups) and mine.spend <= budget + 1e-9
+
+
 def test_baseline_candidates_and_history(spark):
     panel = spark.createDataFrame([
         ("1", "A", "2023-02-01", 10.0, "late", 0.0), ("1", "B", "2023-01-01", 20.0, "early", 0.0),

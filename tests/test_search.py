@@ -64,6 +64,40 @@ def test_categories(search):
     assert tuple(retrieval.best_category(short, "qid", cats).first()) == ("a", "Хек да", 1.0)
 
 
+def test_misspelt_words_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(60)]
+    terms = ["".join(rng.choice(list("abc"), rng.integers(1, 8))) for _ in range(40)] + ["aaaaaa", "ababab", ""]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        return new
+
+    left, right = (spark.createDataFrame([(w,) for w in ws], f"{n} string") for ws, n in ((words, "w"), (terms, "t")))
+    for least in (0.5, 0.7):
+        got = {(r.w, r.t): r.alike for r in retrieval.alike_words(left, right, least).collect()}
+        want = {(w, t): 1 - edits(w, t) / max(len(w), len(t)) for w in words for t in terms if t}
+        want = {k: v for k, v in want.items() if v >= least - 1e-12}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    with pytest.raises(ValueError, match="half"):
+        retrieval.alike_words(left, right, 0.4)
+
+
+def test_misspelt_category(spark):
+    cats = spark.createDataFrame([("Рыба копченая",), ("Икорная",), ("Да мяса",)], "category string")
+    texts = spark.createDataFrame([("кпоченая",), ("ккорная",), ("zzz",)], "text string")
+    got = {r.text: (r.cat, round(r.cat_score, 3)) for r in retrieval.best_category(retrieval.describe(texts, "text"), "text", cats).collect()}
+    assert got == {"кпоченая": ("Рыба копченая", 0.75), "ккорная": ("Икорная", 0.857), "zzz": ("Да мяса", 0.0)}
+
+
 def test_rerank_tail(search):
     rows = [r for r in ALL["rerank"](*search).collect() if r.qid == "сёмга"]
     rows.sort(key=lambda r: r["rank"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from promoloom.operators import features, panel, pricing
 from promoloom.operators.numbering import dense_index, global_rank, top_per_group
-from promoloom.operators.quantiles import exact_quantile
+from promoloom.operators.quantiles import exact_quantile, group_quantiles
 from promoloom.sources import extracts
 from promoloom.storage import bounded, settle
 
@@ -212,3 +212,18 @@ def test_result_tables(spark, sales, tmp_path):
     got = {r.sku: r.net for r in spark.read.parquet(str(tmp_path / "plan")).collect()}
     # Half to even.
     assert got == {"a": 2.0, "b": 10.0, "c": 4.0}
+
+
+def test_group_quantiles_of_small_and_huge_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(v)) for v in rng.integers(0, 500, 6000)] + [(f"g{i % 40}", float(v)) for i, v in enumerate(rng.normal(size=300))]
+    rows += [("one", 3.0), ("none", None), ("some", None), ("some", 2.0), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    held = {}
+    for k, v in rows:
+        if v is not None:
+            held.setdefault(k, []).append(v)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        got = {r.k: r["quantile"] for r in group_quantiles(df, "v", q, ["k"]).collect()}
+        assert got.keys() == held.keys()
+        assert all(abs(got[k] - np.quantile(v, q)) < 1e-9 for k, v in held.items())
