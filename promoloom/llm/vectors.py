@@ -37,7 +37,7 @@ SAMPLE = 16_384
 LIST_ROWS, MAX_CENTRES = 200, 4_096
 SUBSPACES, CODEWORDS = 8, 64
 #: Standard deviations that a query may be off the centre of its partner's list.
-PROBE_DEVIATIONS = 2.5
+PROBE_DEVIATIONS = 2.0
 #: Rows of a block, on either side.
 BLOCK_ROWS = 2_000
 
@@ -46,6 +46,7 @@ class Index(NamedTuple):
     centres: np.ndarray
     books: np.ndarray  # subspace, codeword, dimension
     edges: list[int]
+    spread: np.ndarray  # centre, centre: share of the residuals' variance along the line between the two, times its length squared
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -79,7 +80,19 @@ def fit(sample: np.ndarray, n_rows: int, seed: int = 7) -> Index:
         words = k_means(left[:, a:b], CODEWORDS, 6, rng)
         books[m, :len(words), :b - a] = words
         books[m, len(words):, :b - a] = words[0]
-    return Index(centres, books, edges)
+    return Index(centres, books, edges, spread_between(centres, left))
+
+
+def spread_between(centres: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """How far residuals of length 1 vary along each line between two centres, squared, times the line's squared length.
+
+    Real vectors fill few directions, and centres differ in just those; the sample's residuals tell.
+    """
+    cov = left.T @ left
+    share = cov / np.trace(cov) if np.trace(cov) > 0 else np.eye(len(cov)) / len(cov)
+    g = centres @ share @ centres.T
+    own = np.diag(g)
+    return np.maximum(own[:, None] + own - 2 * g, 0)
 
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,19 +112,18 @@ def probes(index: Index, x: np.ndarray, home: np.ndarray, threshold: float) -> l
     """Lists that may hold a vector at the threshold from each query, its ``home`` among them.
 
     A partner y in list c prefers c to the query's own best list b.  With the
-    query as ``t * y`` and a random direction across it, the query prefers b by
-    at most ``(1 - t) * (|b|^2 - |c|^2) / 2`` on average, with a deviation of
-    ``sqrt((1 - t^2) / (dim - 1)) * |b - c|``.
+    query as ``t * y`` and a step across it of length ``sqrt(1 - t^2)``, the query
+    prefers b by at most ``(1 - t) * (|b|^2 - |c|^2) / 2`` on average.  The step varies as the
+    sample's residuals do, so that its deviation along ``b - c`` is ``spread``'s.
     """
     c = index.centres
     size = (c ** 2).sum(1)
-    noise = np.sqrt((1 - threshold ** 2) / max(x.shape[1] - 1, 1))
+    noise = np.sqrt((1 - threshold ** 2) * index.spread)
     out = []
     for s in range(0, len(x), 512):
         score = x[s:s + 512] @ c.T - size / 2
         best = score.argmax(1)
-        apart = np.sqrt(np.maximum(size[best][:, None] + size - 2 * c[best] @ c.T, 0))
-        margin = (1 - threshold) / 2 * np.abs(size[best][:, None] - size) + PROBE_DEVIATIONS * noise * apart
+        margin = (1 - threshold) / 2 * np.abs(size[best][:, None] - size) + PROBE_DEVIATIONS * noise[best]
         near = score.max(1)[:, None] - score <= margin
         near[np.arange(len(near)), home[s:s + 512]] = True
         out += [np.flatnonzero(r).tolist() for r in near]
