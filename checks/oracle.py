@@ -462,6 +462,12 @@ ctype AS (SELECT sku, type FROM (SELECT *, row_number() OVER (PARTITION BY sku O
 catalog AS (SELECT row_number() OVER (ORDER BY sku) - 1 AS doc_id, sku, i, name,
   {pick(CATEGORIES, 'i')} AS category, 'G' || CAST(i % 12 AS VARCHAR) AS grp, type FROM items1 JOIN ctype USING (sku))"""
 
+NAME_TERMS = """grams AS (SELECT sku, substr(lower(name), i, 3) AS g FROM (SELECT sku, name, unnest(generate_series(1, length(name) - 2)) AS i FROM catalog)),
+tf AS (SELECT sku, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 512 AS term, count(*) AS tf FROM grams GROUP BY 1, 2),
+idf AS (SELECT term, ln(((SELECT count(*) FROM catalog) + 1e0) / (count(*) + 1e0)) AS idf FROM tf GROUP BY 1),
+weighed AS (SELECT sku, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+terms AS (SELECT sku, term, w / sqrt(sum(w * w) OVER (PARTITION BY sku)) AS weight FROM weighed)"""
+
 SEARCH = f"""WITH RECURSIVE {LINES}, {CATALOG},
 docs AS MATERIALIZED (SELECT c.*, {tokens('i')} AS tokens, {roots('i', 'i')} AS roots, {attrs('i', 'i')}, e.embedding AS vec
   FROM catalog c LEFT JOIN embeddings e ON c.sku = 'S' || CAST(e.vec_id AS VARCHAR)),
@@ -544,6 +550,33 @@ SQL: dict[str, str] = {
     "monthly_panel": f"{BASE} SELECT {PANEL_COLS} FROM panel",
     "panel_features": f"{FEATURED} SELECT {PANEL_COLS}, month_num, quarter, CAST(is_high_season AS BIGINT) AS is_high_season, {', '.join(f'{r(c)} AS {c}' for c in _FLOATS)} FROM features",
     "catalog": f"WITH {LINES}, {CATALOG} SELECT doc_id, sku, name, category, grp, type FROM catalog",
+    "incremental_features": f"{FEATURED} SELECT {PANEL_COLS}, month_num, quarter, CAST(is_high_season AS BIGINT) AS is_high_season, {', '.join(f'{r(c)} AS {c}' for c in _FLOATS)} FROM features",
+    "rejected_rows": f"""WITH {LINES},
+        told AS (SELECT CASE day(date) WHEN 8 THEN 'width' WHEN 7 THEN 'date' WHEN 5 THEN 'number' WHEN 6 THEN 'key' ELSE 'taken' END AS reason FROM lines)
+        SELECT reason, CASE reason WHEN 'date' THEN 'date' WHEN 'number' THEN 'qty' WHEN 'key' THEN 'client' END AS "column", count(*) AS rows
+        FROM told GROUP BY 1, 2""",
+    "faulty_panel": f"""WITH {LINES},
+        sold AS (SELECT sku, client, CAST(date_trunc('month', date) AS DATE) AS month, min(i) AS i,
+            greatest(sum(CASE day(date) % 4 WHEN 1 THEN -3 * qty WHEN 2 THEN 0e0 ELSE qty END), 0e0) AS qty
+          FROM lines WHERE day(date) <> 9 GROUP BY 1, 2, 3),
+        plan AS (SELECT sku, client, CAST(date_trunc('month', date) AS DATE) AS month, max(d) AS own_disc, avg(d) AS mean, count(*) FILTER (d > 0) AS weeks
+          FROM (SELECT *, CASE WHEN day(date) % 3 = 0 THEN 0e0 ELSE disc END AS d FROM lines WHERE client <> 'BUILDING') GROUP BY 1, 2, 3)
+        SELECT sku, client, strftime(month, '%Y-%m-%d') AS month, qty, CASE WHEN i % 3 = 0 THEN 'unknown' ELSE {pick(CATEGORIES, 'i')} END AS category,
+            coalesce(own_disc, 0e0) AS own_disc, {r('coalesce(mean, 0e0)')} AS promo_disc_mean, coalesce(weeks, 0) AS promo_weeks
+        FROM sold LEFT JOIN plan USING (sku, client, month)""",
+    "trimmed_catalog": f"""WITH {LINES},
+        item AS (SELECT sku, {name('min(i)')} AS name FROM lines WHERE i % 7 <> 0 GROUP BY sku),
+        one AS (SELECT min(sku) AS sku, name FROM item GROUP BY name)
+        SELECT row_number() OVER (ORDER BY sku) - 1 AS doc_id, sku, name FROM one""",
+    "supported_categories": f"""{BASE}, each AS (SELECT category, count(*) AS n, count(*) FILTER (own_disc > 0) AS treated FROM panel GROUP BY 1)
+        SELECT category FROM each WHERE n >= (SELECT ceil(avg(n)) FROM each) AND treated >= (SELECT floor(avg(treated)) FROM each)""",
+    "gold_queries": f"""WITH {LINES}, {CATALOG}, gset AS (SELECT DISTINCT grp AS qid, CAST(substr(grp, 2) AS BIGINT) AS g FROM catalog)
+        SELECT qid, lower({pick(HEADS, 'g')} || ' ' || {pick(STYLES, 'g')}) AS text FROM gset WHERE g % 2 = 0""",
+    "name_vectors": f"""WITH {LINES}, {CATALOG}, {NAME_TERMS} SELECT sku, term, {r('weight')} AS weight FROM terms""",
+    "panel_with_components": f"""{BASE}, {CATALOG}, {NAME_TERMS},
+        parts AS (SELECT sku, {', '.join(f"sum(weight * CASE WHEN CAST('0x' || substr(md5(term || '#{i}#42'), 1, 1) AS INTEGER) % 2 = 0 THEN 1e0 ELSE -1e0 END) / sqrt(4e0) AS emb_{i}" for i in range(4))} FROM terms GROUP BY sku)
+        SELECT p.sku, client, strftime(month, '%Y-%m-%d') AS month, p.qty, {', '.join(f"{r(f'coalesce(emb_{i}, 0e0)')} AS emb_{i}" for i in range(4))}
+        FROM panel p LEFT JOIN parts ON p.sku = parts.sku""",
     "name_features": f"""SELECT DISTINCT {name('p_partkey')} AS name, {weight_method('p_partkey')} AS weight_method, {r(weight_g('p_partkey'))} AS weight_g,
         {attrs('p_partkey', 'p_partkey')}, CAST(NULL AS VARCHAR) AS colour, array_to_string({tokens('p_partkey')}, ' ') AS tokens,
         array_to_string({roots('p_partkey', 'p_partkey')}, ' ') AS roots FROM part""",

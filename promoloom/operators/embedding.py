@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (IDF, PCA, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StandardScaler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..columns import DEFAULTS
-from ..storage import bounded
+from ..storage import attach, bounded, settle
 
 
 def hashed_ngrams(n: int = 3, features: int = 512) -> tuple[Callable[[DataFrame, str], object], str]:
@@ -45,6 +48,50 @@ def encode_names(catalog: DataFrame, queries: DataFrame | None = None, n: int =
     return run(catalog, "name"), None if queries is None else run(queries, "text")
 
 
+def encode_with(df: DataFrame, text: str, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+                batch: int = 64, name: str = "vec") -> DataFrame:
+    """Add vectors from any encoder.
+
+    ``make_predict`` loads the model, once a Python worker, and returns a function
+    from an array of texts to a matrix with one row each.  Null texts are encoded as empty ones.
+    """
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch)
+    return df.withColumn(name, predict(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+
+
+def name_terms(names: DataFrame, key: str, text: str = "name", n: int = 3, features: int = 512) -> DataFrame:
+    """``key``, ``term``, ``weight``: unit vectors of hashed letter ``n``-grams with inverse frequencies, in column expressions.
+
+    A term is a gram's hash in ``features`` places.  Names shorter than a gram,
+    and null ones, have no terms.
+    """
+    low = F.lower(F.col(text))
+    last = F.length(low) - F.lit(n - 1)
+    grams = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
+    place = F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("bigint") % features
+    counts = (names.filter(F.col(text).isNotNull()).select(key, F.explode(grams).alias("gram")).select(key, place.alias("term"))
+              .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    counts = settle(counts)
+    whole = names.filter(F.col(text).isNotNull()).select(key).distinct().agg(F.count(F.lit(1)).alias("names"))
+    seen = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rare = attach(seen, whole, []).select("term", F.log((F.col("names") + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    weighed = counts.join(bounded(rare), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")).filter("length > 0")
+    return weighed.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
+
+
+def projected(terms: DataFrame, key: str, dims: int = DEFAULTS.embedding_dims, seed: int = DEFAULTS.seed) -> DataFrame:
+    """``key``, ``emb_0`` .. : sparse vectors on ``dims`` random directions of signs, which keep products on average.
+
+    A term's sign in a direction is a hash, so no table of directions is needed.
+    """
+    def sign(i: int):
+        odd = F.conv(F.substring(F.md5(F.concat_ws("#", F.col("term").cast("string"), F.lit(str(i)), F.lit(str(seed)))), 1, 1), 16, 10)
+        return F.when(odd.cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+
+    return terms.groupBy(key).agg(*[(F.sum(F.col("weight") * sign(i)) / math.sqrt(dims)).alias(f"emb_{i}") for i in range(dims)])
+
+
 def name_components(catalog: DataFrame, dims: int = DEFAULTS.embedding_dims, n: int = 3,
                     features: int = 512) -> DataFrame:
     """sku, emb_0 .. emb_{dims-1}: principal components of the name vectors.

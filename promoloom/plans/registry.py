@@ -14,8 +14,9 @@ from ..functions import clean
 from ..functions.text import (name_attributes, name_tokens, product_head, with_pack_weight,
                               word_roots)
 from ..operators import causal, goldranks, interference, planning, pricing, rankeval, resample, retrieval, vectorindex
-from ..operators.embedding import name_components
+from ..operators.embedding import attach_components, name_components, name_terms, projected
 from ..operators.features import CONTROLS, add_features
+from ..operators.increments import PanelStore
 from ..operators.nuisance import Nuisance
 from ..operators.panel import build_catalog, build_panel, monthly_discounts, monthly_sales
 from ..sources import extracts
@@ -137,6 +138,86 @@ def discount_extract(spark: SparkSession, d: str) -> DataFrame:
     return tidy(monthly_discounts(extracts.read_discounts(spark, folder)))
 
 
+def rejected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Sales written with planted faults by line, read back: rows taken and turned away, by reason."""
+    lines = wh.sales(spark, d).withColumns({"date": F.date_format("date", "dd.MM.yyyy"), "qty": F.col("qty").cast("string")})
+    rows = lines.withColumn("day", F.dayofmonth(F.to_date("date", "dd.MM.yyyy"))).withColumns({
+        "qty": F.when(F.col("day") == 5, F.concat("qty", F.lit("x"))).otherwise(F.col("qty")),
+        "client": F.when(F.col("day") == 6, F.lit(None).cast("string")).otherwise(F.col("client")),
+        "date": F.when(F.col("day") == 7, F.concat(F.lit("31."), F.lit("02."), F.substring("date", 7, 4))).otherwise(F.col("date"))})
+    names = {short: long for long, short in SALES_HEADERS.items()}
+    cells = [F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in lines.columns]
+    text = F.concat_ws(",", *cells, F.when(F.col("day") == 8, F.lit("one too many")))
+    folder = _folder(spark)
+    head = spark.range(1).select(F.lit(",".join(names[c] for c in lines.columns)).alias("value"))
+    # One file a part, each with the header line first.
+    parts = rows.select(text.alias("value"), F.pmod(F.xxhash64("sku"), F.lit(4)).alias("part"))
+    headed = head.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("at", F.lit(0))
+    (headed.unionByName(parts.withColumn("at", F.lit(1))).repartition("part").sortWithinPartitions("part", "at")
+     .select("value", "part").write.partitionBy("part").text(folder))
+    good, bad = extracts.read_sales_checked(spark, f"{folder}/*")
+    counts = bad.groupBy("reason", "column").agg(F.count(F.lit(1)).alias("rows"))
+    taken = good.agg(F.lit("taken").alias("reason"), F.lit(None).cast("string").alias("column"), F.count(F.lit(1)).alias("rows"))
+    return tidy(taken.unionByName(counts))
+
+
+def incremental_features(spark: SparkSession, d: str) -> DataFrame:
+    """The feature panel stored up to its last two months, which are then added one by one."""
+    panel = settle(_panel(spark, d))
+    last = [r.month for r in panel.select("month").distinct().orderBy(F.desc("month")).limit(2).collect()]
+    store = PanelStore(spark, _folder(spark))
+    store.create(panel.filter(F.col("month") < F.lit(min(last))))
+    for month in sorted(last):
+        store.append(panel.filter(F.col("month") == F.lit(month)))
+    return tidy(store.panel())
+
+
+def faulty_panel(spark: SparkSession, d: str) -> DataFrame:
+    """The panel of sales with returns, missing quantities, missing categories and unreadable dates, and a partial discount plan."""
+    day = F.dayofmonth("date")
+    sales = wh.sales(spark, d).withColumns({
+        "qty": F.when(day % 4 == 1, F.col("qty") * -3).when(day % 4 != 2, F.col("qty")),
+        "category": F.when(F.substring("sku", 2, 9).cast("bigint") % 3 != 0, F.col("category")),
+        "date": F.when(day == 9, "не дата").otherwise(F.date_format("date", "d/M/yyyy"))})
+    plan = wh.discounts(spark, d).filter("client != 'BUILDING'").withColumn(
+        "disc_pct", F.when(F.dayofmonth("week_start") % 3 != 0, F.col("disc_pct")))
+    return tidy(build_panel(sales, plan).select("sku", "client", "month", "qty", "category", "own_disc", "promo_disc_mean", "promo_weeks"))
+
+
+def trimmed_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog of sales whose names come with blanks round them, some of them empty."""
+    number = F.substring("sku", 2, 9).cast("bigint")
+    sales = wh.sales(spark, d).withColumn("name", F.when(number % 7 != 0, F.concat(F.lit("  "), "name", F.lit(" "))))
+    return tidy(build_catalog(sales).select("doc_id", "sku", "name"))
+
+
+def supported_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories with at least as many rows as the average one, and of treated rows as well."""
+    rows = _rows(spark, d)
+    each = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("t") > 0).alias("treated"))
+    least = each.agg(F.ceil(F.avg("n")).alias("n"), F.floor(F.avg("treated")).alias("treated")).first()
+    return tidy(causal.supported(rows, least.n, least.treated))
+
+
+def gold_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that keep a relevant document when every other rule names no group."""
+    queries, docs, _ = _search(spark, d)
+    _, rules = wh.search_queries(docs)
+    number = F.substring("qid", 2, 9).cast("bigint")
+    rules = rules.withColumn("value", F.when(number % 2 == 0, F.col("value")).otherwise(F.concat("value", F.lit("?"))))
+    return tidy(rankeval.queries_with_gold(queries.select("qid", "text"), rankeval.gold_documents(rules, docs)))
+
+
+def name_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return tidy(name_terms(settle(_catalog(spark, d)), "sku"))
+
+
+def panel_with_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every panel row with four numbers from its product's name."""
+    parts = settle(projected(name_terms(settle(_catalog(spark, d)), "sku"), "sku", 4))
+    return tidy(attach_components(_panel(spark, d).select("sku", "client", "month", "qty"), parts))
+
+
 def price_sheet(spark: SparkSession, d: str) -> DataFrame:
     """The positional price sheet written and read back."""
     folder = _folder(spark)
@@ -348,6 +429,14 @@ QUERIES: dict[str, Query] = {
     "promo_extract": promo_extract,
     "discount_extract": discount_extract,
     "price_sheet": price_sheet,
+    "rejected_rows": rejected_rows,
+    "incremental_features": incremental_features,
+    "faulty_panel": faulty_panel,
+    "trimmed_catalog": trimmed_catalog,
+    "supported_categories": supported_categories,
+    "gold_queries": gold_queries,
+    "name_vectors": name_vectors,
+    "panel_with_components": panel_with_components,
     "price_sink": price_sink,
     "plan_sink": plan_sink,
     "monthly_sales": lambda s, d: tidy(monthly_sales(wh.sales(s, d))),

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from ..columns import (DISCOUNT_HEADERS, PRICE_LIST_HEADER, PRICE_LIST_POSITIONS, SALES_HEADERS,
                        rename_source)
+from ..functions.clean import text_to_date, text_to_number
+from ..storage import settle
 
 
 def _read_text_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -27,6 +29,50 @@ def read_discounts(spark: SparkSession, path: str,
     return rename_source(_read_text_csv(spark, path), headers)
 
 
+#: Why a row of an extract is turned away, the first that holds.
+REASONS = ("width", "date", "number", "key")
+
+
+def read_checked(spark: SparkSession, path: str, headers: dict[str, str], dates: tuple[str, ...], numbers: tuple[str, ...],
+                 keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows of an extract that can be read, and the others with the reason.
+
+    The first table is what ``read_sales`` or ``read_discounts`` gives, without the rows of the
+    second: ``file``, ``reason``, ``column`` and ``line`` (the row's text).  A row has
+    the wrong ``width`` if its cells are fewer or more than the header's, a wrong ``date``
+    or ``number`` if the text is given but can't be read, and no ``key`` if a
+    key's text is missing.  Empty cells of dates and numbers are nulls, not faults.
+    """
+    names = _read_text_csv(spark, path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_line"]])
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+           .csv(path).withColumn("_file", F.col("_metadata.file_name")))
+    rows = rename_source(raw, {**headers, "_line": "_line", "_file": "_file"})
+    given = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    faults = [(F.col("_line").isNotNull(), "width", F.lit(None).cast("string"))]
+    faults += [(given(F.col(c)) & text_to_date(F.col(c)).isNull(), "date", F.lit(c)) for c in dates if c in rows.columns]
+    faults += [(given(F.col(c)) & text_to_number(F.col(c)).isNull(), "number", F.lit(c)) for c in numbers if c in rows.columns]
+    faults += [(~given(F.col(c)), "key", F.lit(c)) for c in keys if c in rows.columns]
+    first = F.coalesce(*[F.when(bad, F.struct(F.lit(reason).alias("reason"), column.alias("column"))) for bad, reason, column in faults])
+    cells = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in rows.columns if not c.startswith("_")])
+    # Both tables come from one parse of the files.
+    marked = settle(rows.select("*", first.alias("_fault"), F.coalesce("_line", cells).alias("_text")))
+    good = marked.filter(F.col("_fault").isNull()).drop("_fault", "_line", "_file", "_text")
+    bad = marked.filter(F.col("_fault").isNotNull()).select(F.col("_file").alias("file"), "_fault.reason", "_fault.column",
+                                                            F.col("_text").alias("line"))
+    return good, bad
+
+
+def read_sales_checked(spark: SparkSession, path: str, headers: dict[str, str] = SALES_HEADERS) -> tuple[DataFrame, DataFrame]:
+    """Sales rows that can be read, and the others with the reason."""
+    return read_checked(spark, path, headers, ("date",), ("qty",), ("sku", "client", "date"))
+
+
+def read_discounts_checked(spark: SparkSession, path: str, headers: dict[str, str] = DISCOUNT_HEADERS) -> tuple[DataFrame, DataFrame]:
+    """Discount rows that can be read, and the others with the reason."""
+    return read_checked(spark, path, headers, ("week_start",), ("disc_pct",), ("sku", "client", "week_start"))
+
+
 def union_facts(*facts: DataFrame | None) -> DataFrame:
     """Stack the fact tables that are present; raise when there is none."""
     present = [f for f in facts if f is not None]
