@@ -4,8 +4,8 @@
 ``spark.checkpoint.dir`` and reads it back: later passes scan only the columns
 they need, lost executors re-read files instead of recomputing a long lineage,
 and Catalyst knows the true size.  ``bounded`` is the only way a table is
-broadcast in this library: the rows are counted first, and a table above the
-limit is joined by shuffle instead.
+broadcast in this library: its rows and bytes are measured first, and a table above the
+limits is joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
+#: The most that is broadcast, and the rows that tell how wide a table is.
+BROADCAST_ROWS, BROADCAST_BYTES, FIRST_ROWS = 50_000, 64_000_000, 2_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,14 +59,20 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, match, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it.
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``max_rows`` rows and ``max_bytes`` bytes, else leave it.
 
-    At most ``max_rows + 1`` rows reach the driver; a bigger table comes back
-    unchanged and its join shuffles.
+    The first rows tell how wide a row is; no more than the limits and a row
+    reach the driver.  A bigger table comes back unchanged and its join shuffles.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    rows = df.limit(min(FIRST_ROWS, max_rows + 1)).toArrow()
+    if rows.num_rows == FIRST_ROWS <= max_rows:
+        fits = min(max_rows, int(max_bytes * FIRST_ROWS // max(rows.nbytes, 1)))
+        if fits < FIRST_ROWS:
+            return df
+        rows = df.limit(fits + 1).toArrow()
+        max_rows = fits
+    if rows.num_rows > max_rows or rows.nbytes > max_bytes:
         return df
     # An Arrow table becomes a local relation: no job reads it again.
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -227,3 +227,15 @@ def test_group_quantiles_of_small_and_huge_groups(spark):
         got = {r.k: r["quantile"] for r in group_quantiles(df, "v", q, ["k"]).collect()}
         assert got.keys() == held.keys()
         assert all(abs(got[k] - np.quantile(v, q)) < 1e-9 for k, v in held.items())
+
+
+def test_broadcast_is_bounded_by_rows_and_bytes(spark):
+    def hinted(df):
+        return "BroadcastHint" in df._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in df._jdf.queryExecution().analyzed().toString()
+
+    narrow = settle(spark.range(5000))
+    assert hinted(bounded(narrow)) and not hinted(bounded(narrow, 4999)) and hinted(bounded(narrow, 5000))
+    assert bounded(narrow, 5000).count() == 5000 and bounded(spark.range(0)).count() == 0
+    wide = settle(spark.range(3000).select("id", F.array_repeat(F.lit(1.5), 100).alias("v")))
+    assert hinted(bounded(wide)) and not hinted(bounded(wide, max_bytes=500_000)) and not hinted(bounded(wide, max_bytes=2_000_000))
+    assert not hinted(bounded(spark.range(300).select(F.array_repeat(F.lit(1.5), 100).alias("v")), max_bytes=10_000))
