@@ -36,7 +36,11 @@ GRAM, FEATURE, PARENT = 0.5, 1.0, 5.0
 #: Trigrams of a text overlap and repeat: the evidence counts as this share of their number, up to a most.
 TEMPER, MOST_GRAMS = 0.2, 40
 _HIDDEN = re.compile(r"<(script|style|template|noscript)\b", re.IGNORECASE)
-_DECLARED = re.compile(r"<html\b[^<>]{0,2000}?\blang\s{0,20}=\s{0,20}[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+# The whole opening tag, whose quoted values may hold any character.
+_ROOT = re.compile(r"""<html\b((?:[^>"']|"[^"]*"|'[^']*')*+)""", re.IGNORECASE)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.IGNORECASE)
+#: What may follow the start of a tag; any other "<" is text.
+_TAG = re.compile(r"[A-Za-z/!?]")
 #: Most languages that a model may have; bounds its broadcast table.
 MAX_LANGUAGES = 200
 
@@ -44,6 +48,7 @@ MAX_LANGUAGES = 200
 def visible(page: str) -> str:
     """Text outside tags, comments, scripts and styles; one pass over the page.
 
+    A "<" that no letter, slash, exclamation or question mark follows is text.
     What opens and never closes hides the rest of the page.
     """
     out, at = [], 0
@@ -53,6 +58,10 @@ def visible(page: str) -> str:
             out.append(page[at:])
             break
         out.append(page[at:start])
+        if not _TAG.match(page, start + 1):
+            out.append("<")
+            at = start + 1
+            continue
         hidden = _HIDDEN.match(page, start)
         if page.startswith("<!--", start):
             end, after = page.find("-->", start + 4), 3
@@ -70,7 +79,8 @@ def visible(page: str) -> str:
 
 def declared(page: str) -> str:
     """Primary code of the language that the markup declares, or an empty string."""
-    found = _DECLARED.search(page)
+    root = _ROOT.search(page)
+    found = _LANG.search(root[1]) if root else None
     return found[1].lower() if found else ""
 
 
@@ -135,7 +145,8 @@ def identify(pages: DataFrame, texts: DataFrame, key: str = "page_id", url: str
     probability null.  Null pages and addresses count as empty: no text
     evidence, no declaration, and the host ''.  A null key stays null; repeated
     rows each give a row and count each.  Pages of any length are read whole.
-    An empty table gives no rows.  Other columns are ignored.
+    An empty table gives no rows.  Other columns are ignored.  More than
+    ``MAX_LANGUAGES`` labels raise an error, since the text models travel to every task.
     """
     names, model = text_models(texts, text, label)
     held = pages.sparkSession.sparkContext.broadcast(model)

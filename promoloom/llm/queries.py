@@ -97,6 +97,37 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op4_near_vectors": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+                   coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                            AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good FROM embeddings),
+        u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v WHERE good),
+        link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b
+                 ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+        reach AS (SELECT x, x AS y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+        low AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
+        many AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+        SELECT vec_id, coalesce(many.n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN low ON low.x = vec_id LEFT JOIN many ON many.x = vec_id
+    """,
+    "op6_near_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 2 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM t),
+        n AS (SELECT doc_id, len(g) AS n FROM s),
+        one AS MATERIALIZED (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+        met AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+                 FROM one a JOIN one b ON a.h = b.h AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY 1, 2),
+        link AS (SELECT a, b FROM met WHERE 100 * i >= 80 * (na + nb - i)),
+        way AS (SELECT a AS x, b AS y FROM link UNION ALL SELECT b, a FROM link),
+        reach AS (SELECT x, x AS y FROM way UNION SELECT reach.x, way.y FROM reach JOIN way ON way.x = reach.y),
+        low AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+        SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+        FROM n LEFT JOIN low ON x = doc_id
+    """,
     "op11_decontaminate": r"""
         WITH item AS (
             SELECT item_id::VARCHAR AS item_id,

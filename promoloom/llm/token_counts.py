@@ -34,6 +34,8 @@ from .text import WHITE, per_slice, special_splitter, whole_text
 
 #: Bytes of text that share a dictionary.
 BLOCK_BYTES = 32_000_000
+#: Bits of a block's number within its partition.
+NUMBER_BITS = 11
 #: Bits of a slot: a block has fewer bytes, but a single text may be longer.
 SLOT_BITS = 32
 #: Rows of sorted pre-tokens between two outputs of packed counts.
@@ -77,8 +79,15 @@ def _rows(block: int, **cols: list) -> pa.RecordBatch:
 def _blocks(special: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split, cut = regex.compile(SPLIT), special_splitter(special)
     part = TaskContext.get().partitionId()
-    numbers = itertools.count(part << 11)
-    block, held, slots = next(numbers), 0, {}
+    numbers = itertools.count()
+
+    def numbered() -> int:
+        n = next(numbers)
+        if n >> NUMBER_BITS:
+            raise ValueError(f"more than {1 << NUMBER_BITS} blocks of texts in a partition; deal the input out to more partitions")
+        return part << NUMBER_BITS | n
+
+    block, held, slots = numbered(), 0, {}
 
     def words() -> Iterator[pa.RecordBatch]:
         names = list(slots)
@@ -101,7 +110,7 @@ def _blocks(special: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[p
         held += sum(docs["n_bytes"])
         if held > BLOCK_BYTES:
             yield from words()
-            block, held, slots = next(numbers), 0, {}
+            block, held, slots = numbered(), 0, {}
     yield from words()
 
 
@@ -164,7 +173,8 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     Null text counts as empty: 0 bytes, 0 tokens.  A null key stays null;
     repeated rows each give a row.  Texts of any length are counted whole.  An
-    empty table gives no rows.  Other columns are ignored.
+    empty table gives no rows.  Other columns are ignored.  A partition of more than
+    2,048 blocks (some 64 GB of text) raises an error.
     """
     special = list(MergeTable(path).special)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("doc_key"), whole_text(text).alias("text"))

@@ -127,3 +127,17 @@ def test_query_equals_brute_force_on_a_small_table(spark):
             written = ";".join("|".join(",".join(map(str, x)) for x in g) for g in gs)
             assert got[r.doc_id].groups_sha256 == (hashlib.sha256(written.encode()).hexdigest() if gs else "")
             assert got[r.doc_id].n_links == sum(len(a) * len(b) for a, b in gs)
+
+
+def test_both_encoders_of_the_first_side_agree_below_u0100():
+    both = alignment.Tokenizers(A, B)
+    assert both.quick is not None
+    chars = [chr(c) for c in range(256)]
+    texts = [" " + a + b for a in chars for b in chars] + ["x" + a + b + "y" for a in chars for b in chars[:64]]
+    rng = np.random.default_rng(7)
+    texts += ["".join(chars[c] for c in rng.integers(0, 256, 40)) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("  \t\n\r\x0b\x0c\x1c\x1f\x85\xa0'stremvd1²¼ªµß×.!"), 30)) for _ in range(20_000)]
+    want = [e.ids for e in both.first.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [both.quick.encode_ordinary(t) for t in texts] == want
+    assert both._first_ids([" a", " 漢字", " é", " <|endoftext|>"]) == [e.ids for e in both.first.encode_batch_fast(
+        [" a", " 漢字", " é", " <|endoftext|>"], add_special_tokens=False)]
