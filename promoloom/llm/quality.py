@@ -10,6 +10,8 @@ and the labels of its nearest ones vote, weighted by similarity.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -136,7 +138,9 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Voters from at most about ``sample`` labelled texts of each class.
 
     Rows whose key is held out, or whose label is neither 0 nor 1, teach
-    nothing.  Which texts are in the sample depends on their keys alone.
+    nothing.  Which texts are in the sample depends on their keys alone.  Null
+    keys teach nothing, a key on several rows teaches once, null and empty texts
+    have no terms.  Without labelled texts, every score is a half.
     """
     known = (labels.filter(~held_out(key) & F.col(f"`{label}`").isin(0, 1))
              .select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{label}`").cast("int").alias("label")))
@@ -153,15 +157,29 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = [terms(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(x, pa.binary())], names=["row_key", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("label"), pa.array(x, pa.binary())],
+                                          names=["row_key", "label", "x"])
 
     kind = df.schema[key].dataType.simpleString()
-    marked = map_slices(columns_of(taught, "row_key", "text"), work, f"row_key {kind}, x binary")
-    rows = marked.join(F.broadcast(chosen), "row_key").orderBy("row_key", "x").select("x", "label").toArrow()
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
-    if not len(x):
+    marked = map_slices(columns_of(taught, "row_key", "label", "text"), work, f"row_key {kind}, label int, x binary")
+    # Rows that repeat a key teach once, so that the sample keeps its bound.
+    marked = marked.groupBy("row_key", "label").agg(F.min("x").alias("x"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        x = np.frombuffer(b"".join(v for b in held for v in b.column("x").to_pylist()), np.float16).reshape(-1, TERMS)
+        labels = np.concatenate([b.column("label").to_numpy() for b in held]).astype(np.float64)
+        voters = fit(x.astype(np.float32), labels, totals)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(voters)], pa.binary())], names=["voters"])
+
+    # The sample has a fixed bound: one task learns from it, and the driver gets what it has learnt.
+    learnt = (marked.repartition(1).sortWithinPartitions("row_key").select("label", "x")
+              .mapInArrow(learn, "voters binary").collect())
+    if not learnt:
         return Voters(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), 0.5)
-    return fit(x, rows["label"].to_numpy().astype(np.float64), totals)
+    return pickle.loads(learnt[0].voters)
 
 
 def score_texts(df: DataFrame, voters: Voters, key: str = "doc_id", text: str = "text") -> DataFrame:
