@@ -46,8 +46,6 @@ from .vectors import forest_of
 SKETCH = 64
 #: Neighbouring retained values of an entry, and the most that a link may be missed by.
 RUN, MISS = 2, 1e-7
-#: From this size on a set is indexed by runs.
-LARGE = 52
 #: Standard deviations of the estimate that a pair may lack and still be verified.
 SLACK = 5.5
 #: Members of a list whose pairs across components are compared one by one.
@@ -137,6 +135,11 @@ def drop_near(df: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return keep_keys(df, kept.select(F.col(f"`{key}`")), key)
 
 
+def large_from(percent: int) -> int:
+    """The size from which a set is indexed by runs: the least that links with a set its sketch doesn't hold whole."""
+    return min(SKETCH, -(-(SKETCH + 1) * percent // 100))
+
+
 def spare_runs(n: int, share: float) -> int:
     """How many of the runs of ``n`` retained values two texts may leave out.
 
@@ -187,16 +190,17 @@ def _lists(reps: DataFrame, percent: int) -> DataFrame:
     """``value``, ``doc`` and ``weight`` of every indexed entry that two texts or more have."""
     n = F.size("sketch")
     # Sets within the threshold differ in size by 100 / percent at most: their ranges are equal or neighbours.
-    place = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    place = (F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9) if percent < 100 else F.col("n")).cast("int")
     small = reps.filter(F.col("n") <= SKETCH).select(
         F.col("rep").alias("doc"), F.explode(F.array(place, place + 1)).alias("space"), "sketch",
         (n - F.ceil(n * percent / 100) + 1).alias("need"))
     small = small.select("doc", "space", n.alias("n_doc"), "need", F.explode("sketch").alias("value"))
-    spare = F.array(*[F.lit(spare_runs(k, percent / 100)) for k in range(LARGE, SKETCH + 1)])
+    least = large_from(percent)
+    spare = F.array(*[F.lit(spare_runs(k, percent / 100)) for k in range(least, SKETCH + 1)])
     runs = F.transform(F.sequence(F.lit(0), n - RUN), lambda i: F.xxhash64(*[F.get("sketch", i + j) for j in range(RUN)]))
-    large = reps.filter(F.col("n") >= LARGE).select(
+    large = reps.filter(F.col("n") >= least).select(
         F.col("rep").alias("doc"), F.lit(-1).alias("space"), (n - RUN + 1).alias("n_doc"),
-        (n - RUN + 1 - F.get(spare, n - LARGE)).alias("need"), F.explode(runs).alias("value"))
+        (n - RUN + 1 - F.get(spare, n - least)).alias("need"), F.explode(runs).alias("value"))
     entries = small.unionByName(large).withColumn("value", F.xxhash64("space", "value"))
     counts = entries.groupBy("value").agg(F.count(F.lit(1)).alias("shared")).filter("shared > 1")
     # Values of one text alone come first in the order, and only their number matters.

@@ -160,7 +160,8 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     reachable by links, ``kept`` marks it.  A null key never names a component:
     such a row has its component if it links with other keys, else null.
     Repeated keys are rows that link like others.  An empty table gives no rows.
-    Other columns are ignored.
+    Other columns are ignored.  More than 1,000 different lengths of vectors raise an error,
+    since each length is searched by itself.
     """
     rows = settle(clean_vectors(df, key, vector).withColumn("row", F.monotonically_increasing_id())
                   .withColumn("same", F.sha2(F.array_join("v", ","), 256)))
