@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import settle
-from .text import keep_keys, whole_text
+from .text import fresh, keep_keys, whole_text
 
 #: Share of all rows above which a digest is settled by broadcast; bounds that table to 1 / SUPPORT rows.
 SUPPORT = 0.001
@@ -58,8 +58,17 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", support
 
 
 def drop_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose key stays, all columns.
+    """One row of ``df`` for each group of equal texts, all columns.
 
-    Rows that repeat a key can't be told apart by it: all of them stay if one does.
+    Rows that repeat a key (or have none) are told apart by their texts: those
+    of one text are one row.  Of rows that repeat a key with several texts, all texts stay if
+    one of them does.  Nulls, empty tables and other columns are as in ``exact_groups``.
     """
-    return keep_keys(df, exact_groups(df, key, text).filter("kept").select(F.col(f"`{key}`")), key)
+    stays = settle(exact_groups(df, key, text).filter("kept").groupBy(F.col(f"`{key}`").alias("stays")).agg(F.count(F.lit(1)).alias("n")))
+    once, again = (stays.filter(c).select("stays") for c in ("n = 1", "n > 1"))
+    rows = keep_keys(df, once, key)
+    if again.isEmpty():
+        return rows
+    mark = fresh(df, "_digest")
+    told = keep_keys(df, again, key).withColumn(mark, F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+    return rows.unionByName(told.dropDuplicates([key, mark]).drop(mark))

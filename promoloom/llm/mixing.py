@@ -81,8 +81,8 @@ _PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("so
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS,
-        seed: int = 0) -> DataFrame:
-    """``key``, ``size``, ``source_size``, ``target`` and ``taken`` of every row.
+        seed: int = 0, with_source: bool = False) -> DataFrame:
+    """``key``, ``size``, ``source_size``, ``target`` and ``taken`` of every row, ``with_source`` also ``mix_source``.
 
     ``taken`` counts the words that the mix takes from the row, repeats
     included; it never passes ``repeats`` times ``size``, and a source's sum is
@@ -100,7 +100,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sized = settle(sized.withColumn("mixed", F.xxhash64(F.lit(seed), "row_key", "size")))
     plan = source_plan(sized, weights, repeats)
     sources = F.broadcast(spark.createDataFrame(plan, _PLAN))
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop("source")
+    rows = sized.withColumnRenamed("source", "named").join(sources, F.col("named").eqNullSafe(F.col("source"))).drop("source")
 
     # Where each text lies in its source, in words.
     count = sized.count()
@@ -135,8 +135,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     # An interval that holds words starts at a place of its own, so it names its row.
     full = placed.filter("size > 0").join(met, ["source_no", "start"], "left")
     out = full.unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
+    named = [F.col("named").alias("mix_source")] if with_source else []
     return out.select(F.col("row_key").alias(key), "size", "source_size", "target",
-                      F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+                      F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *named)
 
 
 def _offsets(held: DataFrame) -> DataFrame:
@@ -180,10 +181,29 @@ def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source:
 
     Whole texts only: a text that the mix takes in part counts if at least half
     of it is taken.  Only the ends of each source's last block are such texts.
-    Rows without words go.  ``key`` must not repeat.
+    Rows without words go.  Rows that agree in key, source and size share what
+    the mix takes from them, in an order given by their texts.
     """
-    name, copy = fresh(df, "_mix_key"), fresh(df, "_mix_copy")
-    taken = mix(df, key, text, source, **options).filter("size > 0").select(
-        F.col(f"`{key}`").alias(name), F.round(F.col("taken") / F.col("size")).cast("int").alias(copy))
-    rows = df.join(taken.filter(F.col(copy) > 0), F.col(f"`{key}`").eqNullSafe(F.col(name)))
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).drop(name, copy)
+    names = [fresh(df, n) for n in ("_mix_key", "_mix_source", "_mix_size", "_mix_runs", "_mix_at", "_mix_run")]
+    m_key, m_source, m_size, runs, at, run = names
+    taken = mix(df, key, text, source, with_source=True, **options).filter("size > 0")
+    copies = F.round(F.col("taken") / F.col("size")).cast("int")
+    # Rows that agree have at most ``repeats + 1`` numbers of copies between them: how many rows have each is enough.
+    alike = (taken.groupBy(F.col(f"`{key}`").alias(m_key), F.col("mix_source").alias(m_source), F.col("size").alias(m_size), copies.alias("copies"))
+             .agg(F.count(F.lit(1)).alias("rows")).groupBy(m_key, m_source, m_size)
+             .agg(F.sort_array(F.collect_list(F.struct("copies", "rows")), asc=False).alias(runs)).filter(F.col(runs)[0]["copies"] > 0))
+    alike = settle(alike.withColumn(at, F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["rows"])))
+    once, shared = (alike.filter(c).drop(at) for c in (F.col(at) == 1, F.col(at) > 1))
+    match = (F.col(f"`{key}`").eqNullSafe(F.col(m_key)) & F.col(f"`{source}`").cast("string").eqNullSafe(F.col(m_source))
+             & (word_count(text) == F.col(m_size)))
+    rows = df.join(once.hint("merge"), match).withColumn(run, F.col(runs)[0]["copies"])
+    if not shared.isEmpty():
+        # The n-th of the rows that agree takes the n-th number of copies.
+        same = W.partitionBy(m_key, m_source, m_size).orderBy(F.xxhash64(whole_text(text)), whole_text(text))
+        told = df.join(shared, match).withColumn(at, F.row_number().over(same).cast("long"))
+        nth = F.aggregate(runs, F.struct(F.col(at).alias("left"), F.lit(0).alias("copies")),
+                          lambda a, r: F.struct((a["left"] - r["rows"]).alias("left"),
+                                                F.when((a["left"] > 0) & (a["left"] <= r["rows"]), r["copies"]).otherwise(a["copies"]).alias("copies")),
+                          lambda a: a["copies"])
+        rows = rows.unionByName(told.withColumn(run, nth).drop(at).filter(F.col(run) > 0))
+    return rows.withColumn(run, F.explode(F.sequence(F.lit(1), F.col(run)))).drop(*names)

@@ -30,9 +30,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose key is in the one column of ``keys``; null matches null."""
+    """Rows of ``df`` whose key is in the one column of ``keys``; null matches null.
+
+    Keys are as many as rows, so that the plan for many is taken at any size.
+    """
     name = fresh(df, "_kept")
-    kept = keys.toDF(name).distinct()
+    kept = keys.toDF(name).distinct().hint("merge")
     return df.join(kept, F.col(f"`{key}`").eqNullSafe(F.col(f"`{name}`")), "left_semi")
 
 

@@ -81,6 +81,21 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, size, short):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("percent", [60, 70, 100])
+def test_sets_on_both_sides_of_the_sketch_meet(spark, percent):
+    rng = random.Random(percent)
+    texts = []
+    for n in (40, 46, 52, 60, 64, 70, 90):
+        words = [f"{n}-{i}" for i in range(n)]
+        # A prefix of the words with just the share of the shingles that links.
+        texts += [" ".join(words), " ".join(words[:-(-(n - 1) * percent // 100) + 1]), " ".join(words[:rng.randrange(20, n)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, _ = shingle_links(texts, 2)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(df, size=2, percent=percent).collect()}
+    assert [got[i] for i in range(len(texts))] == groups(len(texts), links) and len(links) >= 7
+
+
 def test_near_groups_of_odd_rows(odd_rows, no_rows):
     got = near_dedup.near_groups(odd_rows).collect()
     assert len(got) == odd_rows.count()
@@ -144,3 +159,48 @@ def test_near_vectors_of_odd_rows(spark):
     want = groups(len(vs), links)
     assert got == [(i, int(n[i]), want[i], want[i] == i) for i in range(len(vs))]
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rank", [8, 20, 384])
+def test_probing_finds_links_in_few_directions(rank):
+    n, dim = 40_000, 384
+    rng = np.random.default_rng(rank)
+    one, across = rng.standard_normal((2, n // 2, rank))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    across -= (across * one).sum(1, keepdims=True) * one
+    across /= np.linalg.norm(across, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.92, (n // 2, 1))
+    turned = np.linalg.qr(rng.standard_normal((dim, rank)))[0].T
+    x = vectors.unit(np.concatenate([one, cos * one + np.sqrt(1 - cos ** 2) * across]) @ turned)
+    index = vectors.fit(x[rng.choice(n, vectors.SAMPLE, replace=False)], n)
+    home = vectors.nearest(x, index.centres)
+    lists = vectors.probes(index, x, home, 0.9)
+    half = n // 2
+    found = [home[i + half] in lists[i] or home[i] in lists[i + half] for i in range(half)]
+    assert len(index.centres) == 200 and np.mean(found) >= 0.99
+    assert np.mean([len(p) for p in lists]) < 25
+
+
+def test_few_and_many_links_give_the_same_components(spark, monkeypatch):
+    from promoloom.llm import components as module
+
+    rng = random.Random(3)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400, i) for i in range(401, 440)]
+    df = spark.createDataFrame(links, "a long, b long")
+    want = sorted(map(tuple, components(df).collect()))
+    monkeypatch.setattr(module, "PART_LINKS", 10)
+    assert sorted(map(tuple, components(df).collect())) == want
+
+
+def test_stars_come_out_as_they_went_in(spark):
+    links = [(i, 0) for i in range(1, 9)] + [(12, 10)]
+    got = sorted(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == sorted({(a, b) for a, b in links} | {(0, 0), (10, 10)})
+
+
+def test_rows_that_repeat_key_and_text_are_one(spark):
+    rows = [(1, "a b", 1), (1, "a  b", 2), (1, "c", 3), (2, "a b", 4), (None, "n", 5), (None, "n", 6), (3, None, 7), (3, "", 8), (4, "c", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stays int")
+    got = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(df).collect()), key=str)
+    assert len(got) == 4 and {(k, " ".join((t or "").split())) for k, t in got} == {(1, "a b"), (1, "c"), (None, "n"), (3, "")}
+    assert exact_dedup.drop_copies(df).columns == df.columns

@@ -62,10 +62,94 @@ def test_language_recovers_planted_languages(spark):
 
 def test_visible_text():
     assert language.visible("a<b>c</b><!-- x --><SCRIPT>y<z</script >d&amp;e<style>q").split() == ["a", "c", "d&e"]
-    assert language.visible("<" * 10) == "" and language.address("http://a.b.co.uk:80/x") == ("a.b.co.uk", "co.uk", "uk")
+    assert language.visible("<" * 10).strip("<") == "" and language.visible("a < b and <i>c") == "a < b and  c" and language.address("http://a.b.co.uk:80/x") == ("a.b.co.uk", "co.uk", "uk")
     assert language.address("http://[::1]/") == ("::1", "::1", "") and language.address("") == ("", "", "")
 
 
+def test_declared_language_anywhere_in_the_root_tag():
+    said = language.declared
+    assert said(f'<html class="{"x " * 5000}" data-x="a > b" lang="fr">') == "fr"
+    assert said(f'<html{" " * 3000}lang{" " * 99}={" " * 99}DE>') == "de"
+    assert said("<html><p lang=fr>") == "" and said('<html data="<" lang=it-IT>') == "it" and said("<htmlx lang=de>") == ""
+    for page in ("<html " + '"' * 100_001, "<html " + "lang " * 100_000, "<html " + "lang=" * 100_000):
+        said(page)
+
+
+def by_hand(pages, texts):
+    """The operator's rows from dictionary sums over all pages."""
+    names = sorted({lang for _, lang in texts if lang is not None})
+    counts = np.full((len(names), language.BUCKETS), language.GRAM)
+    for t, lang in texts:
+        if lang is not None:
+            counts[names.index(lang)] += language.grams(t or "")
+    model = np.log(counts / counts.sum(1, keepdims=True))
+    rows = []
+    for key, url, page in pages:
+        c = language.grams(language.visible(page or ""))
+        n = int(c.sum())
+        score = model @ c * (min(n * language.TEMPER, language.MOST_GRAMS) / n if n else 0.0)
+        likely = score - score.max()
+        rows.append((key, *language.address(url or ""), language.declared(page or ""), likely, np.exp(likely) / np.exp(likely).sum()))
+    total, size, n = sum(r[6] for r in rows), len(names), len(rows)
+    prior = [(total[i] + 1) / (n + size) for i in range(size)]
+    out = []
+    for key, host, domain, suffix, said, likely, belief in rows:
+        of = lambda at, value: sum(r[6] for r in rows if r[at] == value)
+        others = {name: of(at, value) - belief for name, at, value in (("h", 1, host), ("m", 2, domain), ("s", 3, suffix), ("d", 4, said))}
+        scores = []
+        for i in range(size):
+            top = (max(others["m"][i], 0) + language.PARENT * prior[i]) / (max(others["m"].sum(), 0) + language.PARENT)
+            own = (max(others["h"][i], 0) + language.PARENT * top) / (max(others["h"].sum(), 0) + language.PARENT)
+            score = math.log(own) + likely[i]
+            for name in "ds":
+                share = (others[name].sum() + language.FEATURE) / (max(n - 1, 0) + language.FEATURE)
+                held = max(total[i] - belief[i], 0)
+                score += math.log(max((max(others[name][i], 0) + language.FEATURE * share) / (held + language.FEATURE), 1e-12))
+            scores.append(score)
+        best = int(np.argmax(scores))
+        out.append((key, host, said, names[int(np.argmax(likely))], names[best], 1 / sum(math.exp(x - scores[best]) for x in scores)))
+    return out
+
+
+def test_language_equals_sums_by_hand(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("text", "lang")
+    pages = [tuple(r) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html").collect()]
+    pages += [pages[0], (None, None, None), (7001, "http://odd.example/", "<p>1 < 2</p>"), (7002, "", f"<html lang='de'>{'wort ' * 30_000}")]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, declared string").repartition(3)
+    got = sorted((tuple(r) for r in language.identify(df, docs).collect()), key=str)
+    want = sorted(by_hand(pages, [tuple(r) for r in docs.collect()]), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert all(abs(g[5] - w[5]) < 1e-6 for g, w in zip(got, want))
+
+
+def taken_by_hand(rows, block_words, weights=mixing.WEIGHTS, repeats=mixing.MAX_REPEATS):
+    """Words that a walk over the schedule, slot by slot, takes from each (key, size) of every source."""
+    order = sorted({s for _, _, s, _ in rows if s is not None}) + ([None] if any(s is None for _, _, s, _ in rows) else [])
+    held = [sorted((m, k, n) for k, n, s, m in rows if s == name) for name in order]
+    sizes = [sum(n for _, _, n in h) for h in held]
+    goals = [round(t) for t in mixing.targets(sizes, weights, repeats)]
+    taken = {}
+    for h, size, goal in zip(held, sizes, goals):
+        words = [i for i, (_, _, n) in enumerate(h) for _ in range(n)]
+        blocks, got, turn = [words[i:i + block_words] for i in range(0, len(words), block_words)], 0, 0
+        while got < goal:
+            cut = blocks[turn % len(blocks)][:goal - got]
+            for i in cut:
+                taken[h[i][1]] = taken.get(h[i][1], 0) + 1
+            got, turn = got + len(cut), turn + 1
+    return taken
+
+
+def test_mix_equals_a_walk_over_the_schedule(spark):
+    rows = [(i, "w " * (i * 7 % 40), ["big", "mid", None][i % 3] if i % 11 else "tiny") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = {r.doc_id: r.m for r in df.select("doc_id", F.xxhash64(F.lit(0), "doc_id", mixing.word_count("text")).alias("m")).collect()}
+    for block_words in (7, 100):
+        got = {r.doc_id: r.taken for r in mixing.mix(df.repartition(4), block_words=block_words).collect() if r.taken}
+        assert got == taken_by_hand([(k, len(t.split()), s, hashed[k]) for k, t, s in rows], block_words)
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([], (1.0,)) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
     got = mixing.targets([10, 1000, 1000])
@@ -103,3 +187,17 @@ def test_schedule_ranks_follow_the_points(spark):
 def test_repeated_rows_keep_columns(spark, odd_rows):
     got = mixing.repeat_rows(odd_rows)
     assert got.columns == odd_rows.columns and got.filter("text is null or trim(text) = ''").count() == 0
+
+
+def test_rows_that_repeat_a_key_are_taken_each_for_itself(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e f", "s"), (1, "d e", "s"), (None, "x y", "t"), (None, "z w", "t"),
+            (2, "one two three four", "t"), (3, None, "s"), (4, "k", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df, block_words=2).filter("size > 0").collect()
+    want = sum(round(r.taken / r.size) for r in taken)
+    got = mixing.repeat_rows(df, block_words=2).collect()
+    assert len(got) == want and set(map(tuple, got)) <= set(rows)
+    of = lambda rs, k: sum(r.doc_id == k for r in rs)
+    for k in (1, 2, 4, None):
+        assert of(got, k) == sum(round(r.taken / r.size) for r in taken if r.doc_id == k)
+    assert mixing.repeat_rows(df.limit(0)).isEmpty()
