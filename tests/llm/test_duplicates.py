@@ -204,3 +204,12 @@ def test_rows_that_repeat_key_and_text_are_one(spark):
     got = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(df).collect()), key=str)
     assert len(got) == 4 and {(k, " ".join((t or "").split())) for k, t in got} == {(1, "a b"), (1, "c"), (None, "n"), (3, "")}
     assert exact_dedup.drop_copies(df).columns == df.columns
+
+
+def test_near_vectors_of_null_and_repeated_keys(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.99, 0.05]), (7, [2.0, 0.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (8, [0.0, 3.0]), (None, None), (9, [-1.0, 0.0]),
+            (None, [-1.0, -1.0])]
+    got = sorted(map(tuple, vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    want = [(5, 3, 5, True), (5, 3, 5, True), (7, 3, 5, False), (None, 3, 5, False), (None, 1, 8, False), (8, 1, 8, True),
+            (None, 0, None, True), (9, 0, 9, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)

@@ -201,3 +201,14 @@ def test_rows_that_repeat_a_key_are_taken_each_for_itself(spark):
     for k in (1, 2, 4, None):
         assert of(got, k) == sum(round(r.taken / r.size) for r in taken if r.doc_id == k)
     assert mixing.repeat_rows(df.limit(0)).isEmpty()
+
+
+def test_mix_of_odd_rows_equals_a_walk(spark, odd_rows):
+    rows = [(i, r.text, r.source) for i, r in enumerate(odd_rows.collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = {r.doc_id: (r.n, r.m) for r in df.select("doc_id", mixing.word_count("text").alias("n"), F.xxhash64(
+        F.lit(0), "doc_id", mixing.word_count("text")).alias("m")).collect()}
+    want = taken_by_hand([(k, hashed[k][0], s, hashed[k][1]) for k, _, s in rows], 500)
+    got = mixing.mix(df, block_words=500).collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == want and len(got) == len(rows)
+    assert {r.doc_id: r.size for r in got} == {k: n for k, (n, _) in hashed.items()}

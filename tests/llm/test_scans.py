@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from hypothesis import given, settings
@@ -117,6 +118,29 @@ def test_linking_equals_brute_force(spark, odd_rows, no_rows):
     assert secret_scan.find_secrets(no_rows).count() == 0
 
 
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_digests_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for query, brute, kinds in ((queries.op1_pii, by_contract_pii, pii.BASE), (queries.op9_secrets, by_contract_secrets, secret_scan.BASE)):
+        rows = query(spark, folder).collect()
+        assert len(rows) == len(texts)
+        for r in rows:
+            want = brute(texts[r.doc_id])
+            assert r.base_sha256 == digest(want)
+            assert [r[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in want) for k in kinds]
+            assert set(f"{k}:{a}:{b}" for k, a, b in want) <= set(r.spans.split(",")) | {""}
+
+
+def test_secrets_of_odd_rows(odd_rows):
+    got = secret_scan.find_secrets(odd_rows).collect()
+    want = [(r.doc_id, by_contract_secrets(r.text or ""), near_by_brute_force(r.text or "", secret_scan.WINDOW)) for r in odd_rows.collect()]
+    assert sorted(((r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_queries_name_their_columns(spark):
     folder = "/root/testdata/sf0.001"
     assert queries.op1_pii(spark, folder).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
