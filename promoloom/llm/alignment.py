@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ from .segmenttree import byte_characters
 from .text import per_slice, whole_text
 from .token_counts import pack, unpack
 
+# Fixed value: how byte-level vocabularies of this family split text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pairs of a text, summed over the texts that share a list.
 BLOCK_PAIRS = 2_000_000
 #: Bytes of text that are aligned at once.
@@ -65,6 +69,33 @@ class Side:
         self.written = np.array([f"{i}{mark}" for mark in (within, behind) for i in range(len(pieces))], "S")
 
 
+def _is_latin(text: str) -> bool:
+    """All characters below U+0100, whose classes no version of Unicode has changed."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _quick_encoding(path: str) -> tiktoken.Encoding | None:
+    """The vocabulary for a second, faster encoder of the same splitting rule; None if its ids are not its merges' order.
+
+    The two may class characters differently that are new to Unicode; below U+0100 they can't.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    special = {t["content"] for t in spec["added_tokens"]}
+    byte = {c: b for b, c in enumerate(byte_characters())}
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+    plain = {t: i for t, i in vocab.items() if t not in special}
+    if made != list(range(256, 256 + len(made))) or len(plain) != 256 + len(made) or any(c not in byte for t in plain for c in t):
+        return None
+    ranks = {bytes(byte[c] for c in t): i for t, i in plain.items()}
+    return tiktoken.Encoding("alignment", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
 class Tokenizers:
     """Byte-level BPE of space and text, and sentence pieces of the text."""
 
@@ -74,6 +105,7 @@ class Tokenizers:
         self.first.encode_special_tokens = True  # their strings in a text are plain text
         self.first.no_truncation()
         self.first.no_padding()
+        self.quick = _quick_encoding(path_a)
         self.second = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {c: b for b, c in enumerate(byte_characters())}
         known = {i: t for t, i in self.first.get_vocab(with_added_tokens=True).items()}
@@ -85,15 +117,20 @@ class Tokenizers:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none where the bytes of either differ from space and text."""
-        a = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self._first_ids([" " + t for t in texts])
         b = self.second.encode(texts, num_threads=1)
         piece_a, piece_b = self.a.pieces.__getitem__, self.b.pieces.__getitem__
         for i, t in enumerate(texts):
             want = b" " + t.encode("utf-8", "surrogatepass")
-            if not t or b"".join(map(piece_a, a[i])) != want or b"".join(map(piece_b, b[i])) != want:
+            if not t or b"".join(map(piece_b, b[i])) != want or b"".join(map(piece_a, a[i])) != want:
                 a[i], b[i] = [], []
         return a, b
 
+    def _first_ids(self, texts: list[str]) -> list[list[int]]:
+        quick = [self.quick is not None and _is_latin(t) for t in texts]
+        rest = iter(self.first.encode_batch_fast([t for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [self.quick.encode_ordinary(t) if q else next(rest).ids for t, q in zip(texts, quick)]
+
 
 @lru_cache(maxsize=1)
 def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -169,7 +206,7 @@ LIST_ROW = 10_000
 
 def _blocks(path_a: str, path_b: str, digests: bool, block_pairs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     both = _tokenizers(path_a, path_b)
-    numbers = itertools.count(TaskContext.get().partitionId() << NUMBER_BITS)
+    numbers, part_no = itertools.count(), TaskContext.get().partitionId()
     held: list[tuple[pa.Array, Aligned, list[str], np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -188,9 +225,10 @@ def _blocks(path_a: str, path_b: str, digests: bool, block_pairs: int, batches:
             held.append((part.column("doc_key"), facts, doc, codes, links))
             size += len(codes)
         if held and (part is None or size >= block_pairs):
-            block = next(numbers)
-            if block + 1 & (1 << NUMBER_BITS) - 1 == 0:
-                raise ValueError("a partition has too many blocks of texts; deal the input out to more partitions")
+            n = next(numbers)
+            if n >> NUMBER_BITS:
+                raise ValueError(f"more than {1 << NUMBER_BITS} blocks of texts in a partition; deal the input out to more partitions")
+            block = part_no << NUMBER_BITS | n
             codes, slots, docs = np.unique(np.concatenate([h[3] for h in held]), return_inverse=True, return_counts=True)
             at = 0
             for keys, facts, doc, own, links in held:
