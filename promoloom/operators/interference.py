@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS, NO_GROUP
 from ..functions.stats import Z_975
-from ..storage import bounded, settle
+from ..storage import bounded, forget, settle
 from .causal import design, effect
 from .features import add_season, log_quantity
 from .nuisance import Nuisance
@@ -164,16 +164,18 @@ def _second_effects(cells: DataFrame, tolerance: float, max_steps: int) -> DataF
     state, rz = _written(start.select("fe2", "d", *[F.lit(0.0).alias(f"x{k}") for k in ks], *[f"r{k}" for k in ks],
                                       *[(F.col(f"r{k}") / F.col("d")).alias(f"p{k}") for k in ks]),
                          **{f"rz{k}": over_d(f"r{k}", f"r{k}") for k in ks})
-    rz = [rz[f"rz{k}"] for k in ks]
+    held, rz = state, [rz[f"rz{k}"] for k in ks]
     stop = [tolerance * max(v, 1e-300) for v in rz]
     for _ in range(max_steps):
         if all(v <= s for v, s in zip(rz, stop)):
             break
         met = cells.select("sku", "fe2", "n").join(state.select("fe2", *[f"p{k}" for k in ks]), "fe2")
         ap = centred(met, [F.col("n") * F.col(f"p{k}") for k in ks], "a").drop("d")
-        state, dots = _written(state.join(ap, "fe2"), **{
+        last, (state, dots) = held, _written(state.join(ap, "fe2"), **{
             name: c for k in ks for name, c in ((f"pa{k}", F.col(f"p{k}") * F.col(f"a{k}")), (f"rr{k}", over_d(f"r{k}", f"r{k}")),
                                                 (f"ra{k}", over_d(f"r{k}", f"a{k}")), (f"aa{k}", over_d(f"a{k}", f"a{k}")))})
+        forget(last)
+        held = state
         # A solved right-hand side stands still.
         alpha = [rz[k] / dots[f"pa{k}"] if rz[k] > stop[k] and dots[f"pa{k}"] else 0.0 for k in ks]
         new = [max(dots[f"rr{k}"] - 2 * alpha[k] * dots[f"ra{k}"] + alpha[k] ** 2 * dots[f"aa{k}"], 0.0) if alpha[k] else rz[k] for k in ks]
@@ -185,4 +187,6 @@ def _second_effects(cells: DataFrame, tolerance: float, max_steps: int) -> DataF
         rz = new
     if any(v > s for v, s in zip(rz, stop)):
         raise RuntimeError(f"fixed effects: no convergence in {max_steps} steps, squared residuals {rz} above {stop}; raise max_steps")
-    return settle(state.select("fe2", *[f"x{k}" for k in ks]))
+    out = settle(state.select("fe2", *[f"x{k}" for k in ks]))
+    forget(held)
+    return out
