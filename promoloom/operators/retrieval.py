@@ -344,13 +344,20 @@ def rescored_pool(queries: DataFrame, docs: DataFrame, pool: int = DEFAULTS.pool
     return joined.select("qid", "doc_id", scorer(F.col("q"), F.col("d")).alias("score"))
 
 
+def _floor(queries: DataFrame, best: DataFrame) -> DataFrame:
+    """``qid``, ``low``: the score of documents outside the pool, one below its lowest.
+
+    A query without a vector has no pool: its list is the catalog's order.
+    """
+    floor = best.groupBy("qid").agg((F.min("score") - F.lit(1.0)).alias("low"))
+    return queries.select("qid").join(floor, "qid", "left").fillna(0.0, ["low"])
+
+
 def rerank_all(queries: DataFrame, docs: DataFrame, pool: int = DEFAULTS.pool,
                scorer: Scorer = text_score, method: str = "rerank") -> DataFrame:
     """The rescored pool, then every other document one below the pool's lowest score."""
     best = settle(rescored_pool(queries, docs, pool, scorer))
-    floor = best.groupBy("qid").agg((F.min("score") - F.lit(1.0)).alias("low"))
-    # A query without a vector has no pool: its list is the catalog's order.
-    floor = queries.select("qid").join(floor, "qid", "left").fillna(0.0, ["low"])
+    floor = _floor(queries, best)
     everything = every_pair(floor, docs.select("doc_id")).select("q.qid", "doc_id", "q.low")
     scored = (everything.join(bounded(best.select("qid", "doc_id", "score")), ["qid", "doc_id"], "left")
               .select("qid", "doc_id", F.coalesce("score", "low").alias("score")))
@@ -361,9 +368,10 @@ def rerank_top(queries: DataFrame, docs: DataFrame, k: int = DEFAULTS.k, pool: i
                scorer: Scorer = text_score, method: str = "rerank") -> DataFrame:
     """First ``k`` of the reranked list; the tail in document order fills it when k > pool."""
     best = settle(rescored_pool(queries, docs, pool, scorer))
-    if k <= pool:
-        return _top(best, method, k)
-    return rerank_all(queries, docs, pool, scorer, method).filter(F.col("rank") <= k)
+    # The tail that can be among the first ``k`` is in the first ``k`` of the catalog.
+    low = every_pair(_floor(queries, best), docs.select("doc_id").orderBy("doc_id").limit(k))
+    both = best.unionByName(low.select("q.qid", "doc_id", F.col("q.low").alias("score")))
+    return _top(both.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), method, k)
 
 
 def find_products(queries: DataFrame, docs: DataFrame, threshold: float | None = None,
