@@ -23,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import settle
+from ..operators.numbering import global_rank, running_total
+from ..storage import bounded, settle
 from .text import fresh, whole_text
 
 # Weights of the sources in order, repeating, and the most times a source may be read.
@@ -31,6 +32,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 #: Words of a block.
 BLOCK_WORDS = 1_000
+#: Sources that are settled on the driver; more stay a table.
+FEW_SOURCES = 10_000
 #: Rows of a chunk that one task sums up.
 CHUNK_ROWS = 4_000
 _GOLDEN = (5 ** 0.5 - 1) / 2
@@ -64,18 +67,35 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, repeats: flo
     return out
 
 
-def source_plan(sized: DataFrame, weights: tuple[float, ...], repeats: float) -> list[tuple]:
-    """(source, number, size, target) of every source, by code point, null last.
+def source_plan(sums: DataFrame, weights: tuple[float, ...], repeats: float) -> DataFrame:
+    """``source``, ``source_no``, ``source_size`` and ``target`` of every source, by code point, null last.
 
-    One row a source reaches the driver: their number is the number of weights.
+    ``sums`` has the size ``n`` of each ``source``.  Few sources are settled on the driver; beyond ``FEW_SOURCES`` they stay
+    a table, of which each round of sharing the excess needs two sums.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
-    sizes = [int(r.n or 0) for r in rows]
-    return [(r.source, i, n, t) for i, (r, n, t) in enumerate(zip(rows, sizes, targets(sizes, weights, repeats)))]
-
-
-_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.IntegerType()),
+    rows = sums.limit(FEW_SOURCES + 1).collect()
+    if len(rows) <= FEW_SOURCES:
+        rows.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))
+        sizes = [int(r.n or 0) for r in rows]
+        plan = [(r.source, i, n, t) for i, (r, n, t) in enumerate(zip(rows, sizes, targets(sizes, weights, repeats)))]
+        return F.broadcast(sums.sparkSession.createDataFrame(plan, _PLAN))
+    known = global_rank(sums, [F.col("source").isNull(), F.col("source")], name="source_no")
+    number = F.col("source_no") - 1
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), (number % len(weights)).cast("int"))
+    known = settle(known.select("source", number.alias("source_no"), F.coalesce("n", F.lit(0)).cast("long").alias("source_size"),
+                                weight.alias("weight")))
+    most = F.col("source_size") * float(repeats)
+    live = known.filter("source_size > 0")
+    total, share, before = live.agg(F.sum("source_size")).first()[0] or 0, 0.0, None
+    # The share only grows, so a source that is full at one share is full at the next.
+    while share != before:
+        before, full = share, F.col("weight") * F.lit(share) > most
+        r = live.agg(F.sum(F.when(full, most)).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        share = (total - (r.held or 0.0)) / r.free if r.free else before
+    return settle(known.select("source", "source_no", "source_size", F.least(F.col("weight") * F.lit(float(share)), most).alias("target")))
+
+
+_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_no", T.LongType()),
                       T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
 
 
@@ -98,8 +118,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sized = df.select(F.col(f"`{key}`").alias("row_key"), F.col(f"`{source}`").cast("string").alias("source"),
                       word_count(text).alias("size"))
     sized = settle(sized.withColumn("mixed", F.xxhash64(F.lit(seed), "row_key", "size")))
-    plan = source_plan(sized, weights, repeats)
-    sources = F.broadcast(spark.createDataFrame(plan, _PLAN))
+    sources = source_plan(settle(sized.groupBy("source").agg(F.sum("size").alias("n"))), weights, repeats)
     rows = sized.withColumnRenamed("source", "named").join(sources, F.col("named").eqNullSafe(F.col("source"))).drop("source")
 
     # Where each text lies in its source, in words.
@@ -115,8 +134,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     # How often each block is taken.
     blocks = F.ceil(F.col("source_size") / block_words)
     # Each pass over a source ends in a short block.
-    needs = {no: -(-round(t) // block_words) + repeats + 1 if t else 0 for _, no, _, t in plan}
-    slots = schedule(spark, sources, needs)
+    need = F.ceil(F.round("target") / block_words).cast("long") + repeats + 1
+    slots = schedule(spark, sources, sources.filter("target > 0").select("source_no", need.alias("need")))
     turn = F.floor(F.col("rank") / blocks)
     used = (slots.withColumn("block", F.pmod("rank", blocks)).withColumn("start", turn * F.col("source_size") + F.col("block") * block_words)
             .withColumn("limit", F.round("target").cast("long"))
@@ -146,26 +165,29 @@ def _offsets(held: DataFrame) -> DataFrame:
     return held.withColumn("skip", F.coalesce(F.sum("held").over(earlier), F.lit(0))).drop("held")
 
 
-def schedule(spark, sources: DataFrame, needs: dict[int, int]) -> DataFrame:
+def schedule(spark, sources: DataFrame, needs: DataFrame) -> DataFrame:
     """Slots (``id``) with their source and their rank among its slots, from 0.
 
-    ``needs`` has the slots that each source must get.  A source's share of the
+    ``needs`` has the slots (``need``) that each source (``source_no``) must get.  A source's share of the
     points is what it needs and a margin over the discrepancy of golden-ratio
     points, which in an interval is below ``3 + ln n`` points.
     """
-    wanted = {k: v for k, v in needs.items() if v > 0}
-    total = sum(wanted.values())
-    margin = int(6 + 2 * math.log(total + 2)) + len(wanted).bit_length()
-    n = total + margin * len(wanted)
-    cells, edges, low = max(16, 4 * len(wanted)), [], 0
-    for no, need in sorted(wanted.items()):
-        high = low + need + margin
-        edges += [(c, no, low / n, 2.0 if high == n else high / n)
-                  for c in range(cells * low // n, min(cells - 1, cells * high // n) + 1)]
-        low = high
-    table = F.broadcast(spark.createDataFrame(edges, "cell int, source_no int, low double, high double"))
+    needs = needs.filter("need > 0")
+    whole = needs.agg(F.count(F.lit(1)).alias("sources"), F.sum("need").alias("need")).first()
+    total, count = whole.need or 0, whole.sources
+    margin = int(6 + 2 * math.log(total + 2)) + count.bit_length()
+    n = total + margin * count
+    cells = max(16, 4 * count)
+    width = needs.select("source_no", (F.col("need") + margin).cast("long").alias("width"))
+    ends = (running_total(width, [F.asc("source_no")], [], "width", "high") if count > FEW_SOURCES
+            else width.withColumn("high", F.sum("width").over(W.orderBy("source_no").rowsBetween(W.unboundedPreceding, 0))))
+    at = lambda edge: F.floor(edge.cast("decimal(38,0)") * cells / F.lit(max(n, 1)).cast("decimal(20,0)")).cast("long")
+    low, high = F.col("high") - F.col("width"), F.col("high")
+    table = ends.select(F.explode(F.sequence(at(low), F.least(F.lit(cells - 1).cast("long"), at(high)))).alias("cell"), "source_no",
+                        (low / n).alias("low"), F.when(high == n, 2.0).otherwise(high / n).alias("high"))
+    table = bounded(table, 6 * FEW_SOURCES)
     slots = spark.range(n).withColumn("point", (F.col("id") * F.lit(_GOLDEN)) % 1.0)
-    slots = (slots.withColumn("cell", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)).cast("int"))
+    slots = (slots.withColumn("cell", F.least(F.floor(F.col("point") * cells), F.lit(cells - 1)).cast("long"))
              .join(table, "cell").filter("point >= low and point < high")
              .select("id", "source_no", F.floor(F.col("id") / CHUNK_ROWS).alias("chunk")))
     before = _offsets(slots.groupBy("source_no", "chunk").agg(F.count(F.lit(1)).alias("held")))

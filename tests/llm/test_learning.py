@@ -179,7 +179,8 @@ def test_mix_takes_targets_exactly(spark, odd_rows, no_rows):
 def test_schedule_ranks_follow_the_points(spark):
     needs = {0: 500, 1: 3, 2: 40, 3: 0}
     sources = spark.createDataFrame([(i, 10, 1.0) for i in range(4)], "source_no int, source_size long, target double")
-    got = mixing.schedule(spark, sources, needs).groupBy("source_no").agg(F.count("*").alias("n"), F.max("rank").alias("high"), F.countDistinct("rank").alias("d"))
+    wanted = spark.createDataFrame(list(needs.items()), "source_no long, need long")
+    got = mixing.schedule(spark, sources, wanted).groupBy("source_no").agg(F.count("*").alias("n"), F.max("rank").alias("high"), F.countDistinct("rank").alias("d"))
     got = {r.source_no: r for r in got.collect()}
     assert set(got) == {0, 1, 2} and all(r.n >= needs[k] and r.high + 1 == r.n == r.d for k, r in got.items())
 
@@ -212,3 +213,14 @@ def test_mix_of_odd_rows_equals_a_walk(spark, odd_rows):
     got = mixing.mix(df, block_words=500).collect()
     assert {r.doc_id: r.taken for r in got if r.taken} == want and len(got) == len(rows)
     assert {r.doc_id: r.size for r in got} == {k: n for k, (n, _) in hashed.items()}
+
+
+def test_many_sources_stay_a_table(spark, monkeypatch):
+    rows = [(i, "w " * (i % 23), f"host{i * 7 % 41}" if i % 5 else None) for i in range(400)] + [(900, "x " * 3000, "big"), (901, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = sorted(map(tuple, mixing.mix(df, block_words=20).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    many = sorted(map(tuple, mixing.mix(df, block_words=20).collect()))
+    assert [(a[0], a[1], a[2], a[4]) for a in few] == [(b[0], b[1], b[2], b[4]) for b in many]
+    assert all(math.isclose(a[3], b[3], rel_tol=1e-12) for a, b in zip(few, many))
+    assert mixing.mix(df.limit(0)).isEmpty()
