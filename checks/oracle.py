@@ -573,6 +573,10 @@ SQL: dict[str, str] = {
     "gold_queries": f"""WITH {LINES}, {CATALOG}, gset AS (SELECT DISTINCT grp AS qid, CAST(substr(grp, 2) AS BIGINT) AS g FROM catalog)
         SELECT qid, lower({pick(HEADS, 'g')} || ' ' || {pick(STYLES, 'g')}) AS text FROM gset WHERE g % 2 = 0""",
     "name_vectors": f"""WITH {LINES}, {CATALOG}, {NAME_TERMS} SELECT sku, term, {r('weight')} AS weight FROM terms""",
+    "component_lengths": f"""WITH {LINES}, {CATALOG}, {NAME_TERMS.replace('% 512', '% 128')},
+        mean AS (SELECT term, sum(weight) / (SELECT count(DISTINCT sku) FROM terms) AS m FROM terms GROUP BY term),
+        whole AS (SELECT sum(m * m) AS mm FROM mean)
+        SELECT sku, {r('sum(weight * weight) - 2 * sum(weight * m) + max(mm)')} AS length2 FROM terms JOIN mean USING (term), whole GROUP BY sku""",
     "panel_with_components": f"""{BASE}, {CATALOG}, {NAME_TERMS},
         parts AS (SELECT sku, {', '.join(f"sum(weight * CASE WHEN CAST('0x' || substr(md5(term || '#{i}#42'), 1, 1) AS INTEGER) % 2 = 0 THEN 1e0 ELSE -1e0 END) / sqrt(4e0) AS emb_{i}" for i in range(4))} FROM terms GROUP BY sku)
         SELECT p.sku, client, strftime(month, '%Y-%m-%d') AS month, p.qty, {', '.join(f"{r(f'coalesce(emb_{i}, 0e0)')} AS emb_{i}" for i in range(4))}

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (IDF, PCA, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StandardScaler)
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,6 +108,22 @@ def name_components(catalog: DataFrame, dims: int = DEFAULTS.embedding_dims, n:
     return out.select("sku", *[F.col("_a")[i].alias(f"emb_{i}") for i in range(dims)])
 
 
+def term_components(terms: DataFrame, key: str, dims: int = DEFAULTS.embedding_dims, features: int = 512) -> DataFrame:
+    """``key``, ``emb_0`` .. : principal components of the sparse vectors of ``name_terms``.
+
+    A name has at most ``features`` terms; the covariance is ``features`` x ``features`` whatever the number of names.
+    """
+    held = terms.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("m"))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(features - 1).cast("bigint"))
+    dense = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    vectors = settle(held.select(key, array_to_vector(dense).alias("vector")))
+    dims = min(dims, features, vectors.count())
+    scaled = StandardScaler(withMean=True, withStd=False, inputCol="vector", outputCol="_c")
+    parts = Pipeline(stages=[scaled, PCA(k=dims, inputCol="_c", outputCol="_pc")]).fit(vectors)
+    out = parts.transform(vectors).withColumn("_a", vector_to_array("_pc"))
+    return out.select(key, *[F.col("_a")[i].alias(f"emb_{i}") for i in range(dims)])
+
+
 def attach_components(features: DataFrame, components: DataFrame) -> DataFrame:
     """Left join on sku; a product without a vector gets zeros."""
     names = [c for c in components.columns if c.startswith("emb_")]

@@ -14,7 +14,7 @@ from ..functions import clean
 from ..functions.text import (name_attributes, name_tokens, product_head, with_pack_weight,
                               word_roots)
 from ..operators import causal, goldranks, interference, planning, pricing, rankeval, resample, retrieval, vectorindex
-from ..operators.embedding import attach_components, name_components, name_terms, projected
+from ..operators.embedding import attach_components, name_components, name_terms, projected, term_components
 from ..operators.features import CONTROLS, add_features
 from ..operators.increments import PanelStore
 from ..operators.nuisance import Nuisance
@@ -212,6 +212,13 @@ def name_vectors(spark: SparkSession, d: str) -> DataFrame:
     return tidy(name_terms(settle(_catalog(spark, d)), "sku"))
 
 
+def component_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Squared length of every name under all its principal components, whatever their signs: its distance from the mean name."""
+    parts = term_components(name_terms(settle(_catalog(spark, d)), "sku", features=128), "sku", 128, 128)
+    squares = [F.col(c) * F.col(c) for c in parts.columns if c != "sku"]
+    return tidy(parts.select("sku", sum(squares[1:], squares[0]).alias("length2")))
+
+
 def panel_with_components(spark: SparkSession, d: str) -> DataFrame:
     """Every panel row with four numbers from its product's name."""
     parts = settle(projected(name_terms(settle(_catalog(spark, d)), "sku"), "sku", 4))
@@ -436,6 +443,7 @@ QUERIES: dict[str, Query] = {
     "supported_categories": supported_categories,
     "gold_queries": gold_queries,
     "name_vectors": name_vectors,
+    "component_lengths": component_lengths,
     "panel_with_components": panel_with_components,
     "price_sink": price_sink,
     "plan_sink": plan_sink,

@@ -131,3 +131,17 @@ def test_rows_with_a_missing_value_count_nowhere(spark):
     df = spark.createDataFrame([("A", 1.0, 2.0), ("A", None, 5.0), ("A", float("nan"), 5.0), (None, 3.0, 4.0)], "k string, a double, b double")
     got = {r.k: r["_m"] for r in nuisance._batch_moments(df, ["k"], [F.col("a"), F.col("b")], [(0, 0), (0, 1)]).collect()}
     assert got == {"A": [1.0, 1.0, 2.0, 1.0, 2.0], None: [1.0, 3.0, 4.0, 9.0, 12.0]}
+
+
+def test_components_of_terms_keep_distances(spark):
+    df = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(["сельдь копченая", "сельдь филе", "икра красная", "форель филе", "кета"])],
+                               "sku string, name string")
+    terms = embedding.name_terms(df, "sku", features=32)
+    x = np.zeros((5, 32))
+    for r in terms.collect():
+        x[int(r.sku[1]), r.term] = r.weight
+    parts = sorted(embedding.term_components(terms, "sku", 32, 32).collect())
+    z = np.array([r[1:] for r in parts], float)
+    gap = lambda m: ((m[:, None] - m[None]) ** 2).sum(-1)
+    assert z.shape == (5, 5) and np.allclose(gap(z), gap(x), atol=1e-9)
+    assert np.all(np.diff(z.var(0)) <= 1e-12)
