@@ -107,6 +107,40 @@ def roots(head: str, style: str) -> str:
     return f"list_sort(list_distinct(list_concat([{first}], {lists})))"
 
 
+# Names that reach every rule: word, product; colour word, colour; abbreviation, processing, packaging, tokens.
+ODD_HEADS = [("Имбирь", "имбирь"), ("Анчоус", "анчоус"), ("Хамса", "анчоус"), ("Килька", "килька"), ("Икра", "икра"),
+             ("Капуста", "морская капуста"), ("Скумбрия", "скумбрия"), ("Сельдь", "сельдь"), ("Сёмга", "семга"), ("Форель", "форель"),
+             ("Горбуша", "горбуша"), ("Салака", "салака"), ("Мойва", "мойва"), ("Ставрида", "ставрида"), ("Креветка", "креветка"),
+             ("Паштет", "паштет"), ("Спред", "спред"), ("Пресервы", "пресервы"), ("Морепродукты", "морепродукты"), ("Масло", "масло"),
+             ("Мидии", "мидии"), ("Кальмар", "кальмар"), ("Осьминог", "осьминог"), ("Тунец", "тунец"), ("Лосось", "лосось"),
+             ("Кета", "кета"), ("Сардина", "сардина"), ("Масляная", "масляная рыба"), ("Треска", "треска"), ("Минтай", "минтай"),
+             ("Краб", "краб"), ("Путассу", "путассу"), ("Сайра", "сайра"), ("Салат", "салат"), ("Ассорти", None)]
+ODD_COLOURS = [("красная", "красный"), ("чёрная", "черный"), ("розовая", "розовый"), ("белая", "белый"), ("", None)]
+ODD_SHORT = [("с/с", "слабосоленый", None, ["слабосоленый"]), ("п/п", "пряного посола", None, ["пряного", "посола"]),
+             ("пр/посола", "пряного посола", None, ["пряного", "посола"]), ("пр/п", None, None, ["пряного", "посола"]),
+             ("в/у", None, "вакуум", ["вакуумная", "упаковка"]), ("в/м", None, None, ["масле"]),
+             ("г/к", "копченый", None, ["горячего", "копчения"]), ("х/к", "копченый", None, ["холодного", "копчения"]), ("", None, None, [])]
+
+
+def odd_names() -> str:
+    head, colour, short = (lambda k: pick([x[k] for x in ODD_HEADS], "i")), (lambda k: pick([x[k] for x in ODD_COLOURS], "i // 3")), \
+        (lambda k: pick([x[k] for x in ODD_SHORT], "i // 7"))
+    tokens = "CASE CAST((i // 7) % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN {lit(x[3])}" for k, x in enumerate(ODD_SHORT)) + " END"
+    plain = lambda x: f"replace(lower({x}), 'ё', 'е')"
+    return f"""WITH n AS (SELECT DISTINCT p_partkey AS i, 10 * (1 + p_partkey % 900) AS g, (p_partkey // 2) % 8 AS s FROM part),
+        k AS (SELECT *, CAST(g // 1000 AS VARCHAR) || '.' || lpad(CAST(g % 1000 AS VARCHAR), 3, '0') AS kilos FROM n),
+        w AS (SELECT *, CASE s WHEN 0 THEN replace(kilos, '.', ',') || ' кг' WHEN 1 THEN kilos WHEN 2 THEN g || ' г' WHEN 3 THEN CAST(g AS VARCHAR)
+            WHEN 4 THEN 'весовая' WHEN 5 THEN 'вес' WHEN 6 THEN '1/2 ' || g || 'гр' ELSE '' END AS weight FROM k)
+        SELECT DISTINCT array_to_string(list_filter([{head(0)}, {colour(0)}, {short(0)}, weight], lambda x: x <> ''), ' ') AS name,
+            CASE WHEN s = 0 THEN 'кг' WHEN s = 1 AND g BETWEEN 20 AND 5000 THEN 'голое-кг' WHEN s IN (2, 6) THEN 'г'
+                 WHEN s = 3 AND g BETWEEN 50 AND 2000 THEN 'голое-г' WHEN s IN (4, 5) THEN 'весовой' ELSE 'нет' END AS weight_method,
+            CASE WHEN s IN (0, 2, 6) OR s = 1 AND g BETWEEN 20 AND 5000 OR s = 3 AND g BETWEEN 50 AND 2000 THEN CAST(g AS DOUBLE) END AS weight_g,
+            {head(1)} AS product, {short(1)} AS processing, CAST(NULL AS VARCHAR) AS form, {short(2)} AS packaging, {colour(1)} AS colour,
+            array_to_string(list_sort(list_distinct(list_filter(list_concat([{plain(head(0))}, {plain(colour(0))}], {tokens},
+                CASE s WHEN 4 THEN ['весовая'] WHEN 5 THEN ['вес'] ELSE []::VARCHAR[] END), lambda x: x <> ''))), ' ') AS tokens
+        FROM w"""
+
+
 LINES = """lines AS (
   SELECT l_partkey // 20 AS i, 'S' || CAST(l_partkey // 20 AS VARCHAR) AS sku, c_mktsegment AS client,
          CAST(l_shipdate AS DATE) AS date, l_quantity AS qty, l_returnflag AS type,
@@ -584,6 +618,7 @@ SQL: dict[str, str] = {
     "name_features": f"""SELECT DISTINCT {name('p_partkey')} AS name, {weight_method('p_partkey')} AS weight_method, {r(weight_g('p_partkey'))} AS weight_g,
         {attrs('p_partkey', 'p_partkey')}, CAST(NULL AS VARCHAR) AS colour, array_to_string({tokens('p_partkey')}, ' ') AS tokens,
         array_to_string({roots('p_partkey', 'p_partkey')}, ' ') AS roots FROM part""",
+    "odd_names": odd_names(),
     "price_per_kg": f"WITH {PRICED} SELECT product, {r('entry_kg')} AS entry_kg, {r('shelf_kg')} AS shelf_kg FROM pl WHERE entry_kg BETWEEN 2000 AND 15000 AND shelf_kg BETWEEN 2000 AND 15000",
     "price_by_product": f"WITH {PRICED} SELECT product, {r('entry_kg')} AS entry_kg, {r('shelf_kg')} AS shelf_kg, n FROM heads",
     "overall_prices": f"WITH {PRICED} SELECT {r('e')} AS all_entry_kg, {r('s')} AS all_shelf_kg FROM overall",

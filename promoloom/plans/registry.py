@@ -289,6 +289,15 @@ def fuzzy_categories(spark: SparkSession, d: str) -> DataFrame:
     return tidy(found)
 
 
+def odd_names(spark: SparkSession, d: str) -> DataFrame:
+    """Everything read from names that reach every product, colour, abbreviation and weight rule."""
+    names = wh.table(spark, d, "part").select(wh.odd_name(F.col("p_partkey")).alias("name")).distinct()
+    rows = with_pack_weight(names).withColumn("a", name_attributes(F.col("name")))
+    return tidy(rows.select("name", "weight_method", "weight_g", *[F.col(f"a.{f}").alias(f) for f in
+                                                                   ("product", "processing", "form", "packaging", "colour")],
+                            F.concat_ws(" ", name_tokens(F.col("name"))).alias("tokens")))
+
+
 def _rank_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries, docs, gold = _search(spark, d)
     queries = rankeval.queries_with_gold(queries, gold)
@@ -453,6 +462,7 @@ QUERIES: dict[str, Query] = {
     "panel_features": lambda s, d: tidy(_features(s, d)),
     "catalog": lambda s, d: tidy(_catalog(s, d)),
     "name_features": name_features,
+    "odd_names": odd_names,
     "price_per_kg": lambda s, d: tidy(pricing.price_per_kg(wh.price_list(s, d), (2000.0, 15000.0))),
     "price_by_product": price_by_product,
     "overall_prices": overall_prices,

@@ -56,6 +56,26 @@ def composed_name(i: Column) -> Column:
     return F.concat_ws(" ", _pick(HEAD_WORDS, i), _pick(STYLE_WORDS, i), weight)
 
 
+# Word lists for names that reach every rule: product words, colours, and trade abbreviations.
+ODD_HEADS = ("Имбирь", "Анчоус", "Хамса", "Килька", "Икра", "Капуста", "Скумбрия", "Сельдь", "Сёмга", "Форель", "Горбуша", "Салака",
+             "Мойва", "Ставрида", "Креветка", "Паштет", "Спред", "Пресервы", "Морепродукты", "Масло", "Мидии", "Кальмар", "Осьминог",
+             "Тунец", "Лосось", "Кета", "Сардина", "Масляная", "Треска", "Минтай", "Краб", "Путассу", "Сайра", "Салат", "Ассорти")
+ODD_COLOURS = ("красная", "чёрная", "розовая", "белая", "")
+ODD_SHORT = ("с/с", "п/п", "пр/посола", "пр/п", "в/у", "в/м", "г/к", "х/к", "")
+
+
+def odd_name(i: Column) -> Column:
+    """A name of number ``i`` with any product, colour, abbreviation and way to state a weight, up to nine kilograms."""
+    grams = (F.lit(10) * (F.lit(1) + i % 900)).cast("int")
+    kilos = F.concat(F.floor(grams / 1000).cast("int"), F.lit("."), F.lpad((grams % 1000).cast("string"), 3, "0"))
+    style = F.floor(i / 2) % 8
+    weight = (F.when(style == 0, F.concat(F.replace(kilos, F.lit("."), F.lit(",")), F.lit(" кг"))).when(style == 1, kilos)
+              .when(style == 2, F.concat(grams, F.lit(" г"))).when(style == 3, grams.cast("string")).when(style == 4, F.lit("весовая"))
+              .when(style == 5, F.lit("вес")).when(style == 6, F.concat(F.lit("1/2 "), grams, F.lit("гр"))).otherwise(F.lit("")))
+    words = [_pick(ODD_HEADS, i), _pick(ODD_COLOURS, F.floor(i / 3)), _pick(ODD_SHORT, F.floor(i / 7)), weight]
+    return F.array_join(F.filter(F.array(*words), lambda w: w != ""), " ")
+
+
 def category_of(i: Column) -> Column:
     return _pick(CATEGORY_WORDS, i)
 
