@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import bounded, settle
 from .text import columns_of, map_slices, whole_text
 
 BUCKETS = 1 << 14
@@ -186,9 +186,13 @@ def identify(pages: DataFrame, texts: DataFrame, key: str = "page_id", url: str
     whole = seen.agg(*sums("g"), F.count(F.lit(1)).alias("n")).first()
     n = whole["n"] or 0
     all_pages = [((whole[f"g{i}"] or 0.0) + 1.0) / (n + size) for i in range(size)]
-    out = seen
-    for column, prefix in (("declared", "d"), ("suffix", "s"), ("domain", "m"), ("host", "h")):
-        out = out.join(seen.groupBy(column).agg(*sums(prefix)), column)
+    # A host has one domain: its sums travel with the host's, and pages are joined by host alone.
+    hosts = seen.groupBy("host", "domain").agg(*sums("h"))
+    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{i}").alias(f"m{i}") for i in range(size)])
+    out = seen.join(hosts.join(domains, "domain").drop("domain"), "host")
+    # Declarations and suffixes are mostly few; more than the limit are joined by shuffle.
+    for column, prefix in (("declared", "d"), ("suffix", "s")):
+        out = out.join(bounded(seen.groupBy(column).agg(*sums(prefix))), column)
 
     def rate(prefix: str, i: int) -> Column:
         """Likelihood of the page's declaration or suffix in a language, without the page itself, as a ratio to its share of all pages."""
