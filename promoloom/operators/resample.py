@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..columns import DEFAULTS
 from ..functions.hashing import hash60, hash_uniform, poisson1
 from ..functions.stats import Z_975, normal_two_sided_p
-from ..storage import attach, bounded, settle
+from ..storage import attach, bounded, settle, spread
 from .numbering import global_rank
 
 SUMS = ("n", "sx", "sy", "sxx", "sxy")
@@ -22,11 +22,12 @@ SUMS = ("n", "sx", "sy", "sxx", "sxy")
 def cluster_moments(df: DataFrame, x: str, y: str, cluster: str = "sku",
                     by: list[str] | None = None) -> DataFrame:
     """Sums of 1, x, y, x*x and x*y per cluster, written once."""
-    # Only rows that have both values count.
-    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    # Only rows that have both values count; a filter in front would compute costly values twice.
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
     return settle(df.groupBy(*(by or []), cluster).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy")))
+        F.count_if(both).cast("double").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"),
+        F.sum(a * F.col(x)).alias("sxx"), F.sum(a * F.col(y)).alias("sxy")).filter("n > 0"))
 
 
 def _slope(n, sx, sy, sxx, sxy):
@@ -83,9 +84,13 @@ def bootstrap_sums(moments: DataFrame, columns: list[str], reps: int, cluster: s
         raise ValueError(f"unknown scheme {scheme!r}")
     numbered = global_rank(moments.select(*by, cluster, *columns), [F.col(cluster)], by, "_at")
     size = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_g"))
-    draws = attach(numbered.select(*by, "_at"), size, by).select(*by, "_at", "_g", replicate)
+    placed = spread(attach(numbered.select(*by, "_at"), size, by), reps, *by, "_at")
+    draws = placed.select(*by, "_at", "_g", replicate)
     picked = F.pmod(hash60(F.col("rep"), F.col("_at"), F.lit(seed)), F.col("_g")) + F.lit(1)
-    drawn = draws.select(*by, "rep", picked.alias("_at")).join(bounded(numbered), [*by, "_at"])
+    draws = draws.select(*by, "rep", picked.alias("_at"))
+    clusters = bounded(numbered)
+    # Clusters beyond the bound meet their draws by shuffle; neither side is broadcast.
+    drawn = (draws.hint("merge") if clusters is numbered else draws).join(clusters, [*by, "_at"])
     return drawn.groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in columns])
 
 
