@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..columns import DEFAULTS, NO_GROUP
 from ..functions.economics import discount_economics
-from ..storage import attach, bounded, join_null_safe, settle
+from ..storage import attach, bounded, join_null_safe, settle, spread
 from .numbering import top_per_group
 from .quantiles import group_quantiles
 
@@ -137,7 +137,7 @@ def priced_plans(cand: DataFrame, slots: int = DEFAULTS.slots, kmax: int = DEFAU
     rows = profitable(cand, robust)
     top = rows.agg(F.max(F.col("obj") / F.nullif("spend", F.lit(0.0)))).first()[0] or 1.0
     grid = [0.0] + [top * 1.001 * (0.001 ** (1 - i / (prices - 1))) for i in range(prices)]
-    priced = (rows.withColumn("price", F.explode(F.array(*[F.lit(v) for v in grid])))
+    priced = (spread(rows, len(grid), "sku").withColumn("price", F.explode(F.array(*[F.lit(v) for v in grid])))
               .withColumn("worth", F.col("obj") - F.col("price") * F.col("spend")))
     order = [F.desc("worth"), F.asc("spend"), F.asc("d"), F.asc("sku")]
     each = top_per_group(priced.filter(F.col("worth") > 0), ["price", "sku"], order, 1)
@@ -148,7 +148,7 @@ def priced_plans(cand: DataFrame, slots: int = DEFAULTS.slots, kmax: int = DEFAU
 def spending_bound(cand: DataFrame, budget: float, prices: list[float],
                    robust: bool = DEFAULTS.robust) -> float:
     """No plan within the budget can be worth more than this: the least bound over the prices."""
-    each = profitable(cand, robust).withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
+    each = spread(profitable(cand, robust), len(prices), "sku").withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
     worth = F.greatest(F.col("obj") - F.col("price") * F.col("spend"), F.lit(0.0))
     best = each.groupBy("price", "sku").agg(F.max(worth).alias("w"))
     bounds = best.groupBy("price").agg((F.col("price") * F.lit(budget) + F.sum("w")).alias("bound"))
@@ -202,7 +202,7 @@ def _chosen(rows: DataFrame, prices: list[float], slots: int, kmax: int) -> Data
     depth per SKU, the best ``kmax`` per group and the best ``slots`` of those
     solve that exactly.
     """
-    priced = (rows.withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
+    priced = (spread(rows, len(prices), "sku").withColumn("price", F.explode(F.array(*[F.lit(float(p)) for p in prices])))
               .withColumn("worth", F.col("obj") - F.col("price") * F.col("spend")))
     order = [F.desc("worth"), F.asc("spend"), F.asc("d"), F.asc("sku")]
     each = top_per_group(priced.filter(F.col("worth") > 0), ["price", "sku"], order, 1)
