@@ -26,9 +26,17 @@ def text_to_date(text: Column) -> Column:
     Two-digit years are 1969 to 2068.
     """
     day = F.split_part(F.split_part(F.trim(text), F.lit(" "), F.lit(1)), F.lit("T"), F.lit(1))
-    short = F.coalesce(*[F.try_to_date(day, fmt) for fmt in SHORT_YEAR_FORMATS])
+    short = F.coalesce(*[_parsed(day, fmt) for fmt in SHORT_YEAR_FORMATS])
     short = F.when(F.year(short) > LAST_SHORT_YEAR, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(*[F.try_to_date(day, fmt) for fmt in DATE_FORMATS], short)
+    return F.coalesce(*[_parsed(day, fmt) for fmt in DATE_FORMATS], short)
+
+
+def _parsed(day: Column, fmt: str) -> Column:
+    """``day`` as a date if it has the form; a failed parse raises inside, so it is tried only where separators and year are in place."""
+    mark = f"[{fmt.strip('dMy')[0]}]"
+    years = "[0-9]{4}" if "yyyy" in fmt else "[^0-9][0-9]{2}"
+    form = f"^[+-]?{years}.*{mark}.*{mark}" if fmt.startswith("y") else f"{mark}.*{mark}.*{years}$" if "yyyy" in fmt else f"{mark}.*{mark}[0-9]{{2}}$"
+    return F.when(F.rlike(day, F.lit(form)), F.try_to_date(day, fmt))
 
 
 def _is_text(df: DataFrame, name: str) -> bool:
