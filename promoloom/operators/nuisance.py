@@ -150,8 +150,10 @@ def _linear_residuals(df: DataFrame, targets: list[str], nuisance: Nuisance, by:
         .alias(f"_i{k}") for k in range(q)])
     rows = df if only_fold is None else df.filter(F.col("fold") == only_fold)
     joined = join_null_safe(rows, bounded(table), [*keys, "fold"], "left")
+    # As arrays: a term per control makes a method that the JVM leaves uncompiled.
+    joined = joined.withColumn("_x", F.array(*value[:p]).cast("array<double>"))
     return joined.select(*df.columns, *[
-        (value[p + k] - F.col(f"_i{k}") - _weighted("_beta", k * p, value[:p])).alias(f"{t}_r")
+        (value[p + k] - F.col(f"_i{k}") - _product(F.slice("_beta", k * p + 1, p), F.col("_x"))).alias(f"{t}_r")
         for k, t in enumerate(targets)])
 
 
@@ -206,6 +208,11 @@ def _weighted(beta: str, start: int, of: list[Column]) -> Column:
                   F.lit(0.0))
 
 
+def _product(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays' elements, from the first on; null if one is missing."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
 def solve_rows(df: DataFrame, a: str, b: str, p: int, q: int) -> DataFrame:
     """Replace arrays ``a`` (p x p) and ``b`` (q x p) by least-squares ``_beta`` (q x p)."""
     kept = [f for f in df.schema.fields if f.name not in (a, b)]

@@ -52,8 +52,9 @@ def tidy(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 # --- shared inputs ----------------------------------------------------------
 
-def _panel(spark: SparkSession, d: str) -> DataFrame:
-    return build_panel(wh.sales(spark, d), wh.discounts(spark, d))
+def _panel(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    lines = settle(wh.order_lines(spark, d)) if lines is None else lines
+    return build_panel(wh.sales(spark, d, lines), wh.discounts(spark, d, lines))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +69,8 @@ def _rows(spark: SparkSession, d: str, nuisance: Nuisance = FULL) -> DataFrame:
     return causal.design(_features(spark, d), nuisance)
 
 
-def _prices(spark: SparkSession, d: str) -> DataFrame:
-    return pricing.build_price_table(wh.sales(spark, d), wh.price_list(spark, d))
+def _prices(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    return pricing.build_price_table(wh.sales(spark, d, lines), wh.price_list(spark, d))
 
 
 def _pressure(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +93,10 @@ class _Planning:
     """Tables every planning query starts from."""
 
     def __init__(self, spark: SparkSession, d: str, cost_share: float = COST_SHARE):
-        priced = settle(planning.attach_prices(_panel(spark, d), _prices(spark, d)))
+        lines = settle(wh.order_lines(spark, d))
+        # Prices are read more than once, to see whether they can be broadcast and to be joined.
+        prices = settle(_prices(spark, d, lines))
+        priced = settle(planning.attach_prices(_panel(spark, d, lines), prices))
         rows = causal.design(add_features(priced), FULL)
         overall = settle(causal.effect(rows, FULL))
         by_category = settle(causal.effect_by_category(rows, FULL))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 # Word lists for composed names: products (the last one unknown), categories of
 # two products each, and treatments, some abbreviated as in trade names.
 HEAD_WORDS = ("Сельдь", "Скумбрия", "Форель", "Сёмга", "Килька", "Кета", "Икра", "Мойва",
@@ -32,6 +34,10 @@ SCHEMAS = {
 }
 
 
+#: A name that is taken apart is the work of so many plain rows.
+NAME_ROWS = 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
@@ -80,13 +86,15 @@ def category_of(i: Column) -> Column:
     return _pick(CATEGORY_WORDS, i)
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
+def order_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with article, client, day and discount; settle them when several tables are made of them."""
     lines = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    joined = (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-              .join(customers, orders.o_custkey == customers.c_custkey))
+    # Customers meet the orders, so that the lines move once.
+    buyers = orders.join(customers, orders.o_custkey == customers.c_custkey).select("o_orderkey", "c_mktsegment")
+    joined = lines.join(buyers, lines.l_orderkey == buyers.o_orderkey)
     article = F.floor(F.col("l_partkey") / 20).cast("bigint")
     percent = F.round(F.col("l_discount") * 100).cast("int")
     return joined.select(
@@ -96,9 +104,9 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
         (F.lit(6.0) * F.greatest(F.lit(0), percent - 5)).alias("disc_pct"))
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
+def sales(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Sales rows; ``type`` varies by line, so its mode is a real choice."""
-    rows = _lines(spark, folder)
+    rows = order_lines(spark, folder) if lines is None else lines
     return rows.select("sku", composed_name(F.col("i")).alias("name"),
                        category_of(F.col("i")).alias("category"),
                        F.concat(F.lit("G"), F.col("i") % 12).alias("grp"),
@@ -107,19 +115,21 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
 
 def promo_sales(spark: SparkSession, folder: str) -> DataFrame:
     """The discounted part of the sales, the same structure without ``type``."""
-    rows = _lines(spark, folder).filter(F.col("disc_pct") > 0)
+    rows = order_lines(spark, folder).filter(F.col("disc_pct") > 0)
     return rows.select("sku", composed_name(F.col("i")).alias("name"),
                        category_of(F.col("i")).alias("category"),
                        F.concat(F.lit("G"), F.col("i") % 12).alias("grp"),
                        "client", "date", "qty")
 
 
-def discounts(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("sku", "client", F.col("date").alias("week_start"), "disc_pct")
+def discounts(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    rows = order_lines(spark, folder) if lines is None else lines
+    return rows.select("sku", "client", F.col("date").alias("week_start"), "disc_pct")
 
 
 def price_list(spark: SparkSession, folder: str) -> DataFrame:
-    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice")
+    # A file of parts is one task, and reading a name takes the time of many plain rows.
+    parts = spread(table(spark, folder, "part").select("p_partkey", "p_retailprice"), NAME_ROWS)
     return parts.select(composed_name(F.col("p_partkey")).alias("name"),
                         (F.col("p_retailprice") * 0.75).alias("entry_price"),
                         F.col("p_retailprice").alias("shelf_price"))
