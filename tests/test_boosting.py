@@ -84,3 +84,50 @@ def test_effects_by_category_with_trees(spark, made_panel):
     trees = Nuisance("gbt", controls=("m_sin", "m_cos"), max_iter=8)
     got = causal.effect_by_category(causal.design(feats, trees), trees, min_rows=100, min_treated=10).collect()
     assert {r.category for r in got} == {"C0", "C1", "C2"} and all(abs(r.theta - 0.03) < 0.006 for r in got)
+
+
+OPTIONS = {"rounds": 4, "levels": 3, "leaf_rows": 5, "rate": 0.3, "bins": 8}
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_models_in_tasks_of_their_own_equal_shared_passes(spark, rows, monkeypatch, by):
+    df = spark.createDataFrame(rows, "i int, a double, b double, l string, g string, fold int, y double, t double").repartition(3)
+    found = {}
+    for most in (boosting.WHOLE_BYTES, 0):
+        monkeypatch.setattr(boosting, "WHOLE_BYTES", most)
+        found[most] = {r.i: (r.y_r, r.t_r) for r in boosting.tree_residuals(df, ["y", "t"], ["a", "b"], ["l"], by, **OPTIONS).collect()}
+    one, other = found.values()
+    assert one.keys() == other.keys() and all(one[i] == pytest.approx(other[i], abs=1e-9) for i in one)
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_passes_equal_single_models(spark, rows, monkeypatch, by):
+    monkeypatch.setattr(boosting, "WHOLE_BYTES", 0)
+    test_shared_passes_equal_single_models(spark, rows, monkeypatch, by, boosting.MODELS)
+
+
+def test_rounds_need_no_jobs_where_a_models_rows_fit_a_task(spark, rows):
+    df = spark.createDataFrame(rows, "i int, a double, b double, l string, g string, fold int, y double, t double")
+    context, jobs = spark.sparkContext, []
+    try:
+        for rounds in (1, 6):
+            context.setJobGroup(f"rounds {rounds}", "")
+            boosting.tree_residuals(df, ["y"], ["a", "b"], ["l"], **OPTIONS | {"rounds": rounds}).collect()
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"rounds {rounds}")))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_shared_codes_hold_every_features_histogram():
+    rng = np.random.default_rng(4)
+    borders = np.full((5, 6), np.inf)
+    for j, width in enumerate((6, 2, 6, 0, 3)):
+        borders[j, :width] = np.arange(width)
+    codes = boosting.shared_codes(borders, 70)
+    assert sorted(j for c in codes for j in c.features) == [0, 1, 2, 3, 4] and len(codes) < 5 and all(c.size() <= 70 for c in codes)
+    x = np.stack([rng.integers(0, (borders[j] < np.inf).sum() + 2, 300) for j in range(5)]).astype(np.uint8)
+    got = np.zeros((1, 5, 8))
+    for code, numbers in zip(codes, boosting.coded(x, codes)):
+        boosting._spread_out(got, code, np.bincount(numbers, minlength=code.size()))
+    assert (got[0] == [np.bincount(v, minlength=8) for v in x]).all()
